@@ -55,11 +55,11 @@ def format_value(name: str, col: Column, dtype: str) -> Column:
     if not numeric:
         return F.coalesce(col.cast("string"), F.lit(""))
     if any(hint in name.lower() for hint in MONEY_NAMES):
-        text = F.format_string("%,.2f", col.cast("decimal(38,6)"))
+        text = F.format_number(col.cast("double"), 2)
     elif dtype in ("int", "bigint", "smallint", "tinyint"):
         text = F.format_string("%,d", col.cast("bigint"))
     else:
-        text = F.regexp_replace(F.format_string("%,.4f", col.cast("decimal(38,6)")), r"\.?0+$", "")
+        text = F.regexp_replace(F.format_number(col.cast("double"), 4), r"\.?0+$", "")
     return F.when(col.isNull(), "").otherwise(text)
 
 

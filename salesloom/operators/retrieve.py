@@ -312,7 +312,7 @@ def context_blocks(hits: DataFrame, names: DataFrame | None = None) -> DataFrame
         label = F.when(F.col("account_name") != "", named).otherwise(F.concat(label, F.lit(" (ไม่พบชื่อ)")))
     header = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] Account: "), label,
-        F.lit(" (similarity: "), F.format_string("%.3f", F.col("score").cast("decimal(18,6)")), F.lit(")"),
+        F.lit(" (similarity: "), F.replace(F.format_number(F.col("score"), 3), F.lit(","), F.lit("")), F.lit(")"),
     )
     return hits.select(
         "query_id", "rank", F.concat(header, F.lit("\n"), F.trim("content"), F.lit("\n")).alias("block")

@@ -1,0 +1,407 @@
+"""Nesting, lookups and joins."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from salesloom.functions.text import slugify
+from salesloom.operators.docs import clean_notes
+from salesloom.operators.finance import employed, month_pieces
+from salesloom.operators.lenses import lens_industry, lens_salesperson, lens_solution
+from salesloom.operators.measures import drill_across
+from salesloom.operators.nest import account_nest, opportunity_enrich
+from salesloom.operators.rows import derive_account_link, id_filter, resolve_name, resolve_or_id
+from salesloom.plans.registry import query
+from salesloom.plans.shapes import money, sql_money
+
+# ---- Inputs shared with the document queries -------------------------------------------
+
+
+def flat_deals(r):
+    """Deals with the name of their account: the rows of the three lenses."""
+    return r.deal.join(r.account.select("account_id", "account_name"), "account_id")
+
+
+def account_activities(r):
+    """Activities with the account of their deal, and what a document shows of them."""
+    linked = derive_account_link(r.activity, r.deal_core).where(F.col("account_id") != "")
+    return linked.select(
+        "activity_id",
+        "deal_id",
+        F.col("account_id").cast("bigint").alias("account_id"),
+        "activity_date",
+        F.concat(F.lit("Activity "), F.col("activity_id").cast("string")).alias("subject"),
+        "activity_type",
+        F.when(F.col("activity_type").isin("purchase", "signup"), "Completed").otherwise("Open").alias("state"),
+    )
+
+
+def nested_accounts(r, **options):
+    deals = r.deal.select(
+        "account_id", "deal_id", "deal_name", "status", "possibility", "est_close", "plan_amount", "solution", "person"
+    )
+    activities = account_activities(r).select("account_id", "activity_id", "deal_id", "activity_date", "subject", "activity_type", "state")
+    notes = clean_notes(r.note).select("account_id", "note_id", "title", F.lit("").alias("note_date"), "body")
+    contacts = r.contact.select("account_id", "contact_id", "contact_name", "job_title")
+    return account_nest(r.account, contacts, deals, activities, notes, **options)
+
+
+ACTIVITIES_SQL = """
+  SELECT activity_id, deal_id, account_id, activity_date, 'Activity ' || activity_id AS subject, activity_type,
+         CASE WHEN activity_type IN ('purchase','signup') THEN 'Completed' ELSE 'Open' END AS state
+  FROM activity JOIN deal_core USING (deal_id)"""
+FLAT_SQL = "  SELECT d.*, a.account_name FROM deal d JOIN account a USING (account_id)"
+
+
+@query(
+    "account_nest",
+    """
+SELECT a.account_id, a.account_name, coalesce(c.n, 0) AS n_contacts, coalesce(d.n, 0) AS n_deals,
+       coalesce(v.n, 0) AS n_activities, coalesce(t.n, 0) AS n_notes, coalesce(d.ids, '') AS deal_ids
+FROM account a
+LEFT JOIN (SELECT account_id, count(*) AS n FROM contact GROUP BY 1) c USING (account_id)
+LEFT JOIN (SELECT account_id, count(*) AS n, string_agg(deal_id::VARCHAR, ',' ORDER BY deal_id) AS ids FROM deal_core GROUP BY 1) d USING (account_id)
+LEFT JOIN (SELECT account_id, count(*) AS n FROM account_activity GROUP BY 1) v USING (account_id)
+LEFT JOIN (SELECT account_id, count(*) AS n FROM note WHERE trim(body) <> '' GROUP BY 1) t USING (account_id)""",
+    account_activity=ACTIVITIES_SQL,
+)
+def _(r):
+    """One row per account; blocks of a bigger account would be counted together through ``n_*``."""
+    nested = nested_accounts(r)
+    counts = [f"n_{n}" for n in ("contacts", "deals", "activities", "notes")]
+    ids = F.array_join(F.transform("deals", lambda d: d["deal_id"].cast("string")), ",")
+    return nested.select("account_id", F.col("parent.account_name").alias("account_name"), *counts, ids.alias("deal_ids"))
+
+
+@query(
+    "account_nest_deals",
+    """
+SELECT a.account_name, d.deal_id, d.status, CAST(d.plan_amount AS DOUBLE) AS plan, d.solution, d.person
+FROM account a JOIN deal d USING (account_id)""",
+)
+def _(r):
+    """The nested deals unfolded again: nothing lost, nothing doubled."""
+    rows = nested_accounts(r).select(F.col("parent.account_name").alias("account_name"), F.explode("deals").alias("d"))
+    return rows.select("account_name", "d.deal_id", "d.status", F.col("d.plan_amount").cast("double").alias("plan"), "d.solution", "d.person")
+
+
+@query(
+    "opportunity_enrich",
+    """
+SELECT o.o_orderkey AS deal_id, coalesce(c.n, 0) AS n_connections, coalesce(v.n, 0) AS n_reviews,
+       CASE WHEN o.o_orderstatus = 'O' THEN 0 ELSE 1 END::BIGINT AS n_close, coalesce(c.roles, '') AS roles
+FROM orders o
+LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(l_suppkey || ':' || l_returnflag, ',' ORDER BY l_suppkey, l_returnflag) AS roles
+           FROM lineitem GROUP BY 1) c ON c.l_orderkey = o.o_orderkey
+LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) v ON v.user_id = o.o_orderkey""",
+)
+def _(r):
+    connections = r.table("lineitem").select(
+        F.col("l_orderkey").alias("deal_id"), F.col("l_suppkey").alias("stakeholder_id"), F.col("l_returnflag").alias("role")
+    )
+    reviews = r.activity.select("deal_id", F.col("activity_id").alias("review_id"), F.col("activity_date").alias("created"))
+    closes = r.deal_core.where(F.col("status") != "Open").select(
+        "deal_id", F.col("priority").alias("reason"), F.col("est_close").alias("close_date")
+    )
+    enriched = opportunity_enrich(r.deal_core, connections, reviews, closes)
+    pair = F.transform("connections", lambda c: F.concat(c["stakeholder_id"].cast("string"), F.lit(":"), c["role"]))
+    return enriched.select("deal_id", "n_connections", "n_reviews", "n_close", F.array_join(pair, ",").alias("roles"))
+
+
+@query(
+    "derive_account_link",
+    """
+SELECT event_id AS activity_id, user_id AS deal_id, coalesce(CAST(o_custkey AS VARCHAR), '') AS account_id
+FROM events LEFT JOIN orders ON user_id = o_orderkey""",
+)
+def _(r):
+    return derive_account_link(r.activity, r.deal_core).select("activity_id", "deal_id", "account_id")
+
+
+REGARDING_SQL = """
+  SELECT event_id, CASE WHEN event_type IN ('view','click') THEN 'A' ELSE 'D' END || user_id AS regarding_id FROM events"""
+
+
+def _regarding(r):
+    kind = F.when(F.col("event_type").isin("view", "click"), "A").otherwise("D")
+    return r.table("events").select("event_id", F.concat(kind, F.col("user_id").cast("string")).alias("regarding_id"))
+
+
+@query(
+    "polymorphic_link",
+    """
+SELECT event_id, account_id, account_name FROM regarding JOIN account ON regarding_id = 'A' || account_id""",
+    regarding=REGARDING_SQL,
+)
+def _(r):
+    accounts = r.account.select(
+        F.concat(F.lit("A"), F.col("account_id").cast("string")).alias("regarding_id"), "account_id", "account_name"
+    )
+    return _regarding(r).join(accounts, "regarding_id").select("event_id", "account_id", "account_name")
+
+
+@query(
+    "polymorphic_rest",
+    "SELECT event_id, regarding_id FROM regarding WHERE regarding_id NOT IN (SELECT 'A' || account_id FROM account)",
+    regarding=REGARDING_SQL,
+)
+def _(r):
+    accounts = r.account.select(F.concat(F.lit("A"), F.col("account_id").cast("string")).alias("regarding_id"))
+    return _regarding(r).join(accounts, "regarding_id", "left_anti").select("event_id", "regarding_id")
+
+
+@query(
+    "owner_map_join",
+    "SELECT a.activity_id, d.person FROM activity a JOIN deal d USING (deal_id) WHERE d.person IS NOT NULL",
+)
+def _(r):
+    owners = r.deal.where(F.col("person").isNotNull()).select("deal_id", "person")
+    return r.activity.join(owners, "deal_id").select("activity_id", "person")
+
+
+@query("related_lookup", "SELECT deal_id, account_name FROM deal_core LEFT JOIN account USING (account_id)")
+def _(r):
+    return r.deal_core.join(r.account.select("account_id", "account_name"), "account_id", "left").select("deal_id", "account_name")
+
+
+@query(
+    "star_join",
+    f"""
+SELECT industry, solution, department, count(*) AS deals, {sql_money('sum(plan_amount)', 'plan')}
+FROM deal d LEFT JOIN account USING (account_id) LEFT JOIN salesperson s ON s.person_id = d.person_id
+GROUP BY 1, 2, 3""",
+)
+def _(r):
+    rows = r.deal.join(r.account.select("account_id", "industry"), "account_id", "left").join(
+        r.salesperson.select("person_id", "department"), "person_id", "left"
+    )
+    return rows.groupBy("industry", "solution", "department").agg(
+        F.count(F.lit(1)).alias("deals"), money(F.sum("plan_amount"), "plan")
+    )
+
+
+@query(
+    "employed_cost_join",
+    f"""
+SELECT person_id, count(*) AS cost_rows, {sql_money('sum(cost)', 'cost')} FROM employee_cost
+WHERE quit_date IS NULL OR day <= quit_date GROUP BY person_id""",
+)
+def _(r):
+    return employed(r.employee_cost).groupBy("person_id").agg(F.count(F.lit(1)).alias("cost_rows"), money(F.sum("cost"), "cost"))
+
+
+@query(
+    "interval_overlap",
+    """
+SELECT person_id, month, count(*) AS spans, CAST(sum(active_days) AS BIGINT) AS active_days FROM (
+  SELECT person_id, CAST(m AS DATE) AS month,
+         date_diff('day', greatest(start_date, CAST(m AS DATE)), least(finish_date, last_day(CAST(m AS DATE)))) + 1 AS active_days
+  FROM (SELECT *, unnest(generate_series(date_trunc('month', start_date)::TIMESTAMP, finish_date::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM allocation)
+) GROUP BY 1, 2""",
+)
+def _(r):
+    pieces = month_pieces(r.allocation, "start_date", "finish_date", dt.date(1990, 1, 1), dt.date(2010, 12, 31))
+    return pieces.groupBy("person_id", "month").agg(
+        F.count(F.lit(1)).alias("spans"), F.sum("active_days").cast("bigint").alias("active_days")
+    )
+
+
+@query(
+    "inactive_date_role",
+    f"""
+SELECT 'shipment' AS date_role, CAST(year(l_shipdate) AS BIGINT) AS year, {sql_money('sum(CAST(l_extendedprice AS DECIMAL(12,2)))', 'gross')}
+FROM lineitem GROUP BY 2
+UNION ALL
+SELECT 'order', CAST(year(o_orderdate) AS BIGINT), CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2))), 2) AS DOUBLE)
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 2""",
+)
+def _(r):
+    """The same fact sliced by either of its dates; both roles come from one pass over the join."""
+    orders = r.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    roles = F.array(
+        F.struct(F.lit("shipment").alias("date_role"), F.year("l_shipdate").cast("bigint").alias("year")),
+        F.struct(F.lit("order").alias("date_role"), F.year("o_orderdate").cast("bigint").alias("year")),
+    )
+    rows = r.table("lineitem").join(orders, "l_orderkey").select(F.col("l_extendedprice").cast("decimal(12,2)").alias("gross"), F.explode(roles).alias("_d"))
+    return rows.groupBy("_d.date_role", "_d.year").agg(money(F.sum("gross"), "gross"))
+
+
+@query(
+    "bidirectional_filter",
+    f"""
+SELECT p_brand AS project_code, {sql_money('sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)))', 'cost')}
+FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE l_partkey IN (SELECT part_id FROM deal_owner JOIN deal_core USING (deal_id) WHERE status = 'Won' AND possibility = 90)
+GROUP BY 1""",
+)
+def _(r):
+    """A filter on deals reaches the expenses through the part both share."""
+    parts = r.deal_owner.join(r.deal_core.where("status = 'Won' AND possibility = 90").select("deal_id"), "deal_id", "left_semi")
+    cost = F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_tax").cast("decimal(4,2)")
+    lines = (
+        r.table("lineitem")
+        .select(F.col("l_partkey").alias("part_id"), cost.alias("cost"))
+        .join(parts.select("part_id").distinct(), "part_id", "left_semi")
+    )
+    brands = r.table("part").select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("project_code"))
+    return lines.join(brands, "part_id").groupBy("project_code").agg(money(F.sum("cost"), "cost"))
+
+
+@query(
+    "drill_across",
+    f"""
+SELECT year, person_id, {sql_money('actual', 'actual')}, {sql_money('target', 'target')}
+FROM (SELECT CAST(year(actual_date) AS BIGINT) AS year, person_id, sum(amount) AS actual FROM actual GROUP BY ALL) a
+FULL JOIN (SELECT CAST(year(target_month) AS BIGINT) AS year, person_id, sum(target_amount) AS target FROM target GROUP BY ALL) t USING (year, person_id)""",
+)
+def _(r):
+    actual = r.actual.groupBy(F.year("actual_date").cast("bigint").alias("year"), "person_id").agg(F.sum("amount").alias("actual"))
+    target = r.target.groupBy(F.year("target_month").cast("bigint").alias("year"), "person_id").agg(F.sum("target_amount").alias("target"))
+    merged = drill_across({"actual": actual, "target": target}, ["year", "person_id"])
+    return merged.select("year", "person_id", money("actual", "actual"), money("target", "target"))
+
+
+# Three name lookups that overlap: customers of one segment, suppliers, parts.
+RESOLVED_SQL = """
+  SELECT e.vec_id AS id, coalesce(c.c_name, s.s_name, p.p_name) AS name,
+         CASE WHEN c.c_name IS NOT NULL THEN 'dim' WHEN s.s_name IS NOT NULL THEN 'primary' WHEN p.p_name IS NOT NULL THEN 'heuristic' END AS source
+  FROM embeddings e LEFT JOIN customer c ON c.c_custkey = e.vec_id AND c.c_mktsegment = 'MACHINERY'
+  LEFT JOIN supplier s ON s.s_suppkey = e.vec_id LEFT JOIN part p ON p.p_partkey = e.vec_id AND p.p_size > 10"""
+
+
+def _resolved(r):
+    def lookup(df, key, name):
+        return df.select(F.col(key).alias("id"), F.col(name).alias("name"))
+
+    return resolve_name(
+        r.table("embeddings").select(F.col("vec_id").alias("id")),
+        "id",
+        lookup(r.table("customer").where("c_mktsegment = 'MACHINERY'"), "c_custkey", "c_name"),
+        lookup(r.table("supplier"), "s_suppkey", "s_name"),
+        lookup(r.table("part").where("p_size > 10"), "p_partkey", "p_name"),
+    )
+
+
+@query("resolve_name", "SELECT id, name, source FROM resolved", resolved=RESOLVED_SQL)
+def _(r):
+    return _resolved(r)
+
+
+@query(
+    "resolve_or_id",
+    "SELECT id, coalesce(name, CAST(id AS VARCHAR)) AS name FROM resolved",
+    resolved=RESOLVED_SQL,
+)
+def _(r):
+    return resolve_or_id(_resolved(r), "id").select("id", "name")
+
+
+@query("resolve_stats", "SELECT source, count(*) AS ids FROM resolved GROUP BY source", resolved=RESOLVED_SQL)
+def _(r):
+    return _resolved(r).groupBy("source").agg(F.count(F.lit(1)).alias("ids"))
+
+
+@query(
+    "resolve_full",
+    "SELECT vec_id AS id, account_name, industry, city, customer_type FROM embeddings LEFT JOIN account ON vec_id = account_id",
+)
+def _(r):
+    ids = r.table("embeddings").select(F.col("vec_id").alias("account_id"))
+    return ids.join(r.account, "account_id", "left").select(F.col("account_id").alias("id"), "account_name", "industry", "city", "customer_type")
+
+
+@query(
+    "id_list_filter",
+    "SELECT vec_id, label FROM embeddings WHERE label IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)",
+)
+def _(r):
+    wanted = r.table("supplier").where("s_acctbal < 0").select(F.concat(F.col("s_nationkey").cast("string"), F.lit(".md")).alias("id"))
+    return id_filter(r.table("embeddings"), "label", wanted).select("vec_id", "label")
+
+
+# ---- Lenses ----------------------------------------------------------------------------
+
+
+@query(
+    "lens_solution",
+    """
+SELECT lower(solution) AS key, solution, s.deal_count, s.account_count, deal_name, account_name, status, person
+FROM flat JOIN (
+  SELECT solution, count(*) AS deal_count, count(DISTINCT nullif(account_name, '')) AS account_count FROM flat GROUP BY 1) s USING (solution)
+WHERE trim(solution) <> ''""",
+    flat=FLAT_SQL,
+)
+def _(r):
+    """Unfolded to one row per deal, so the check covers every block of every solution."""
+    rows = lens_solution(flat_deals(r)).select("key", "solution", "deal_count", "account_count", F.explode("deals").alias("d"))
+    return rows.select("key", "solution", "deal_count", "account_count", "d.deal_name", "d.account_name", "d.status", "d.person")
+
+
+@query(
+    "lens_salesperson",
+    """
+SELECT d.person, d.deal_count, d.account_count, coalesce(a.activities, '') AS activities
+FROM (SELECT person, count(*) AS deal_count, count(DISTINCT account_name) AS account_count FROM flat WHERE person IS NOT NULL GROUP BY 1) d
+LEFT JOIN (
+  SELECT person, string_agg(subject || '/' || activity_type, ';' ORDER BY rn) AS activities FROM (
+    SELECT person, subject, activity_type, row_number() OVER (PARTITION BY person ORDER BY activity_date DESC, activity_id) AS rn
+    FROM account_activity JOIN flat USING (deal_id) WHERE person IS NOT NULL) WHERE rn <= 50 GROUP BY 1) a USING (person)""",
+    flat=FLAT_SQL,
+    account_activity=ACTIVITIES_SQL,
+)
+def _(r):
+    lens = lens_salesperson(flat_deals(r), account_activities(r).drop("account_id"))
+    acts = F.array_join(F.transform("activities", lambda a: F.concat_ws("/", a["subject"], a["activity_type"])), ";")
+    return lens.where("block = 0").select("person", "deal_count", "account_count", acts.alias("activities"))
+
+
+@query(
+    "lens_industry",
+    """
+SELECT industry, i.account_count, account_name, customer_type, city || ', ' || province AS location,
+       coalesce(n, 0) AS opp_count, coalesce(solutions, '') AS solutions
+FROM account JOIN (SELECT industry, count(*) AS account_count FROM account GROUP BY 1) i USING (industry) LEFT JOIN (
+  SELECT account_id, count(*) AS n, string_agg(DISTINCT solution, ',' ORDER BY solution) AS solutions FROM deal GROUP BY 1) USING (account_id)
+WHERE trim(industry) <> ''""",
+)
+def _(r):
+    rows = lens_industry(r.account, r.deal).select("industry", "account_count", F.explode("accounts").alias("a"))
+    return rows.select(
+        "industry", "account_count", "a.account_name", "a.customer_type", "a.location", "a.opp_count",
+        F.array_join("a.solutions", ",").alias("solutions"),
+    )
+
+
+@query(
+    "sorted_groups",
+    "SELECT industry, count(*) AS accounts, CAST(row_number() OVER (ORDER BY industry) AS INTEGER) AS position FROM account GROUP BY industry",
+)
+def _(r):
+    from pyspark.sql import Window
+
+    groups = r.account.groupBy("industry").agg(F.count(F.lit(1)).alias("accounts"))
+    return groups.orderBy("industry").withColumn("position", F.row_number().over(Window.orderBy("industry")))
+
+
+@query(
+    "distinct_values",
+    "SELECT account_id, string_agg(DISTINCT solution, ',' ORDER BY solution) AS solutions, count(DISTINCT person_id) AS people FROM deal GROUP BY 1",
+)
+def _(r):
+    rows = r.deal.groupBy("account_id").agg(
+        F.array_sort(F.collect_set("solution")).alias("_s"), F.countDistinct("person_id").alias("people")
+    )
+    solutions = F.when(F.size("_s") > 0, F.array_join("_s", ","))
+    return rows.select("account_id", solutions.alias("solutions"), "people")
+
+
+@query(
+    "slugify",
+    """
+SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\-]+', '-', 'g'), '-+', '-', 'g'), '-') AS s FROM documents)""",
+)
+def _(r):
+    return r.table("documents").select("doc_id", slugify(F.col("text")).alias("slug"))
