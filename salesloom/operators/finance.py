@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.values import blank_to_null, ratio
@@ -186,8 +186,8 @@ def percent_days(allocation: DataFrame, low: dt.date, high: dt.date) -> DataFram
     """Σ percent x active days per person, type and month, without a row per span and month.
 
     A span adds its full months as two deltas (+percent at its second month, -percent at its
-    last one) and its two ragged months as they are; a running sum over the calendar then
-    restores the months between. Rows grow with spans, not with spans x months.
+    last one) and its two ragged months as they are; a running sum over the months with an
+    event then fills the months between. Rows grow with spans, not with spans x months.
     """
     first = F.greatest(F.coalesce("start_date", F.lit(low)), F.lit(low))
     last = F.least(F.coalesce("finish_date", F.lit(high)), F.lit(high))
@@ -217,34 +217,19 @@ def percent_days(allocation: DataFrame, low: dt.date, high: dt.date) -> DataFram
         .groupBy("person_id", "allocate_type", "_e.month")
         .agg(F.sum("_e.ragged").alias("ragged"), F.sum("_e.delta").alias("delta"))
     )
-    by_type = (  # one calendar (at most) per person and type
-        per_month.groupBy("person_id", "allocate_type")
-        .agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct("ragged", "delta")))).alias("_m"))
-        .withColumn("_months", F.array_sort(F.map_keys("_m")))
-    )
-    spine = by_type.select(
+    order = Window.partitionBy("person_id", "allocate_type").orderBy("month")  # at most a calendar
+    filled = per_month.select(
         "person_id",
         "allocate_type",
-        "_m",
-        F.explode(
-            F.sequence(F.element_at("_months", 1), F.element_at("_months", -1), F.expr("interval 1 month"))
-        ).alias("month"),
-    )
-    from pyspark.sql import Window
-
-    running = Window.partitionBy("person_id", "allocate_type").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.try_element_at("_m", F.col("month"))
-    return (
-        spine.withColumn("ragged", F.coalesce(here["ragged"], F.lit(0)))
-        .withColumn("_open", F.sum(F.coalesce(here["delta"], F.lit(0))).over(running))
-        .select(
-            "person_id",
-            "allocate_type",
-            "month",
-            (F.col("ragged") + F.col("_open") * F.day(F.last_day("month"))).alias("percent_days"),
-        )
-        .where(F.col("percent_days") != 0)
-    )
+        F.col("month").alias("_from"),
+        "ragged",
+        F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_open"),
+        F.coalesce(F.add_months(F.lead("month").over(order), -1), F.col("month")).alias("_to"),
+    ).withColumn("month", F.explode(F.sequence("_from", "_to", F.expr("interval 1 month"))))
+    here = F.when(F.col("month") == F.col("_from"), F.col("ragged")).otherwise(0)
+    return filled.select(
+        "person_id", "allocate_type", "month", (here + F.col("_open") * F.day(F.last_day("month"))).alias("percent_days")
+    ).where(F.col("percent_days") != 0)
 
 
 def man_cost_with_idle(cost: DataFrame, allocation: DataFrame, low: dt.date, high: dt.date) -> DataFrame:

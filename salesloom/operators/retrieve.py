@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 QUERY_BLOCK = 2_048
 CORPUS_BLOCK = 20_000
@@ -137,8 +138,11 @@ def sharded_topk(
     def every(count: Column) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
 
-    left = queries.withColumn("_q", own("query_id", q_shards)).withColumn("_c", every(c_shards))
-    right = corpus.withColumn("_c", own("item_id", c_shards)).withColumn("_q", every(q_shards))
+    def fresh(df: DataFrame) -> DataFrame:  # both sides may come from one frame; give each its own columns
+        return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+    left = fresh(queries).withColumn("_q", own("query_id", q_shards)).withColumn("_c", every(c_shards))
+    right = fresh(corpus).withColumn("_c", own("item_id", c_shards)).withColumn("_q", every(q_shards))
     pairs = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(score, HIT_SCHEMA)
     return top_hits(pairs, k)
 
@@ -238,8 +242,8 @@ def knn_approx(
     A code that holds many copies is cut into shards like the exact search, so it costs more
     tasks, not a bigger one; scores are exact, only membership is approximate.
     """
-    asked = lsh_codes(queries.select("query_id", "vector"), dim, tables, bits)
-    stored = lsh_codes(corpus.select("item_id", "vector"), dim, tables, bits)
+    asked = lsh_codes(queries.select("query_id", F.col("vector").alias("vector")), dim, tables, bits)
+    stored = lsh_codes(corpus.select("item_id", F.col("vector").alias("vector")), dim, tables, bits)
     cell = ["table", "code"]
 
     def sizes(df: DataFrame, name: str, block: int) -> DataFrame:
@@ -331,7 +335,7 @@ def embed_batch(
 ) -> DataFrame:
     """``key, vector`` of every text, encoded in batches of ``batch`` inside each Arrow batch."""
     encode = encoder or hashed_words(64)
-    schema = texts.select(key).schema.add("vector", "array<float>")
+    schema = texts.select(key).schema.add("vector", ArrayType(FloatType()))
 
     def run(frames):
         for frame in frames:

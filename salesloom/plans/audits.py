@@ -1,0 +1,190 @@
+"""Audits of results, questions and logged query texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from salesloom.operators import audit
+from salesloom.plans.registry import query
+from salesloom.plans.shapes import sql_rate, whole
+
+# The questions of these tables are invented prose, so frequent words of theirs stand in for
+# the cue lists; the lists themselves are tested on hand-made questions.
+QUANT, QUAL = ("the", "con"), ("les", "und")
+NOUNS, CUES = ("that", "que"), ("with", "para")
+
+
+def user_turns(r):
+    return r.table("conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+
+
+def _any_like(words) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
+@query(
+    "audit_empty",
+    """
+SELECT 'cancelled' AS result, NOT coalesce(bool_or(deal_id IS NOT NULL), false) AS is_empty FROM deal_core WHERE status = 'Cancelled'
+UNION ALL SELECT 'blank', NOT coalesce(bool_or(coalesce(website, '') <> ''), false) FROM (SELECT '' AS website FROM customer)
+UNION ALL SELECT 'zero', NOT coalesce(bool_or(z IS NOT NULL), false) FROM (SELECT 0 AS z FROM customer)
+UNION ALL SELECT 'deals', NOT coalesce(bool_or(deal_id IS NOT NULL), false) FROM deal_core""",
+)
+def _(r):
+    customers = r.table("customer")
+    cases = {
+        "cancelled": r.deal_core.where(F.col("status") == "Cancelled"),
+        "blank": customers.select(F.lit("").alias("website"), F.lit(None).cast("double").alias("revenue")),
+        "zero": customers.select(F.lit(0).alias("z")),
+        "deals": r.deal_core,
+    }
+    whole_list = None
+    for name, result in cases.items():
+        row = audit.audit_empty(result).select(F.lit(name).alias("result"), "is_empty")
+        whole_list = row if whole_list is None else whole_list.unionByName(row)
+    return whole_list
+
+
+@query(
+    "audit_plausible",
+    f"""
+SELECT * FROM (
+  SELECT 'won_ratio' AS "column", {sql_rate('max(w)', 'highest')}, 'over 1' AS finding FROM rates HAVING max(w) > 1
+  UNION ALL SELECT 'margin_percent', round(CAST(max(m) AS DOUBLE), 6), 'over 100 percent' FROM rates HAVING max(m) > 100
+  UNION ALL SELECT 'win_rate', round(CAST(max(r) AS DOUBLE), 6), 'over 1' FROM rates HAVING max(r) > 1)""",
+    rates="""
+  SELECT account_id, count(*) FILTER (status = 'Won') / nullif(count(*) FILTER (status = 'Lost'), 0) AS w,
+         count(*) FILTER (status = 'Won') / count(*) AS r, 100.0 * max(possibility) / min(possibility) AS m
+  FROM deal_core GROUP BY 1""",
+)
+def _(r):
+    won, lost, total = F.count_if(F.col("status") == "Won"), F.count_if(F.col("status") == "Lost"), F.count(F.lit(1))
+    rates = r.deal_core.groupBy("account_id").agg(
+        F.round(F.try_divide(won, lost), 6).alias("won_ratio"),
+        F.try_divide(won, total).alias("win_rate"),
+        F.round(F.try_divide(100.0 * F.max("possibility"), F.min("possibility")), 6).alias("margin_percent"),
+    )
+    return audit.audit_plausible(rates)
+
+
+@query(
+    "audit_flag_mismatch",
+    "SELECT status, count(*) AS rows FROM deal_core WHERE possibility = 90 AND status <> 'Won' GROUP BY 1",
+)
+def _(r):
+    return audit.audit_flag_mismatch(r.deal_core, F.col("possibility") == 90)
+
+
+@query(
+    "tag_intent",
+    f"""
+SELECT conv_id, turn, CASE WHEN turn = 2 THEN 'quant' WHEN trim(text) = '' THEN 'qual' WHEN {_any_like(QUANT)} AND NOT {_any_like(QUAL)} THEN 'quant'
+       WHEN {_any_like(QUAL)} AND NOT {_any_like(QUANT)} THEN 'qual' ELSE 'hybrid' END AS intent
+FROM conversations WHERE role = 'user'""",
+)
+def _(r):
+    forced = F.when(F.col("turn") == 2, "quant").when(F.col("turn") == 3, "nonsense")
+    return user_turns(r).select("conv_id", "turn", audit.tag_intent(F.col("text"), forced, QUANT, QUAL).alias("intent"))
+
+
+@query(
+    "tag_ambiguous",
+    """
+SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(the|que)([^\\p{L}\\p{N}_]|$)') AS ambiguous FROM conversations WHERE role = 'user'""",
+)
+def _(r):
+    return user_turns(r).select("conv_id", "turn", audit.tag_ambiguous(F.col("text"), ("the", "que")).alias("ambiguous"))
+
+
+@query(
+    "tag_state_over_time",
+    f"""
+SELECT conv_id, turn, ({_any_like(NOUNS)} AND {_any_like(CUES)}) OR regexp_matches(text, '(?i)(on|de)\\s+(the|la)\\s') AS flagged
+FROM conversations WHERE role = 'user'""",
+)
+def _(r):
+    flagged = audit.tag_state_over_time(F.col("text"), NOUNS, CUES, r"(?i)(on|de)\s+(the|la)\s")
+    return user_turns(r).select("conv_id", "turn", flagged.alias("flagged"))
+
+
+@query(
+    "tag_subject",
+    """
+SELECT conv_id, turn, coalesce(regexp_replace(regexp_replace(
+         list_filter(regexp_split_to_array(text, '\\s+'), lambda t: contains(lower(t), hint))[1], '^[.,?!:;''"]+', ''), '[.,?!:;''"]+$', ''), hint) AS subject
+FROM (SELECT *, CASE WHEN contains(lower(text), 'tion') THEN 'tion' WHEN contains(lower(text), 'ment') THEN 'ment' WHEN contains(lower(text), 'der') THEN 'der' END AS hint
+      FROM conversations WHERE role = 'user')""",
+)
+def _(r):
+    subject = audit.tag_subject(F.col("text"), ("tion", "ment", "der"))
+    return user_turns(r).select("conv_id", "turn", subject.alias("subject"))
+
+
+# One logged query text per deal, each with what its deal is about.
+LOG_SQL = """
+  SELECT deal_id, CASE deal_id % 4
+    WHEN 0 THEN 'EVALUATE FILTER(Fact_Opportunity, Fact_Opportunity[Status] = "' || status || '" && YEAR(Fact_Opportunity[Created]) = ' || year(created) || ')'
+    WHEN 1 THEN 'EVALUATE ROW("a", CALCULATE([Total SO Plan Amount (P)], Fact_Opportunity[Possibility] >= ' || possibility || '))'
+    WHEN 2 THEN 'EVALUATE Fact_Opportunity'
+    ELSE 'EVALUATE SUMMARIZECOLUMNS(Dim_Region[Name], Fact_Project_Expenses[IsWon] = TRUE)' END AS text
+  FROM deal_core"""
+
+
+def query_log(r):
+    status, year, possibility = F.col("status"), F.year("created").cast("string"), F.col("possibility").cast("string")
+    kind = F.col("deal_id") % 4
+    text = (
+        F.when(
+            kind == 0,
+            F.concat(
+                F.lit('EVALUATE FILTER(Fact_Opportunity, Fact_Opportunity[Status] = "'), status,
+                F.lit('" && YEAR(Fact_Opportunity[Created]) = '), year, F.lit(")"),
+            ),
+        )
+        .when(
+            kind == 1,
+            F.concat(F.lit('EVALUATE ROW("a", CALCULATE([Total SO Plan Amount (P)], Fact_Opportunity[Possibility] >= '), possibility, F.lit("))")),
+        )
+        .when(kind == 2, "EVALUATE Fact_Opportunity")
+        .otherwise("EVALUATE SUMMARIZECOLUMNS(Dim_Region[Name], Fact_Project_Expenses[IsWon] = TRUE)")
+    )
+    return r.deal_core.select("deal_id", text.alias("text"))
+
+
+@query(
+    "audit_query_log",
+    """
+SELECT deal_id, 'filter' AS kind, 'Status = ' || regexp_extract(text, 'Status\\] = "(\\w+)"', 1) AS finding FROM log WHERE deal_id % 4 = 0
+UNION ALL SELECT deal_id, 'filter', 'Year = ' || regexp_extract(text, '(\\d{4})', 1) FROM log WHERE deal_id % 4 = 0
+UNION ALL SELECT deal_id, 'filter', 'Possibility >= ' || regexp_extract(text, '>= (\\d+)', 1) FROM log WHERE deal_id % 4 = 1
+UNION ALL SELECT deal_id, 'concept', unnest(['Total SO Plan Amount', 'Possibility']) FROM log WHERE deal_id % 4 = 1
+UNION ALL SELECT deal_id, 'issue', 'bare dump of Fact_Opportunity' FROM log WHERE deal_id % 4 = 2
+UNION ALL SELECT deal_id, 'issue', unnest(['table Fact_Project_Expenses is not in the model', 'flag compared to TRUE/FALSE', 'unknown table(s): Dim_Region'])
+          FROM log WHERE deal_id % 4 = 3""",
+    log=LOG_SQL,
+)
+def _(r):
+    return audit.audit_query_log(query_log(r), "deal_id", "text")
+
+
+@query(
+    "advisory_text",
+    """
+SELECT deal_id, CASE WHEN deal_id % 4 = 3 THEN '⚠️ ' || replace('table Fact_Project_Expenses is not in the model|flag compared to TRUE/FALSE|unknown table(s): Dim_Region', '|', chr(10) || chr(10) || '⚠️ ')
+  WHEN deal_id % 4 = 2 THEN '⚠️ bare dump of Fact_Opportunity'
+  WHEN deal_id % 4 = 1 THEN '📊 ที่มา: ตัวเลขจาก Total SO Plan Amount; Possibility | เงื่อนไข: Possibility >= ' || regexp_extract(text, '>= (\\d+)', 1)
+  ELSE '📊 ที่มา: เงื่อนไข: Status = ' || regexp_extract(text, 'Status\\] = "(\\w+)"', 1) || ', Year = ' || regexp_extract(text, '(\\d{4})', 1) END AS advisory
+FROM log""",
+    log=LOG_SQL,
+)
+def _(r):
+    text = F.col("text")
+    advisory = audit.advisory_text(
+        audit.query_issues(text), audit.query_concepts(text), audit.query_filters(text), F.lit(None).cast("string")
+    )
+    return query_log(r).select("deal_id", advisory.alias("advisory"))
+
+
+@query("question_count", "SELECT count(*) AS questions FROM conversations WHERE role = 'user'")
+def _(r):
+    return user_turns(r).agg(whole(F.count(F.lit(1)), "questions"))

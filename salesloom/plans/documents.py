@@ -1,0 +1,254 @@
+"""Documents, chunks and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from salesloom.functions.chunks import chunk_document, count_tokens, sliding_windows, split_sections
+from salesloom.functions.text import collapse_space, content_hash
+from salesloom.operators import docs
+from salesloom.operators.lenses import lens_industry, lens_salesperson, lens_solution
+from salesloom.operators.retrieve import embed_batch
+from salesloom.operators.upsert import upsert_outcome, upsert_report
+from salesloom.plans.joins import ACTIVITIES_SQL, FLAT_SQL, account_activities, flat_deals, nested_accounts
+from salesloom.plans.registry import query
+from salesloom.plans.shapes import whole
+from salesloom.plans.values import strip_html_sql
+
+NL = "chr(10)"
+
+
+def account_docs(r):
+    return docs.render_account_doc(nested_accounts(r))
+
+
+def corpus(r):
+    """Every document of the account corpus and the three lenses."""
+    deals = flat_deals(r)
+    return docs.corpus_union(
+        account=account_docs(r),
+        solution=docs.render_solution_doc(lens_solution(deals)),
+        salesperson=docs.render_salesperson_doc(lens_salesperson(deals, account_activities(r).drop("account_id"))),
+        industry=docs.render_industry_doc(lens_industry(r.account, r.deal)),
+    )
+
+
+def _section_sql(title: str, n: str, lines: str) -> str:
+    return f"'## {title} (' || coalesce({n}, 0) || ')' || {NL} || coalesce({lines}, '_(none)_' || {NL})"
+
+
+ACTIVITY_LINE = f"'- **' || activity_date || '** — ' || subject || ' (' || activity_type || ') — ' || state || {NL}"
+ACCOUNT_DOCS_SQL = f"""
+  SELECT account_id, '---' || {NL} || 'entity: account' || {NL} || 'account_id: ' || account_id || {NL} || 'name: ' || account_name || {NL} ||
+    'industry: ' || industry || {NL} || 'status: ' || account_status || {NL} || '---' || {NL} || {NL} || '# ' || account_name || {NL} || {NL} ||
+    '**Customer Code:** —' || {NL} || '**Industry:** ' || industry || {NL} || '**Customer Type:** ' || customer_type || {NL} ||
+    '**Account Status:** ' || account_status || {NL} || '**Annual Revenue:** —' || {NL} || '**No. of Employees:** —' || {NL} ||
+    '**Location:** ' || city || ', ' || province || {NL} || '**Website:** —' || {NL} || {NL} ||
+    {_section_sql('Contacts', 'c.n', 'c.t')} || {NL} || {_section_sql('Opportunities', 'd.n', 'd.t')} || {NL} ||
+    {_section_sql('Recent Activities', 'v.n', 'v.t')} || coalesce({NL} || '## Notes (' || t.n || ')' || {NL} || t.t, '') AS body
+  FROM account
+  LEFT JOIN (SELECT account_id, count(*) AS n, string_agg('- **' || contact_name || '** — ' || job_title || {NL}, '' ORDER BY contact_id) AS t
+             FROM contact GROUP BY 1) c USING (account_id)
+  LEFT JOIN (SELECT account_id, count(*) AS n, string_agg('- **' || deal_name || '** — ' || status || ' | Possibility: ' || possibility || '%' || {NL} ||
+               '  Est. Close: ' || est_close || ' | SO Plan: ' || plan_amount || coalesce(' | Solution: ' || solution, '') ||
+               coalesce(' | Sales: ' || person, '') || {NL}, '' ORDER BY deal_id) AS t FROM deal GROUP BY 1) d USING (account_id)
+  LEFT JOIN (SELECT account_id, count(*) AS n, string_agg({ACTIVITY_LINE}, '' ORDER BY activity_id) AS t FROM account_activity GROUP BY 1) v USING (account_id)
+  LEFT JOIN (SELECT account_id, count(*) AS n, string_agg('**' || title || '** ()' || {NL} || {strip_html_sql('body')} || {NL} || {NL}, '' ORDER BY note_id) AS t
+             FROM note WHERE trim(body) <> '' GROUP BY 1) t USING (account_id)"""
+ACCOUNT = {"account_doc": ACCOUNT_DOCS_SQL, "account_activity": ACTIVITIES_SQL}
+
+
+@query(
+    "render_account_doc",
+    "SELECT 'account/' || account_id || '.md' AS path, body, substr(sha256(body), 1, 16) AS md_hash FROM account_doc",
+    **ACCOUNT,
+)
+def _(r):
+    return account_docs(r).select("path", "body", "md_hash")
+
+
+def _head_sql(kind: str, value: str) -> str:
+    title = kind.capitalize()
+    return f"'---' || {NL} || 'entity: {kind}' || {NL} || '{kind}: ' || {value} || {NL} || '---' || {NL} || {NL} || '# {title}: ' || {value} || {NL} || {NL}"
+
+
+@query(
+    "render_solution_doc",
+    f"""
+SELECT 'solution/' || lower(solution) || '.md' AS path, {_head_sql('solution', 'solution')} || '**Deals:** ' || count(*) || ' across ' ||
+  count(DISTINCT account_name) || ' accounts' || {NL} || {NL} ||
+  string_agg('- **' || account_name || '** — ' || deal_name || ' (' || status || ') | Possibility: ' || possibility || '%' ||
+             coalesce(' | Sales: ' || person, '') || {NL}, '' ORDER BY deal_id) AS body
+FROM flat WHERE solution IS NOT NULL GROUP BY solution""",
+    flat=FLAT_SQL,
+)
+def _(r):
+    return docs.render_solution_doc(lens_solution(flat_deals(r))).select("path", "body")
+
+
+@query(
+    "render_salesperson_doc",
+    f"""
+SELECT 'salesperson/' || replace(lower(person), '#', '-') || '.md' AS path, {_head_sql('salesperson', 'person')} || '**Accounts:** ' || accounts ||
+  ' | **Deals:** ' || deals || {NL} || {NL} || '## Deals' || {NL} || lines || {NL} || {_section_sql('Recent Activities', 'n', 't')} AS body
+FROM (SELECT person, count(*) AS deals, count(DISTINCT account_name) AS accounts,
+        string_agg('- **' || account_name || '** — ' || deal_name || ' (' || status || ')' || coalesce(' | ' || solution, '') ||
+                   ' | Est. Close: ' || est_close || {NL}, '' ORDER BY deal_id) AS lines
+      FROM flat WHERE person IS NOT NULL GROUP BY 1)
+LEFT JOIN (SELECT person, count(*) AS n, string_agg({ACTIVITY_LINE}, '' ORDER BY rn) AS t FROM (
+        SELECT *, row_number() OVER (PARTITION BY person ORDER BY activity_date DESC, activity_id) AS rn
+        FROM account_activity JOIN (SELECT deal_id, person FROM flat WHERE person IS NOT NULL) USING (deal_id)) WHERE rn <= 50 GROUP BY 1) USING (person)""",
+    flat=FLAT_SQL,
+    account_activity=ACTIVITIES_SQL,
+)
+def _(r):
+    lens = lens_salesperson(flat_deals(r), account_activities(r).drop("account_id"))
+    return docs.render_salesperson_doc(lens).select("path", "body")
+
+
+@query(
+    "render_industry_doc",
+    f"""
+SELECT 'industry/' || lower(industry) || '.md' AS path, {_head_sql('industry', 'industry')} || '**Accounts:** ' || count(*) || {NL} || {NL} ||
+  string_agg('- **' || account_name || '** (' || customer_type || ') — ' || city || ', ' || province || ' | Opps: ' || coalesce(n, 0) ||
+             coalesce(' | Solutions: ' || solutions, '') || {NL}, '' ORDER BY account_id) AS body
+FROM account LEFT JOIN (
+  SELECT account_id, count(*) AS n, string_agg(DISTINCT solution, ', ' ORDER BY solution) AS solutions FROM deal GROUP BY 1) USING (account_id)
+GROUP BY industry""",
+)
+def _(r):
+    return docs.render_industry_doc(lens_industry(r.account, r.deal)).select("path", "body")
+
+
+@query("doc_path", "SELECT deal_id, 'solution/' || coalesce(lower(solution), 'unknown') || '.md' AS path FROM deal")
+def _(r):
+    return r.deal.select("deal_id", docs.doc_path("solution", F.col("solution")).alias("path"))
+
+
+@query(
+    "corpus_union",
+    """
+SELECT 'account' AS doc_type, count(*) AS documents FROM account
+UNION ALL SELECT 'solution', count(DISTINCT solution) FROM deal
+UNION ALL SELECT 'salesperson', count(DISTINCT person) FROM deal
+UNION ALL SELECT 'industry', count(DISTINCT industry) FROM account""",
+)
+def _(r):
+    return corpus(r).where("part = 0").groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(
+    "refresh_corpus",
+    """
+SELECT 'account' AS doc_type, count(*) AS uploaded, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors FROM account
+UNION ALL SELECT 'solution', count(DISTINCT solution), 0, 0 FROM deal
+UNION ALL SELECT 'salesperson', count(DISTINCT person), 0, 0 FROM deal
+UNION ALL SELECT 'industry', CAST(0 AS BIGINT), count(DISTINCT industry), 0 FROM account""",
+)
+def _(r):
+    """The whole rebuild against a store that already holds the industry documents."""
+    stored = docs.corpus_union(industry=docs.render_industry_doc(lens_industry(r.account, r.deal)))
+    outcomes = upsert_outcome(stored, corpus(r), ["doc_type", "path"])
+    return upsert_report(outcomes.where("part = 0"), ["doc_type"])
+
+
+SECTION_SQL = f"""
+  SELECT account_id, idx, trim(CASE WHEN idx > 1 THEN '## ' || parts[idx] ELSE parts[idx] END, ' ' || {NL}) AS section
+  FROM (SELECT account_id, parts, unnest(range(1, len(parts) + 1)) AS idx FROM (SELECT account_id, string_split(body, {NL} || '## ') AS parts FROM account_doc))"""
+SECTION = {**ACCOUNT, "sections": SECTION_SQL}
+
+
+@query("split_sections", "SELECT account_id, CAST(idx - 1 AS BIGINT) AS section_seq, section FROM sections WHERE section <> ''", **SECTION)
+def _(r):
+    rows = account_docs(r).select("doc_key", F.posexplode(split_sections(F.col("body"))).alias("pos", "section"))
+    return rows.select(F.col("doc_key").cast("bigint").alias("account_id"), whole("pos", "section_seq"), "section")
+
+
+@query("count_tokens", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS tokens FROM documents")
+def _(r):
+    return r.table("documents").select("doc_id", whole(count_tokens(F.col("text")), "tokens"))
+
+
+def spans_sql(source: str, key: str, low: str, length: str) -> str:
+    """Windows of 800 tokens with step 700 over ``length`` tokens from ``low``."""
+    return f"""
+  SELECT {key}, tokens, {low} + st AS first_token, least(800, {length} - st) AS n_tokens, {'idx' if low != '0' else '0'} AS idx
+  FROM (SELECT *, unnest(range(0, greatest({length} - 100 - 1, 0) + 1, 700)) AS st FROM {source})"""
+
+
+CHUNK_HASH = "sha256(array_to_string(list_slice(tokens, first_token + 1, first_token + n_tokens), ' '))"
+
+
+@query(
+    "sliding_window",
+    f"""
+SELECT doc_id, CAST(first_token // 700 AS BIGINT) AS window_seq, CAST(first_token AS BIGINT) AS first_token, CAST(n_tokens AS BIGINT) AS n_tokens,
+       {CHUNK_HASH} AS content_hash FROM spans""",
+    tok="  SELECT doc_id, regexp_extract_all(text, '\\S+') AS tokens, len(regexp_extract_all(text, '\\S+')) AS n FROM documents",
+    spans=spans_sql("tok", "doc_id", "0", "n"),
+)
+def _(r):
+    windows = sliding_windows(r.table("documents"), "doc_id", "text")
+    return windows.select(
+        "doc_id",
+        whole("window_seq", "window_seq"),
+        whole("first_token", "first_token"),
+        whole("n_tokens", "n_tokens"),
+        content_hash(collapse_space(F.col("content"))).alias("content_hash"),
+    )
+
+
+CHUNKS = {
+    **SECTION,
+    "tok": """
+  SELECT account_id, idx, n, sum(n) OVER (PARTITION BY account_id ORDER BY idx) AS e, tokens FROM (
+    SELECT account_id, idx, len(regexp_extract_all(section, '\\S+')) AS n FROM sections)
+  JOIN (SELECT account_id, regexp_extract_all(body, '\\S+') AS tokens FROM account_doc) USING (account_id)""",
+    "placed": "  SELECT *, CAST(greatest(e - n - 100, 0) AS BIGINT) AS lo, CAST(e - greatest(e - n - 100, 0) AS BIGINT) AS span FROM tok",
+    "spans": spans_sql("placed", "account_id", "lo", "span"),
+    "chunk": f"""
+  SELECT account_id, row_number() OVER (PARTITION BY account_id ORDER BY idx, first_token) - 1 AS chunk_seq, first_token, n_tokens, tokens,
+         {CHUNK_HASH} AS content_hash FROM spans""",
+}
+
+
+def account_chunks(r):
+    return chunk_document(account_docs(r), "doc_key", "body")
+
+
+@query("chunk_document", "SELECT account_id, chunk_seq, content_hash FROM chunk", **CHUNKS)
+def _(r):
+    """Account documents in chunks; compared with white space collapsed, as tokens are what the rule is about."""
+    return account_chunks(r).select(
+        F.col("doc_key").cast("bigint").alias("account_id"),
+        whole("chunk_seq", "chunk_seq"),
+        content_hash(collapse_space(F.col("content"))).alias("content_hash"),
+    )
+
+
+@query("chunk_sequence", "SELECT account_id, max(chunk_seq) + 1 AS chunks, CAST(sum(chunk_seq) AS BIGINT) AS seq_sum FROM chunk GROUP BY 1", **CHUNKS)
+def _(r):
+    grouped = account_chunks(r).groupBy(F.col("doc_key").cast("bigint").alias("account_id"))
+    return grouped.agg(whole(F.max("chunk_seq") + 1, "chunks"), whole(F.sum("chunk_seq"), "seq_sum"))
+
+
+@query(
+    "overlap_carry",
+    "SELECT account_id, chunk_seq, CAST(n_tokens AS BIGINT) AS tokens, tokens[first_token + 1] AS first_token FROM chunk",
+    **CHUNKS,
+)
+def _(r):
+    """Every chunk starts with the tail of what came before: its first token and length show it."""
+    text = collapse_space(F.col("content"))
+    return account_chunks(r).select(
+        F.col("doc_key").cast("bigint").alias("account_id"),
+        whole("chunk_seq", "chunk_seq"),
+        whole(F.size(F.split(text, " ")), "tokens"),
+        F.split(text, " ")[0].alias("first_token"),
+    )
+
+
+@query("embed_batch", "SELECT doc_id, CAST(64 AS BIGINT) AS dims, CAST(1 AS DOUBLE) AS norm FROM documents")
+def _(r):
+    vectors = embed_batch(r.table("documents"), "doc_id", "text")
+    return vectors.select("doc_id", whole(F.size("vector"), "dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))

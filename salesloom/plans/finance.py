@@ -243,7 +243,7 @@ IDLE = {
     SELECT person_id, allocate_type, assign_percent, CAST(m AS DATE) AS month,
            date_diff('day', greatest(start_date, CAST(m AS DATE)), least(finish_date, last_day(CAST(m AS DATE)))) + 1 AS active_days
     FROM (SELECT *, unnest(generate_series(date_trunc('month', start_date)::TIMESTAMP, finish_date::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM allocation))
-  GROUP BY ALL""",
+  GROUP BY person_id, allocate_type, month""",
 }
 
 

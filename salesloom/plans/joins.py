@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from salesloom.functions.text import slugify
 from salesloom.operators.docs import clean_notes
 from salesloom.operators.finance import employed, month_pieces
 from salesloom.operators.lenses import lens_industry, lens_salesperson, lens_solution
@@ -395,13 +394,3 @@ def _(r):
     )
     solutions = F.when(F.size("_s") > 0, F.array_join("_s", ","))
     return rows.select("account_id", solutions.alias("solutions"), "people")
-
-
-@query(
-    "slugify",
-    """
-SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (
-  SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\-]+', '-', 'g'), '-+', '-', 'g'), '-') AS s FROM documents)""",
-)
-def _(r):
-    return r.table("documents").select("doc_id", slugify(F.col("text")).alias("slug"))

@@ -1,0 +1,65 @@
+"""The incremental jobs, run over the given tables until nothing is left, then read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from salesloom.functions.text import content_hash
+from salesloom.plans.registry import query
+from salesloom.plans.shapes import money, sql_money
+from salesloom.streaming import jobs
+
+
+@query("stream_ingest", "SELECT event_id, user_id, event_type FROM events")
+def _(r):
+    checkpoint, target = jobs.stream_paths(r.spark, "ingest")
+    jobs.stream_ingest(jobs.table_stream(r.spark, r.sf_dir, "events").select("event_id", "user_id", "event_type"), checkpoint, target)
+    return r.spark.read.parquet(target).select("event_id", "user_id", "event_type")
+
+
+@query("stream_upsert", "SELECT doc_id, sha256(text) AS md_hash FROM documents")
+def _(r):
+    """The documents arrive twice; the second run has new files only if there are any."""
+    checkpoint, target = jobs.stream_paths(r.spark, "upsert")
+    for _ in range(2):
+        stream = jobs.table_stream(r.spark, r.sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("md_hash"))
+        jobs.stream_upsert(stream, checkpoint, target, ["doc_id"])
+    return jobs.current(r.spark, target, "doc_id bigint, md_hash string").select("doc_id", "md_hash")
+
+
+@query(
+    "stream_hourly_counts",
+    f"""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, {sql_money('sum(CAST(value AS DECIMAL(12,2)))', 'total')}
+FROM events GROUP BY 1, 2""",
+)
+def _(r):
+    checkpoint, target = jobs.stream_paths(r.spark, "hourly")
+    events = jobs.table_stream(r.spark, r.sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("decimal(12,2)").alias("value")
+    )
+    jobs.stream_hourly_counts(events, "ts", "event_type", "value", checkpoint, target)
+    table = jobs.current(r.spark, target, "hour timestamp, event_type string, events bigint, total decimal(22,2)")
+    return table.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "events", money("total", "total"))
+
+
+@query(
+    "stream_latest",
+    "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+)
+def _(r):
+    checkpoint, target = jobs.stream_paths(r.spark, "latest")
+    events = jobs.table_stream(r.spark, r.sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    jobs.stream_latest(events, checkpoint, target, ["user_id"], ["ts", "event_id"])
+    return jobs.current(r.spark, target, events.schema).select("user_id", "event_id", "value")
+
+
+@query(
+    "stream_enrich",
+    "SELECT event_id AS activity_id, coalesce(CAST(o_custkey AS VARCHAR), '') AS account_id FROM events LEFT JOIN orders ON user_id = o_orderkey",
+)
+def _(r):
+    checkpoint, target = jobs.stream_paths(r.spark, "enrich")
+    events = jobs.table_stream(r.spark, r.sf_dir, "events").select(F.col("event_id").alias("activity_id"), F.col("user_id").alias("deal_id"))
+    jobs.stream_ingest(jobs.stream_enrich(events, r.deal_core), checkpoint, target)
+    return r.spark.read.parquet(target).select("activity_id", "account_id")

@@ -1,0 +1,146 @@
+"""Scalar functions over whole columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from salesloom.functions.dates import days_in_month, days_inclusive, month_sort, month_text
+from salesloom.functions.text import be_to_ce_year, content_hash, extract_json, slugify, strip_html
+from salesloom.functions.values import default_text, format_value, is_guid, join_nonempty, strip_suffix
+from salesloom.plans.registry import query
+from salesloom.plans.shapes import whole
+
+
+def strip_html_sql(col: str) -> str:
+    """The entities the pages hold, decoded in the order that unescapes each once."""
+    text = f"regexp_replace({col}, '<[^>]+>', ' ', 'g')"
+    for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({text}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+@query("strip_html", f"SELECT page_id, {strip_html_sql('html')} AS body FROM pages")
+def _(r):
+    return r.table("pages").select("page_id", strip_html(F.col("html")).alias("body"))
+
+
+@query(
+    "slugify",
+    """
+SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\-]+', '-', 'g'), '-+', '-', 'g'), '-') AS s FROM documents)""",
+)
+def _(r):
+    return r.table("documents").select("doc_id", slugify(F.col("text")).alias("slug"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS full_hash, substr(sha256(text), 1, 16) AS short_hash FROM documents")
+def _(r):
+    text = F.col("text")
+    return r.table("documents").select("doc_id", content_hash(text).alias("full_hash"), content_hash(text, 16).alias("short_hash"))
+
+
+@query(
+    "be_to_ce_year",
+    "SELECT o_orderkey, 'ปี' || year(o_orderdate) || ' no. ' || (year(o_orderdate) + 543) || 'x, ' || year(o_orderdate) AS question FROM orders",
+)
+def _(r):
+    be = (F.year("o_orderdate") + 543).cast("string")
+    written = F.concat(F.lit("ปี"), be, F.lit(" no. "), be, F.lit("x, "), be)
+    return r.table("orders").select("o_orderkey", be_to_ce_year(written).alias("question"))
+
+
+@query(
+    "join_nonempty",
+    "SELECT account_id, CASE WHEN p = '' THEN '—' ELSE p END AS place FROM (SELECT account_id, concat_ws(', ', nullif(city, 'NATION_3'), nullif(province, 'AMERICA')) AS p FROM account)",
+)
+def _(r):
+    city = F.when(F.col("city") != "NATION_3", F.col("city")).otherwise("")
+    province = F.when(F.col("province") != "AMERICA", F.col("province")).otherwise("")
+    return r.account.select("account_id", join_nonempty([city, province]).alias("place"))
+
+
+@query(
+    "format_value",
+    """
+SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS plan_amount, format('{:,}', o_custkey * 1000) AS customer,
+       regexp_replace(format('{:,.4f}', o_orderkey / 8.0::DOUBLE), '\\.?0+$', '') AS eighth
+FROM orders""",
+)
+def _(r):
+    eighth = F.col("o_orderkey") / F.lit(8.0)
+    return r.table("orders").select(
+        "o_orderkey",
+        format_value("plan_amount", F.col("o_totalprice"), "double").alias("plan_amount"),
+        format_value("customer", F.col("o_custkey") * 1000, "bigint").alias("customer"),
+        format_value("eighth", eighth, "double").alias("eighth"),
+    )
+
+
+GUID_SQL = """
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)
+                      ELSE h || '-dd' END AS id
+  FROM (SELECT doc_id, md5(text) AS h FROM documents)"""
+
+
+@query(
+    "is_guid",
+    "SELECT doc_id, length(id) = 36 AND length(id) - length(replace(id, '-', '')) = 4 AS is_guid FROM ids",
+    ids=GUID_SQL,
+)
+def _(r):
+    h = F.md5("text")
+    pieces = [F.substring(h, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    ident = F.when(F.col("doc_id") % 2 == 0, F.concat_ws("-", *pieces)).otherwise(F.concat(h, F.lit("-dd")))
+    return r.table("documents").select("doc_id", is_guid(ident).alias("is_guid"))
+
+
+@query("strip_suffix", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS id FROM documents")
+def _(r):
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".md").otherwise(""))
+    return r.table("documents").select("doc_id", strip_suffix(name).alias("id"))
+
+
+@query(
+    "date_parts",
+    """
+SELECT deal_id, CAST(year(created) AS BIGINT) AS year, CAST(month(created) AS BIGINT) AS month, 'Q' || quarter(created) AS quarter,
+       strftime(created, '%b %Y') AS month_year, CAST(year(created) * 100 + month(created) AS BIGINT) AS month_sort FROM deal_core""",
+)
+def _(r):
+    day = F.col("created")
+    return r.deal_core.select(
+        "deal_id",
+        whole(F.year(day), "year"),
+        whole(F.month(day), "month"),
+        F.concat(F.lit("Q"), F.quarter(day).cast("string")).alias("quarter"),
+        month_text(day).alias("month_year"),
+        whole(month_sort(day), "month_sort"),
+    )
+
+
+@query(
+    "days_between",
+    "SELECT deal_id, CAST(date_diff('day', created, est_close) + 1 AS BIGINT) AS days, CAST(day(last_day(created)) AS BIGINT) AS month_days FROM deal_core",
+)
+def _(r):
+    return r.deal_core.select(
+        "deal_id",
+        whole(days_inclusive(F.col("created"), F.col("est_close")), "days"),
+        whole(days_in_month(F.col("created")), "month_days"),
+    )
+
+
+@query("default_text", "SELECT deal_id, coalesce(solution, '—') AS solution, coalesce(person, '(no name)') AS person FROM deal")
+def _(r):
+    return r.deal.select(
+        "deal_id", default_text(F.col("solution")).alias("solution"), default_text(F.col("person"), "(no name)").alias("person")
+    )
+
+
+@query("extract_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(r):
+    """The answer of a chatty source: text around one JSON object."""
+    chatty = F.concat(F.lit("Sure, here it is:\n"), F.col("props"), F.lit("\nDone."))
+    parsed = F.from_json(extract_json(chatty), "k bigint", {"mode": "PERMISSIVE"})
+    return r.table("events").select("event_id", parsed["k"].alias("k"))
