@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.functions.text import collapse_edges, content_hash
+from salesloom.functions.text import collapse_edges, content_hash, let
 
 
 def split_tokens(col: Column) -> Column:
@@ -53,53 +53,62 @@ def chunk_document(
     """``key, chunk_seq, content, md_hash`` for every document."""
     if size < 2 * overlap:
         raise ValueError("size must be at least twice the overlap")
-    tokens = F.transform(F.col("_sections"), lambda s: tokenizer(F.concat(s, F.lit("\n"))))
-    sizes = F.transform(F.col("_tokens"), F.size)
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size("_tokens")),
-        lambda i: F.aggregate(F.slice("_sizes", 1, i), F.lit(0), lambda a, b: a + b),
-    )
 
-    def spans(end: Column, i: Column) -> Column:
-        low = F.greatest(end - F.element_at("_sizes", i + 1) - overlap, F.lit(0))
-        return F.transform(
-            window_spans(end - low, size, overlap),
-            lambda w: F.struct((low + w["start"]).alias("start"), w["length"].alias("length")),
+    def cut(sections: Column) -> Column:
+        per_section = F.transform(sections, lambda s: tokenizer(F.concat(s, F.lit("\n"))))
+        return let(per_section, lambda t: let(F.flatten(t), lambda words: _texts(words, _spans(F.transform(t, F.size)))))
+
+    def _spans(sizes: Column) -> Column:
+        """(section start - overlap, section end) in tokens of the document, one per section."""
+        empty = F.array().cast("array<struct<low:int,high:int>>")
+        folded = F.aggregate(
+            sizes,
+            F.struct(F.lit(0).alias("end"), empty.alias("spans")),
+            lambda acc, n: F.struct(
+                (acc["end"] + n).alias("end"),
+                F.array_append(
+                    acc["spans"],
+                    F.struct(F.greatest(acc["end"] - overlap, F.lit(0)).alias("low"), (acc["end"] + n).alias("high")),
+                ).alias("spans"),
+            ),
+        )
+        return folded["spans"]
+
+    def _texts(words: Column, spans: Column) -> Column:
+        windows = F.flatten(
+            F.transform(
+                spans,
+                lambda s: F.transform(
+                    window_spans(s["high"] - s["low"], size, overlap),
+                    lambda w: F.struct((s["low"] + w["start"]).alias("start"), w["length"].alias("length")),
+                ),
+            )
         )
+        return F.transform(windows, lambda w: _text(words, w["start"], w["length"]))
 
-    content = F.transform(
-        F.flatten(F.transform("_ends", spans)),
-        lambda w: collapse_edges(F.array_join(F.slice("_all", w["start"] + 1, w["length"]), "")),
-    )
-    return (
-        docs.select(F.col(key), split_sections(F.coalesce(F.col(text), F.lit(""))).alias("_sections"))
-        .withColumn("_tokens", tokens)
-        .withColumn("_sizes", sizes)
-        .withColumn("_ends", ends)
-        .withColumn("_all", F.flatten("_tokens"))
-        .select(key, F.posexplode(content).alias("chunk_seq", "content"))
-        .withColumn("md_hash", content_hash(F.col("content")))
-    )
+    return docs.select(
+        key, F.posexplode(let(split_sections(F.coalesce(F.col(text), F.lit(""))), cut)).alias("chunk_seq", "content")
+    ).withColumn("md_hash", content_hash(F.col("content")))
+
+
+def _text(words: Column, start: Column, length: Column) -> Column:
+    return collapse_edges(F.array_join(F.slice(words, start + 1, length), ""))
 
 
 def sliding_windows(docs: DataFrame, key: str, text: str, size: int = 800, overlap: int = 100) -> DataFrame:
     """Plain windows over the whole text, without sections: ``key, window_seq, first_token, n_tokens, content``."""
-    spans = window_spans(F.size("_all"), size, overlap)
-    return (
-        docs.select(F.col(key), split_tokens(F.col(text)).alias("_all"))
-        .where(F.size("_all") > 0)
-        .select(
-            key,
-            F.posexplode(
-                F.transform(
-                    spans,
-                    lambda w: F.struct(
-                        w["start"].alias("first_token"),
-                        w["length"].alias("n_tokens"),
-                        collapse_edges(F.array_join(F.slice("_all", w["start"] + 1, w["length"]), "")).alias("content"),
-                    ),
-                )
-            ).alias("window_seq", "_w"),
+
+    def windows(words: Column) -> Column:
+        return F.transform(
+            window_spans(F.size(words), size, overlap),
+            lambda w: F.struct(
+                w["start"].alias("first_token"),
+                w["length"].alias("n_tokens"),
+                _text(words, w["start"], w["length"]).alias("content"),
+            ),
         )
-        .select(key, "window_seq", "_w.*")
+
+    rows = docs.where(F.col(text).rlike(r"\S"))
+    return rows.select(key, F.posexplode(let(split_tokens(F.col(text)), windows)).alias("window_seq", "_w")).select(
+        key, "window_seq", "_w.*"
     )

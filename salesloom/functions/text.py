@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"  # what counts as white space, also outside ASCII
+# What counts as white space, also outside ASCII: as a pattern and as a list of characters.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 @F.pandas_udf(StringType())
@@ -36,15 +39,23 @@ def strip_html(col: Column) -> Column:
 
 def slugify(col: Column) -> Column:
     """File-safe key that keeps letters and digits of every script."""
-    low = F.lower(collapse_edges(F.coalesce(col, F.lit(""))))
-    dashed = F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}_\-]+", "-"), "-+", "-")
-    slug = F.regexp_replace(dashed, "^-+|-+$", "")
+    dashed = F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}_]+", "-")
+    slug = F.trim(dashed, F.lit("-"))
     return F.when(slug == "", "unknown").otherwise(slug)
 
 
 def collapse_edges(col: Column) -> Column:
     """Trim white space of any script from both ends."""
-    return F.regexp_replace(col, rf"^{SPACE}|{SPACE}$", "")
+    return F.trim(col, F.lit(SPACES))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    A column named in an earlier select may be copied back into the place that uses it, and
+    inside a lambda that means once per element; a lambda variable is never copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def content_hash(col: Column, length: int = 64) -> Column:

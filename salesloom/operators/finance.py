@@ -245,20 +245,30 @@ def man_cost_with_idle(cost: DataFrame, allocation: DataFrame, low: dt.date, hig
         .agg(F.sum("cost").cast("double").alias("cost"))
     )
     whole = 100 * F.day(F.last_day("month"))
-    shares = percent_days(allocation, low, high)
-    typed = monthly.join(shares, ["person_id", "month"]).select(
-        "allocate_type", F.when(F.col("percent_days") > 0, F.col("cost") * F.col("percent_days") / whole).alias("value")
+    shares = (
+        percent_days(allocation, low, high)
+        .groupBy("person_id", "month")
+        .agg(  # as many entries as there are allocation types
+            F.sum("percent_days").alias("_used"), F.collect_list(F.struct("allocate_type", "percent_days")).alias("_types")
+        )
     )
-    used = shares.groupBy("person_id", "month").agg(F.sum("percent_days").alias("_used"))
+
+    def entry(name: Column, value: Column) -> Column:
+        return F.struct(name.cast("string").alias("allocate_type"), value.alias("value"))
+
     rest = whole - F.coalesce("_used", F.lit(0))
-    idle = monthly.join(used, ["person_id", "month"], "left").select(
-        F.lit("Idle").alias("allocate_type"), F.when(rest > 0, F.col("cost") * rest / whole).alias("value")
+    typed = F.transform(
+        F.filter("_types", lambda t: t["percent_days"] > 0),
+        lambda t: entry(t["allocate_type"], F.col("cost") * t["percent_days"] / whole),
+    )
+    others = F.array(
+        entry(F.lit("Idle"), F.when(rest > 0, F.col("cost") * rest / whole)), entry(F.lit(None), F.col("cost"))
     )
-    total = monthly.select(F.lit(None).cast("string").alias("allocate_type"), F.col("cost").alias("value"))
+    entries = F.when(F.col("_types").isNull(), others).otherwise(F.concat(typed, others))
     return (
-        typed.unionByName(idle)
-        .unionByName(total)
-        .groupBy("allocate_type")
-        .agg(F.sum("value").alias("man_cost"))
+        monthly.join(shares, ["person_id", "month"], "left")
+        .select(F.explode(entries).alias("_e"))
+        .groupBy("_e.allocate_type")
+        .agg(F.sum("_e.value").alias("man_cost"))
         .where(F.col("man_cost").isNotNull())
     )

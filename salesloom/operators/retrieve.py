@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from salesloom.session import materialize
+
 QUERY_BLOCK = 2_048
 CORPUS_BLOCK = 20_000
 HIT_SCHEMA = "query_id bigint, item_id bigint, score double"
@@ -169,23 +171,25 @@ def keyword_score(
 ) -> DataFrame:
     """BM25 (Robertson and Zaragoza) of ``queries(query_id, text)`` over ``corpus(item_id, text)``.
 
-    Only terms that some query uses leave the text scan; their counts per item and per corpus
-    are partial aggregations.
+    The texts are read once: one pass counts the terms some query uses, plus one row per item
+    for its length, into an intermediate table that the statistics and the scores share.
     """
     from salesloom.functions.text import words
 
     blocks.setdefault("corpus_block", CORPUS_BLOCK // 4)  # a text has many terms, a vector is one row
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    texts = corpus.select("item_id", words(F.col("text")).alias("_words")).withColumn("_len", F.size("_words"))
-    stats = texts.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))
-    n_items, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
-    postings = (
-        texts.select("item_id", "_len", F.explode("_words").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("item_id", "_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    every_item = F.lit("")  # not a word, so never a term
+    vocabulary = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(every_item.alias("term")))
+    terms = corpus.select("item_id", words(F.col("text")).alias("_words")).select(
+        "item_id", F.size("_words").alias("_len"), F.explode(F.array_append("_words", every_item)).alias("term")
     )
+    counted = terms.join(vocabulary, "term", "left_semi").groupBy("item_id", "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = materialize(counted, "postings")
+
+    lengths = counts.where(F.col("term") == every_item)
+    n_items = lengths.agg(F.count(F.lit(1)).alias("n")).scalar()
+    avg_len = lengths.agg(F.avg("_len").alias("avg_len")).scalar()
+    postings = counts.where(F.col("term") != every_item)
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(frequency, "term").select(
         "query_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from salesloom.functions.chunks import chunk_document, count_tokens, sliding_windows, split_sections
@@ -252,3 +253,34 @@ def _(r):
 def _(r):
     vectors = embed_batch(r.table("documents"), "doc_id", "text")
     return vectors.select("doc_id", whole(F.size("vector"), "dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+
+
+def vowel_shares(batch: list[str]) -> np.ndarray:
+    """A stand-in for a user's model: the share of each vowel in a text."""
+    return np.array([[text.count(v) / max(len(text), 1) for v in "aeiou"] for text in batch])
+
+
+@query(
+    "encoder",
+    """
+SELECT doc_id, CAST(5 AS BIGINT) AS dims, round((length(text) - length(replace(text, 'a', ''))) / greatest(length(text), 1), 4) AS a_share FROM documents""",
+)
+def _(r):
+    """A user's encoder in place of the default one."""
+    vectors = embed_batch(r.table("documents"), "doc_id", "text", vowel_shares, batch=32)
+    return vectors.select("doc_id", whole(F.size("vector"), "dims"), F.round(F.col("vector")[0].cast("double"), 4).alias("a_share"))
+
+
+@query(
+    "tokenizer",
+    """
+SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines,
+       CAST(greatest(ceil((len(string_split(text, chr(10))) - 2) / 18.0), 1) AS BIGINT) AS chunks FROM documents""",
+)
+def _(r):
+    """A user's tokenizer in place of the default one: a line is a token, 20 per chunk, 2 carried."""
+    documents = r.table("documents").select("doc_id", "text")
+    chunks = chunk_document(documents, "doc_id", "text", size=20, overlap=2, tokenizer=lambda c: F.regexp_extract_all(c, F.lit("[^\n]*\n"), F.lit(0)))
+    counted = chunks.groupBy("doc_id").agg(whole(F.count(F.lit(1)), "chunks"))
+    lines = documents.select("doc_id", whole(F.size(F.split("text", "\n")), "lines"))
+    return lines.join(counted, "doc_id").select("doc_id", "lines", "chunks")

@@ -19,7 +19,18 @@ from salesloom.operators.upsert import (
 )
 from salesloom.plans.registry import query
 from salesloom.session import shared_dir
-from salesloom.sources.files import load_entities, missing_columns, scan_header_csv, scan_manifest_csv
+from salesloom.sources.files import (
+    discover_entities,
+    load_entities,
+    missing_columns,
+    rename,
+    sanitize_name,
+    scan_header_csv,
+    scan_infer_csv,
+    scan_manifest_csv,
+    strip_brackets,
+    write_table_overwrite,
+)
 
 ACCOUNT_COLUMNS = ["account_id", "account_name", "industry", "city", "province"]
 ACCOUNT_TEXT_SQL = """
@@ -269,3 +280,52 @@ def _(r):
     documents = r.table("documents")
     chunks = chunk_document(documents, "doc_id", "text").join(documents.select("doc_id", "lang"), "doc_id")
     return chunks.groupBy("lang").agg(F.count(F.lit(1)).alias("written"), F.countDistinct("md_hash").alias("distinct_chunks"))
+
+
+@query(
+    "scan_infer_csv",
+    "SELECT CAST(o_orderkey AS INTEGER) AS deal_id, o_totalprice AS plan_amount, CAST(o_orderdate AS DATE) AS created FROM orders",
+)
+def _(r):
+    deals = r.table("orders").select(
+        F.col("o_orderkey").alias("deal id"), F.col("o_totalprice").alias("plan (amount)"), F.col("o_orderdate").cast("date").alias("created")
+    )
+    rows, _ = scan_infer_csv(r.spark, _export(r, "Dim_Deal", deals, header=True), "Dim_Deal")
+    return rows.toDF("deal_id", "plan_amount", "created")
+
+
+@query("discover_entities", "SELECT 'Dim_Account' AS entity UNION ALL SELECT 'Dim_Contact'")
+def _(r):
+    root = shared_dir(r.spark, "parts")
+    r.account.select("account_id").write.csv(f"{root}/Dim_Account")
+    r.contact.select("contact_id").write.csv(f"{root}/Dim_Contact")
+    r.activity.select("activity_id").write.csv(f"{root}/Fact_Activity")
+    return discover_entities(r.spark, root)
+
+
+@query("bad_part_skip", "SELECT CAST(activity_id AS VARCHAR) AS activity_id, activity_type, '' AS state FROM activity")
+def _(r):
+    """Lines shorter than the manifest says still load, what they lack is empty."""
+    root = _export(r, "Fact_Activity", r.activity.select("activity_id", "activity_type"), header=False)
+    return scan_manifest_csv(r.spark, root, "Fact_Activity", ["activity_id", "activity_type", "state"])
+
+
+@query("sanitize_name", 'SELECT c_custkey AS "Account_ID", c_acctbal AS "Balance__THB_" FROM customer')
+def _(r):
+    named = r.table("customer").select(F.col("c_custkey").alias("Account ID"), F.col("c_acctbal").alias("Balance (THB)"))
+    return rename(named, sanitize_name)
+
+
+@query("strip_brackets", "SELECT c_custkey AS account_id, c_name AS company FROM customer")
+def _(r):
+    named = r.table("customer").select(F.col("c_custkey").alias("[account_id]"), F.col("c_name").alias("[company]"))
+    return rename(named, strip_brackets)
+
+
+@query("write_table_overwrite", "SELECT account_id, industry FROM account")
+def _(r):
+    """Written twice with different columns; the second write replaces rows and schema."""
+    path = shared_dir(r.spark, "table")
+    write_table_overwrite(r.account.select("account_id"), "Dim_Account_Copy", path=path)
+    name = write_table_overwrite(r.account.select("account_id", "industry"), "Dim_Account_Copy", path=path)
+    return r.spark.table(name)

@@ -143,9 +143,12 @@ def scan_infer_csv(spark: SparkSession, root: str, entity: str) -> tuple[DataFra
     return (rows, str(count)) if count else (None, "ZERO_ROWS")
 
 
-def write_table_overwrite(df: DataFrame, name: str, fmt: str = "parquet") -> str:
-    """Replace a managed table and its schema; the table name is lower case."""
-    df.write.mode("overwrite").format(fmt).option("overwriteSchema", True).saveAsTable(name.lower())
+def write_table_overwrite(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None) -> str:
+    """Replace a table and its schema; the table name is lower case, ``path`` makes it external."""
+    writer = df.write.mode("overwrite").format(fmt).option("overwriteSchema", True)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name.lower())
     return name.lower()
 
 
