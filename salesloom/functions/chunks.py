@@ -29,7 +29,7 @@ def count_tokens(col: Column) -> Column:
 def split_sections(col: Column) -> Column:
     """Split before each second-level heading; trimmed, empty parts dropped, whole text if none is left."""
     parts = F.filter(F.transform(F.split(col, r"(?m)^(?=##\s)"), collapse_edges), lambda p: p != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(col))
+    return let(parts, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(col)))
 
 
 def window_spans(length: Column, size: int, overlap: int) -> Column:

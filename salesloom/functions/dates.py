@@ -8,18 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def in_range(day: Column, first: dt.date, last: dt.date) -> Column:
+    """Both days included, written half-open: right for dates and timestamps, and a plain
+    comparison with the stored column, so it is pushed to the scan."""
+    return (day >= F.lit(first)) & (day < F.lit(last + dt.timedelta(days=1)))
+
+
 def in_year_to_date(day: Column, as_of: dt.date) -> Column:
-    """From 1 January of the reporting year up to the reporting date: a plain range, so it is pushed down."""
-    return (day >= F.lit(dt.date(as_of.year, 1, 1))) & (day <= F.lit(as_of))
+    """From 1 January of the reporting year up to the reporting date."""
+    return in_range(day, dt.date(as_of.year, 1, 1), as_of)
 
 
 def in_year(day: Column, year: int) -> Column:
-    return (day >= F.lit(dt.date(year, 1, 1))) & (day <= F.lit(dt.date(year, 12, 31)))
+    return in_range(day, dt.date(year, 1, 1), dt.date(year, 12, 31))
 
 
 def in_month(day: Column, year: int, month: int) -> Column:
     following = dt.date(year + month // 12, month % 12 + 1, 1)
-    return (day >= F.lit(dt.date(year, month, 1))) & (day < F.lit(following))
+    return in_range(day, dt.date(year, month, 1), following - dt.timedelta(days=1))
 
 
 def month_text(day: Column) -> Column:

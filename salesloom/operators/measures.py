@@ -33,8 +33,13 @@ class Derived:
 
 MEASURES: dict[str, Measure | Derived] = {}
 
-# The date a fact is filtered by for a year-to-date measure.
-FACT_DATE = {"deal": "created", "actual": "actual_date", "target": "target_month", "activity": "activity_date"}
+# The date a fact is filtered by for a year-to-date measure: the stored one if the fact has it.
+FACT_DATE = {
+    "deal": ("created_at", "created"),
+    "actual": ("actual_at", "actual_date"),
+    "target": ("target_month",),
+    "activity": ("activity_at", "activity_date"),
+}
 
 
 def register_measure(name: str, fact: str, expr: Callable[[dt.date], Column]) -> None:
@@ -150,7 +155,8 @@ def measure_by(
         if where is not None:
             rows = rows.where(where)
         if year_to_date:
-            rows = rows.where(in_year_to_date(F.col(FACT_DATE[fact]), as_of))
+            day = next(c for c in FACT_DATE[fact] if c in rows.columns)
+            rows = rows.where(in_year_to_date(F.col(day), as_of))
         parts[fact] = rows.groupBy(*dims).agg(*[MEASURES[m].expr(as_of).alias(m) for m in members])
     merged = drill_across(parts, dims)
     present = F.lit(False)

@@ -3,6 +3,10 @@
 A parent with up to ``block_size`` children is one row. A bigger one is several rows with
 the same key and increasing ``block``: nothing is dropped, no array grows with the data,
 and a parent that owns a third of all children is spread over many tasks.
+
+Group sizes are written to the shared folder first. Spark then knows their real size when it
+plans the join: a short list is broadcast and the children are shuffled once, a long one is
+joined by sort-merge with skew handling.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesloom.session import materialize
+
 BLOCK_SIZE = 10_000
 
 
@@ -35,13 +41,14 @@ def nest(parents: DataFrame, children: Mapping[str, DataFrame], key: str, block_
         tagged = rows if tagged is None else tagged.unionByName(rows, allowMissingColumns=True)
 
     counts = [F.count_if(F.col("_family") == n).alias(f"n_{n}") for n in names]
-    big = (  # at most rows / block_size keys
+    sizes = (  # at most rows / block_size keys
         tagged.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"), *counts)
         .where(F.col("_n") > block_size)
         .withColumn("blocks", F.ceil(F.col("_n") / block_size))
         .drop("_n")
     )
+    big = materialize(sizes, "sizes")
     blocks = F.coalesce(F.col("blocks"), F.lit(1).cast("bigint"))
     children_rows = tagged.join(big, key, "left").withColumn("block", block_of(F.struct("_family", *names), blocks))
     parent_rows = (
@@ -101,6 +108,7 @@ def grouped_items(rows: DataFrame, by: str, item_key: str, item: Column, stats:
     """
     totals = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), *stats)
     names = [c for c in totals.columns if c not in (by, "_n")]
+    totals = materialize(totals, "totals")
     blocks = F.ceil(F.col("_n") / block_size)
     return (
         rows.select(by, F.col(item_key).alias("_id"), item.alias("_item"))

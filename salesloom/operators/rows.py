@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesloom.session import materialize
+
 
 def entity_project(df: DataFrame, mapping: Mapping[str, str], where: Column | None = None) -> DataFrame:
     """``{wanted name: source column}``, order kept; an absent source column becomes ``""``."""
@@ -29,10 +31,11 @@ def dedup_keep_last(df: DataFrame, pk: Sequence[str], order_by: Sequence[Column]
 def latest_snapshot(df: DataFrame, part: str, snap: str) -> DataFrame:
     """All rows of the newest snapshot of each part.
 
-    The maximum is a partial aggregation with one row per part; the rows are then kept by a
-    semi join against that short list, so a part holding most rows is never gathered.
+    The maximum is a partial aggregation with one row per part, written down so that Spark
+    knows its size before it plans the semi join; a short list is broadcast and the rows stay
+    where they are, so a part holding most rows is never gathered.
     """
-    newest = df.groupBy(part).agg(F.max(snap).alias(snap))
+    newest = materialize(df.groupBy(part).agg(F.max(snap).alias(snap)), "newest")
     return df.join(newest, [part, snap], "left_semi")
 
 

@@ -12,7 +12,7 @@ from salesloom.operators.rank import md_row_table, row_cap, top_contributors, to
 from salesloom.plans.metrics import MOVEMENT_SQL, TYPES, YTD_SQL, facts, monthly, movements
 from salesloom.plans.registry import query
 from salesloom.plans.shapes import money, rate, sql_money, sql_rate, whole
-from salesloom.sources.roles import AS_OF
+from salesloom.sources.roles import AS_OF, has_status
 
 YEAR = AS_OF.year
 
@@ -22,7 +22,7 @@ def _actual_target(r, keys, actual_where=None, target_where=None):
     actual = r.actual.withColumn("month", F.trunc("actual_date", "month"))
     target = r.target.withColumnRenamed("target_month", "month")
     if actual_where is not None:
-        actual = actual.where(actual_where(F.col("actual_date")))
+        actual = actual.where(actual_where(F.col("actual_at")))
         target = target.where((target_where or actual_where)(F.col("month")))
     return drill_across(
         {
@@ -101,7 +101,7 @@ def _(r):
 )
 def top_open_deals(r):
     """Five largest open deals. The limit runs on deals alone; only the winners look up their account."""
-    best = topn(r.deal_core.where(F.col("status") == "Open").select("account_id", "deal_name", "plan_amount"), "plan_amount", 5)
+    best = topn(r.deal_core.where(has_status("Open")).select("account_id", "deal_name", "plan_amount"), "plan_amount", 5)
     return best.join(r.account.select("account_id", "account_name"), "account_id").select(
         "account_name", "deal_name", money("plan_amount", "pipeline")
     )
@@ -113,7 +113,7 @@ def top_open_deals(r):
     lost="  SELECT account_name, sum(plan_amount) AS lost_value FROM deal_core JOIN account USING (account_id) WHERE status = 'Lost' GROUP BY 1",
 )
 def _(r):
-    sums = r.deal_core.where(F.col("status") == "Lost").groupBy("account_id").agg(F.sum("plan_amount").alias("_v"))
+    sums = r.deal_core.where(has_status("Lost")).groupBy("account_id").agg(F.sum("plan_amount").alias("_v"))
     named = sums.join(r.account.select("account_id", "account_name"), "account_id").groupBy("account_name").agg(F.sum("_v").alias("lost_value"))
     return topn(named, "lost_value", 10).select("account_name", money("lost_value", "lost_value"))
 
@@ -125,7 +125,7 @@ def _(r):
 )
 def _(r):
     """All lost deals tied at the top possibility, as a ranking with ties returns them."""
-    best = topn(r.deal_core.where(F.col("status") == "Lost"), "possibility", 10)
+    best = topn(r.deal_core.where(has_status("Lost")), "possibility", 10)
     return best.join(r.account.select("account_id", "account_name"), "account_id", "left").select(
         "deal_name", "account_name", whole("possibility", "possibility"), money("plan_amount", "plan")
     )
@@ -137,7 +137,7 @@ WINRATE_SQL = """
 
 
 def _winrate(r):
-    closed = r.deal_core.where(F.col("status").isin("Won", "Lost"))
+    closed = r.deal_core.where(has_status("Won", "Lost"))
     counts = closed.groupBy("account_id").agg(F.count_if(F.col("status") == "Won").alias("won"), F.count(F.lit(1)).alias("closed"))
     named = counts.join(r.account.select("account_id", "account_name"), "account_id")
     return named.groupBy("account_name").agg(F.sum("won").alias("won"), F.sum("closed").alias("closed")).withColumn(
@@ -206,7 +206,7 @@ def _(r):
 def _(r):
     """A part of a name; the people are filtered first and reach both facts as a semi join."""
     people = r.salesperson.where(contains_any(F.col("person"), ["00001"])).select("person_id")
-    actual = r.actual.where(in_year(F.col("actual_date"), YEAR)).join(people, "person_id", "left_semi")
+    actual = r.actual.where(in_year(F.col("actual_at"), YEAR)).join(people, "person_id", "left_semi")
     target = r.target.where(in_year(F.col("target_month"), YEAR)).join(people, "person_id", "left_semi")
     parts = {"actual": actual.agg(F.sum("amount").alias("actual")), "target": target.agg(F.sum("target_amount").alias("target"))}
     return drill_across(parts, []).select(money("actual", "actual"), money("target", "target"))
@@ -218,7 +218,7 @@ def _(r):
     s="  SELECT solution, sum(plan_amount) AS pipeline FROM deal WHERE status = 'Open' AND solution IS NOT NULL GROUP BY 1",
 )
 def _(r):
-    sums = r.deal.where((F.col("status") == "Open") & F.col("solution").isNotNull()).groupBy("solution").agg(F.sum("plan_amount").alias("pipeline"))
+    sums = r.deal.where(has_status("Open") & F.col("solution").isNotNull()).groupBy("solution").agg(F.sum("plan_amount").alias("pipeline"))
     return topn(sums, "pipeline", 10).select("solution", money("pipeline", "pipeline"))
 
 
@@ -233,7 +233,7 @@ def _(r):
     a="  SELECT person, max(aging_days) AS oldest, count(*) AS deals FROM deal WHERE status = 'Open' AND person IS NOT NULL GROUP BY 1",
 )
 def _(r):
-    aged = r.deal.where((F.col("status") == "Open") & F.col("person").isNotNull()).groupBy("person").agg(
+    aged = r.deal.where(has_status("Open") & F.col("person").isNotNull()).groupBy("person").agg(
         F.max("aging_days").alias("oldest"), F.count(F.lit(1)).alias("deals")
     )
     return topn(aged, "oldest", 1).select("person", whole("oldest", "oldest"), "deals")
@@ -246,7 +246,7 @@ SELECT deal_name, person, CAST(aging_days AS BIGINT) AS aging_days, {sql_money('
 WHERE status = 'Open' AND instr(lower(person), '00000007') > 0""",
 )
 def _(r):
-    mine = (F.col("status") == "Open") & contains_any(F.col("person"), ["00000007"])
+    mine = has_status("Open") & contains_any(F.col("person"), ["00000007"])
     return r.deal.where(mine).select("deal_name", "person", whole("aging_days", "aging_days"), money("plan_amount", "plan"))
 
 
@@ -266,7 +266,7 @@ def _(r):
 
 @query("hot_deal_count", "SELECT count(*) FILTER (priority = '1-URGENT' AND status = 'Open') AS hot_deals FROM deal_core")
 def _(r):
-    return r.deal_core.agg(F.count_if((F.col("priority") == "1-URGENT") & (F.col("status") == "Open")).alias("hot_deals"))
+    return r.deal_core.agg(F.count_if((F.col("priority") == "1-URGENT") & has_status("Open")).alias("hot_deals"))
 
 
 @query(
@@ -289,7 +289,7 @@ def _(r):
     f"SELECT person, {sql_money('sum(plan_amount)', 'won')} FROM deal WHERE status = 'Won' AND created {YTD_SQL} GROUP BY 1",
 )
 def _(r):
-    won = r.deal.where((F.col("status") == "Won") & in_year_to_date(F.col("created"), AS_OF))
+    won = r.deal.where(has_status("Won") & in_year_to_date(F.col("created_at"), AS_OF))
     return won.groupBy("person").agg(money(F.sum("plan_amount"), "won"))
 
 
@@ -336,7 +336,7 @@ SELECT deal_id, {sql_money('plan_amount', 'plan')}, CAST(50 AS BIGINT) AS shown,
 FROM deal_core WHERE status = 'Open' ORDER BY plan_amount DESC, deal_id LIMIT 50""",
 )
 def _(r):
-    rows = r.deal_core.where(F.col("status") == "Open").select("deal_id", "plan_amount")
+    rows = r.deal_core.where(has_status("Open")).select("deal_id", "plan_amount")
     return row_cap(rows, [F.col("plan_amount").desc(), F.col("deal_id")], 50).select("deal_id", money("plan_amount", "plan"), "shown", "total")
 
 
@@ -362,7 +362,7 @@ SELECT CASE WHEN aging_days <= 30 THEN '0-30' WHEN aging_days <= 60 THEN '31-60'
 FROM deal_core WHERE status = 'Open' GROUP BY 1""",
 )
 def _(r):
-    open_deals = r.deal_core.where(F.col("status") == "Open")
+    open_deals = r.deal_core.where(has_status("Open"))
     return open_deals.groupBy(aging_bucket(F.col("aging_days")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("deals"), F.sum("aging_days").cast("bigint").alias("days")
     )

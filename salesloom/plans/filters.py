@@ -10,7 +10,7 @@ from salesloom.functions.dates import in_month, in_year
 from salesloom.functions.values import blank_to_null, contains_any
 from salesloom.plans.registry import query
 from salesloom.plans.shapes import money, sql_money, whole
-from salesloom.sources.roles import AS_OF
+from salesloom.sources.roles import AS_OF, has_status
 
 
 @query("filter_eq", "SELECT account_id, account_name FROM account WHERE industry = 'MACHINERY'")
@@ -36,7 +36,7 @@ def _(r):
 
 @query("filter_status_in", "SELECT deal_id, status FROM deal_core WHERE status IN ('Won', 'Lost')")
 def _(r):
-    return r.deal_core.where(F.col("status").isin("Won", "Lost")).select("deal_id", "status")
+    return r.deal_core.where(has_status("Won", "Lost")).select("deal_id", "status")
 
 
 @query("filter_contains", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%hot%'")
@@ -90,7 +90,7 @@ def _(r):
     "SELECT account_id, count(*) AS closed FROM deal_core WHERE status IN ('Won','Lost') GROUP BY 1 HAVING count(*) >= 3",
 )
 def _(r):
-    closed = r.deal_core.where(F.col("status").isin("Won", "Lost")).groupBy("account_id").agg(F.count(F.lit(1)).alias("closed"))
+    closed = r.deal_core.where(has_status("Won", "Lost")).groupBy("account_id").agg(F.count(F.lit(1)).alias("closed"))
     return closed.where("closed >= 3")
 
 
@@ -107,7 +107,7 @@ def _(r):
             F.lit(label).alias("period"), F.count(F.lit(1)).alias("deals"), money(F.sum("plan_amount"), "plan")
         )
 
-    created = F.col("created")
+    created = F.col("created_at")
     return total("year", in_year(created, AS_OF.year)).unionByName(total("month", in_month(created, AS_OF.year, 5)))
 
 

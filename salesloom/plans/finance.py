@@ -92,7 +92,7 @@ def profit_loss(r, keys=(), total=False, ytd=False):
 
     def prepare(df):
         if ytd:
-            df = df.where(in_year_to_date(F.col("day"), AS_OF))
+            df = df.where(in_year_to_date(F.col("at"), AS_OF))
         return (
             df.withColumn("year", F.year("day").cast("bigint"))
             .withColumn("short_month", F.date_format("day", "MMM"))

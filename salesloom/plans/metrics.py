@@ -312,9 +312,9 @@ MOVEMENT_SQL = """
 
 
 def movements(r):
-    """Each value of a deal beside the one before; days cut a busy deal into many tasks."""
+    """Each value of a deal beside the one before; hours cut a busy deal into many tasks."""
     rows = r.table("events").select("event_id", F.col("user_id").alias("deal_id"), "ts", F.col("value").alias("current"))
-    return previous_value(rows, "deal_id", ["ts", "event_id"], "current", F.col("ts").cast("date"))
+    return previous_value(rows, "deal_id", ["ts", "event_id"], "current", F.date_trunc("hour", F.col("ts")))
 
 
 @query("previous_value", "SELECT event_id, deal_id, current, previous FROM movement", movement=MOVEMENT_SQL)
@@ -452,5 +452,5 @@ def _(r):
     f"SELECT count(*) AS deals, {sql_money('sum(plan_amount)', 'plan')} FROM deal_core WHERE created {YTD_SQL}",
 )
 def _(r):
-    rows = r.deal_core.where(in_year_to_date(F.col("created"), AS_OF))
+    rows = r.deal_core.where(in_year_to_date(F.col("created_at"), AS_OF))
     return rows.agg(F.count(F.lit(1)).alias("deals"), money(F.sum("plan_amount"), "plan"))

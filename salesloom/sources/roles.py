@@ -23,6 +23,14 @@ def net_amount() -> F.Column:
     return F.col("l_extendedprice").cast(MONEY) * (F.lit(1).cast(RATE) - F.col("l_discount").cast(RATE))
 
 
+STATUS_CODE = {"Won": "F", "Lost": "P", "Open": "O"}
+
+
+def has_status(*names: str) -> F.Column:
+    """Deals of these statuses, tested on the stored code."""
+    return F.col("status_code").isin(*[STATUS_CODE[n] for n in names])
+
+
 class Roles:
     """Lazy role tables over one folder of Parquet files."""
 
@@ -81,6 +89,8 @@ class Roles:
             .when(F.col("o_orderstatus") == "P", "Lost")
             .otherwise("Open")
             .alias("status"),
+            F.col("o_orderstatus").alias("status_code"),  # as stored: a filter on it reaches the scan
+            F.col("o_orderdate").alias("created_at"),
             (F.lit(110) - 20 * F.substring("o_orderpriority", 1, 1).cast("int")).alias("possibility"),
             F.col("o_orderpriority").alias("priority"),
             F.col("o_totalprice").cast(MONEY).alias("plan_amount"),
@@ -118,6 +128,7 @@ class Roles:
             F.col("l_partkey").alias("part_id"),
             F.col("l_suppkey").alias("person_id"),
             F.col("l_shipdate").cast("date").alias("actual_date"),
+            F.col("l_shipdate").alias("actual_at"),
             net_amount().alias("amount"),
         )
 
@@ -143,6 +154,7 @@ class Roles:
             F.col("event_type").alias("activity_type"),
             F.col("ts"),
             F.col("ts").cast("date").alias("activity_date"),
+            F.col("ts").alias("activity_at"),
             F.col("value").cast(MONEY).alias("value"),
             F.col("props"),
         )
@@ -177,7 +189,7 @@ class Roles:
         return (
             self.actual.join(part, "part_id", "left")
             .join(person, "person_id", "left")
-            .select("department", "deal_label", "solution", "amount", F.col("actual_date").alias("day"))
+            .select("department", "deal_label", "solution", "amount", F.col("actual_date").alias("day"), F.col("actual_at").alias("at"))
         )
 
     @cached_property
@@ -197,6 +209,7 @@ class Roles:
                 F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("p_brand")).alias("project_code"),
                 (F.col("l_extendedprice").cast(MONEY) * F.col("l_tax").cast(RATE)).alias("amount"),
                 F.col("l_shipdate").cast("date").alias("day"),
+                F.col("l_shipdate").alias("at"),
             )
         )
 
@@ -208,6 +221,7 @@ class Roles:
             .select(
                 F.col("l_suppkey").alias("person_id"),
                 F.col("l_shipdate").cast("date").alias("day"),
+                F.col("l_shipdate").alias("at"),
                 F.col("l_quantity").cast(MONEY).alias("cost"),
             )
             .join(person, "person_id", "left")
