@@ -84,12 +84,12 @@ register_measure("lost_count", "deal", lambda d: F.count_if(_is(LOST)))
 register_measure("open_count", "deal", lambda d: F.count_if(_is(OPEN)))
 register_measure("avg_deal_size", "deal", lambda d: ratio(F.sum(_plan()), F.count(F.lit(1))))
 register_measure("win_rate", "deal", lambda d: ratio(F.count_if(_is(WON)), F.count_if(_is(WON + LOST))))
-register_measure("avg_possibility", "deal", lambda d: F.avg(_possibility()).cast("double"))
+register_measure("avg_possibility", "deal", lambda d: F.avg(_possibility().cast("double")))
 register_measure("low_probability", "deal", lambda d: F.count_if(_is(OPEN) & (_possibility(100) < 50)))
 register_measure(
     "at_risk", "deal", lambda d: F.count_if(_is(OPEN) & ((_aging() > 90) | (_possibility(100) < 30)))
 )
-register_measure("avg_aging", "deal", lambda d: F.avg(F.when(_is(OPEN), _aging())).cast("double"))
+register_measure("avg_aging", "deal", lambda d: F.avg(F.when(_is(OPEN), _aging().cast("double"))))
 register_measure("max_aging", "deal", lambda d: F.max(F.when(_is(OPEN), _aging())))
 register_measure("stale", "deal", lambda d: F.count_if(_is(OPEN) & (_aging() > 90)))
 register_measure("forecast", "deal", lambda d: F.sum(F.when(_is(OPEN), _plan() * _possibility(0) / 100)))

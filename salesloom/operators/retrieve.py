@@ -236,7 +236,7 @@ def knn_approx(
     corpus: DataFrame,
     k: int = 5,
     dim: int = 64,
-    tables: int = 12,
+    tables: int = 20,
     bits: int = 4,
     query_block: int = QUERY_BLOCK,
     corpus_block: int = CORPUS_BLOCK,

@@ -24,7 +24,7 @@ def _(r):
     for _ in range(2):
         stream = jobs.table_stream(r.spark, r.sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("md_hash"))
         jobs.stream_upsert(stream, checkpoint, target, ["doc_id"])
-    return jobs.current(r.spark, target, "doc_id bigint, md_hash string").select("doc_id", "md_hash")
+    return jobs.current(r.spark, target, "doc_id bigint, md_hash string", ["doc_id"]).select("doc_id", "md_hash")
 
 
 @query(
@@ -39,7 +39,7 @@ def _(r):
         F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("decimal(12,2)").alias("value")
     )
     jobs.stream_hourly_counts(events, "ts", "event_type", "value", checkpoint, target)
-    table = jobs.current(r.spark, target, "hour timestamp, event_type string, events bigint, total decimal(22,2)")
+    table = jobs.current(r.spark, target, "hour timestamp, event_type string, events bigint, total decimal(22,2)", ["hour", "event_type"])
     return table.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "events", money("total", "total"))
 
 
@@ -51,7 +51,7 @@ def _(r):
     checkpoint, target = jobs.stream_paths(r.spark, "latest")
     events = jobs.table_stream(r.spark, r.sf_dir, "events").select("user_id", "event_id", "ts", "value")
     jobs.stream_latest(events, checkpoint, target, ["user_id"], ["ts", "event_id"])
-    return jobs.current(r.spark, target, events.schema).select("user_id", "event_id", "value")
+    return jobs.current(r.spark, target, events.schema, ["user_id"]).select("user_id", "event_id", "value")
 
 
 @query(

@@ -47,21 +47,17 @@ def rename(df: DataFrame, fix) -> DataFrame:
     return df.toDF(*[fix(c) for c in df.columns])
 
 
-def with_lineage(df: DataFrame) -> DataFrame:
-    """Add ``_path``, ``_part``, ``_snapshot`` and ``_seq`` (order of ingestion: live part, then snapshots by time)."""
+def with_lineage(df: DataFrame, sequence: bool = True) -> DataFrame:
+    """Add ``_path``, ``_part``, ``_snapshot`` and, for batch reads, ``_seq``: the order of
+    ingestion, live part first, then its snapshots by time, rows in file order."""
     path = F.col("_metadata.file_path")
-    return df.select(
-        "*",
-        path.alias("_path"),
-        F.regexp_extract(path, PART_ID, 1).alias("_part"),
-        F.regexp_extract(path, SNAPSHOT_ID, 1).alias("_snapshot"),
-        F.struct(
-            F.regexp_extract(path, SNAPSHOT_ID, 1).alias("snapshot"),
-            path.alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("_seq"),
-    )
+    snapshot = F.regexp_extract(path, SNAPSHOT_ID, 1)
+    columns = [path.alias("_path"), F.regexp_extract(path, PART_ID, 1).alias("_part"), snapshot.alias("_snapshot")]
+    if sequence:
+        start = F.col("_metadata.file_block_start")
+        row = F.monotonically_increasing_id()
+        columns.append(F.struct(snapshot.alias("snapshot"), path.alias("path"), start.alias("block"), row.alias("row")).alias("_seq"))
+    return df.select("*", *columns)
 
 
 def _missing(error: Exception) -> bool:

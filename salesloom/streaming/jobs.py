@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from salesloom.operators.upsert import merge_rows
+from salesloom.operators.upsert import changed_only
 from salesloom.session import shared_dir
 from salesloom.sources.files import text_schema, with_lineage
 
-VERSION = "_version"
+CHANGES, WHOLE = "changes", "whole"  # folder names of a versioned table
 
 
 def stream_parts(spark: SparkSession, root: str, entity: str, columns: Sequence[str], files_per_batch: int = 1000) -> DataFrame:
@@ -22,7 +22,8 @@ def stream_parts(spark: SparkSession, root: str, entity: str, columns: Sequence[
         spark.readStream.schema(text_schema(columns))
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(f"{root.rstrip('/')}/{entity}")
+        .csv(f"{root.rstrip('/')}/{entity}"),
+        sequence=False,
     ).na.fill("", list(columns))
 
 
@@ -34,31 +35,57 @@ def run_available(stream: DataFrame, checkpoint: str, each) -> None:
     query.awaitTermination()
 
 
-def current(spark: SparkSession, path: str, schema: StructType | str, before: int | None = None) -> DataFrame:
-    """The newest complete version of a versioned table, or an empty frame.
+# ---- Versioned tables ------------------------------------------------------------------
+#
+# A batch writes only the rows it changed, as one more version; reading takes the newest row
+# of each key. Every so many batches a version holds the whole table, so reads stay short.
+# All versions carry the number of their batch: a batch repeated after a failure reads what
+# lay before it and overwrites its own folder, so it gives the same table again.
 
-    A version is a sub-folder named by the batch that wrote it. ``before`` skips that batch
-    and later ones: a batch repeated after a failure starts from the version it started
-    from the first time, so it gives the same result.
-    """
+
+def _versions(spark: SparkSession, path: str, before: int | None) -> list[str]:
+    """Folders to read: the newest whole version and the changes after it."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = []
+    found: dict[int, str] = {}
     if fs.exists(folder):
         for status in fs.listStatus(folder):
             name = status.getPath().getName()
-            complete = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith(f"{VERSION}=") and fs.exists(complete):
-                done.append(int(name.split("=")[1]))
-    done = [v for v in done if before is None or v < before]
-    if not done:
+            kind, _, number = name.partition("=")
+            done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+            if kind in (CHANGES, WHOLE) and done and (before is None or int(number) < before):
+                if found.get(int(number), "").startswith(WHOLE):
+                    continue
+                found[int(number)] = name
+    start = max((n for n, name in found.items() if name.startswith(WHOLE)), default=min(found, default=0))
+    return [f"{path}/{found[n]}" for n in sorted(found) if n >= start]
+
+
+def current(
+    spark: SparkSession, path: str, schema: StructType | str, keys: Sequence[str], before: int | None = None
+) -> DataFrame:
+    """The table as of the last complete batch (or the last one ``before`` a batch)."""
+    folders = _versions(spark, path, before)
+    if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{VERSION}={max(done)}")
+    rows = spark.read.schema(schema).parquet(*folders)
+    if len(folders) == 1:
+        return rows
+    version = F.regexp_extract(F.col("_metadata.file_path"), rf"/(?:{CHANGES}|{WHOLE})=(\d+)/", 1).cast("bigint")
+    newest = rows.select("*", version.alias("_version")).groupBy(*keys).agg(
+        F.max_by(F.struct(*rows.columns), "_version").alias("_row")
+    )
+    return newest.select("_row.*")
 
 
-def write_version(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{VERSION}={batch_id}")
+def write_changes(changes: DataFrame, path: str, batch_id: int, keys: Sequence[str], whole_every: int = 24) -> None:
+    """Add a batch's changed rows; now and then write the whole table beside them."""
+    spark = changes.sparkSession
+    changes.write.mode("overwrite").parquet(f"{path}/{CHANGES}={batch_id}")
+    if batch_id % whole_every == whole_every - 1:
+        table = current(spark, path, changes.schema, keys, batch_id + 1)
+        table.write.mode("overwrite").parquet(f"{path}/{WHOLE}={batch_id}")
 
 
 def stream_ingest(stream: DataFrame, checkpoint: str, target: str) -> None:
@@ -67,29 +94,32 @@ def stream_ingest(stream: DataFrame, checkpoint: str, target: str) -> None:
 
 
 def stream_upsert(
-    stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], hash_col: str = "md_hash"
+    stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], hash_col: str = "md_hash", whole_every: int = 24
 ) -> None:
-    """Merge each batch of documents or chunks into the table by key and hash."""
+    """Merge each batch of documents or chunks into the table; rows with the stored hash are not written."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = current(batch.sparkSession, target, batch.schema, batch_id)
-        write_version(merge_rows(before, batch, keys, hash_col), target, batch_id)
+        stored = current(batch.sparkSession, target, batch.schema, keys, batch_id)
+        write_changes(changed_only(stored, batch, keys, hash_col), target, batch_id, keys, whole_every)
 
     run_available(stream, checkpoint, each)
 
 
-def stream_latest(stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], order: Sequence[str]) -> None:
+def stream_latest(
+    stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], order: Sequence[str], whole_every: int = 24
+) -> None:
     """Keep the newest row per key over all batches; an older snapshot that comes late changes nothing."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = current(batch.sparkSession, target, batch.schema, batch_id)
         newest = (  # max_by combines before the shuffle
-            before.unionByName(batch)
-            .groupBy(*keys)
+            batch.groupBy(*keys)
             .agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_row"))
             .select("_row.*")
         )
-        write_version(newest, target, batch_id)
+        stored = current(batch.sparkSession, target, batch.schema, keys, batch_id)
+        known = stored.select(*keys, F.struct(*order).alias("_stored"))
+        later = newest.join(known, list(keys), "left").where(F.col("_stored").isNull() | (F.struct(*order) > F.col("_stored")))
+        write_changes(later.select(*batch.columns), target, batch_id, keys, whole_every)
 
     run_available(stream, checkpoint, each)
 
@@ -104,14 +134,13 @@ def hourly_counts(events: DataFrame, ts: str, kind: str, value: str, late: str =
     )
 
 
-def stream_hourly_counts(events: DataFrame, ts: str, kind: str, value: str, checkpoint: str, target: str) -> None:
-    """Keep the hourly table up to date: changed windows of each batch replace their rows."""
-    keys = ["hour", kind]
+def stream_hourly_counts(
+    events: DataFrame, ts: str, kind: str, value: str, checkpoint: str, target: str, whole_every: int = 24
+) -> None:
+    """Keep the hourly table up to date: each batch writes the windows it changed."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = current(batch.sparkSession, target, batch.schema, batch_id)
-        kept = before.join(batch.select(*keys), keys, "left_anti")
-        write_version(kept.unionByName(batch), target, batch_id)
+        write_changes(batch, target, batch_id, ["hour", kind], whole_every)
 
     query = (
         hourly_counts(events, ts, kind, value)
