@@ -66,7 +66,10 @@ def current(
     spark: SparkSession, path: str, schema: StructType | str, keys: Sequence[str], before: int | None = None
 ) -> DataFrame:
     """The table as of the last complete batch (or the last one ``before`` a batch)."""
-    folders = _versions(spark, path, before)
+    return _newest(spark, _versions(spark, path, before), schema, keys)
+
+
+def _newest(spark: SparkSession, folders: Sequence[str], schema: StructType | str, keys: Sequence[str]) -> DataFrame:
     if not folders:
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(*folders)
@@ -82,9 +85,10 @@ def current(
 def write_changes(changes: DataFrame, path: str, batch_id: int, keys: Sequence[str], whole_every: int = 24) -> None:
     """Add a batch's changed rows; now and then write the whole table beside them."""
     spark = changes.sparkSession
-    changes.write.mode("overwrite").parquet(f"{path}/{CHANGES}={batch_id}")
+    written = f"{path}/{CHANGES}={batch_id}"
+    changes.write.mode("overwrite").parquet(written)
     if batch_id % whole_every == whole_every - 1:
-        table = current(spark, path, changes.schema, keys, batch_id + 1)
+        table = _newest(spark, [*_versions(spark, path, batch_id), written], changes.schema, keys)
         table.write.mode("overwrite").parquet(f"{path}/{WHOLE}={batch_id}")
 
 
