@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from salesloom.functions.values import blank_to_null, ratio
 from salesloom.operators.measures import _blank_sum, drill_across
 
-COST_TYPE = "decimal(38,6)"
-
 
 @dataclass(frozen=True)
 class Move:
@@ -29,24 +27,36 @@ def _entry(department: Column | str, amount: Column) -> Column:
     return F.struct(name.alias("department"), amount.alias("amount"))
 
 
+def _with_flags(df: DataFrame, keys: Sequence[str], moves: Sequence[Move], extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Amounts summed per key, department and which rules a row meets.
+
+    The rules are tested in the scan and the rows shrink to a few sums before the shuffle, so
+    moving amounts around costs nothing that grows with the table.
+    """
+    flags = {f"_move{i}": F.coalesce(m.test, F.lit(False)) for i, m in enumerate(moves)} | dict(extra or {})
+    by = [*keys, "department", *[test.alias(name) for name, test in flags.items()]]
+    return df.groupBy(*by).agg(F.sum("amount").alias("amount"))
+
+
 def _spread(df: DataFrame, entries: Sequence[Column], keys: Sequence[str]) -> DataFrame:
-    """Each row becomes its signed department entries in one pass over the table."""
+    """Each sum becomes its signed department entries."""
     kept = F.filter(F.array(*entries), lambda e: e.isNotNull())
     return df.select(*keys, F.explode(kept).alias("_e")).select(*keys, "_e.department", "_e.amount")
 
 
 def reallocate(df: DataFrame, moves: Sequence[Move], keys: Sequence[str] = ()) -> DataFrame:
-    """Base rows of known departments plus, per move, ``+amount`` to one and ``-amount`` from another.
+    """Sums of known departments plus, per move, ``+amount`` to one and ``-amount`` from another.
 
-    Summing the result gives the departments after the moves; the grand total is untouched.
+    ``df``: department, amount and what the moves test. Summing the entries gives the
+    departments after the moves; the grand total is untouched.
     """
     amount = F.col("amount")
     entries = [F.when(blank_to_null(F.col("department")).isNotNull(), _entry(F.col("department"), amount))]
-    for move in moves:
-        entries.append(F.when(move.test, _entry(move.to, amount)))
+    for i, move in enumerate(moves):
+        entries.append(F.when(F.col(f"_move{i}"), _entry(move.to, amount)))
         if move.source:
-            entries.append(F.when(move.test, _entry(move.source, -amount)))
-    return _spread(df, entries, keys)
+            entries.append(F.when(F.col(f"_move{i}"), _entry(move.source, -amount)))
+    return _spread(_with_flags(df, keys, moves), entries, keys)
 
 
 def revenue(income: DataFrame, moves: Sequence[Move], keys: Sequence[str] = (), total: bool = False) -> DataFrame:
@@ -83,12 +93,13 @@ def project_cost(
         rows = expense.where(~has_code | known).select(*keys, "amount")
         by = list(keys)
     else:
+        coded = F.col("_coded")
         entries = [
-            F.when(known & has_code, _entry(F.col("department"), amount)),
-            F.when(~has_code, _entry(blank_to, amount)),
-            *[F.when(m.test, _entry(m.to, amount)) for m in moves],
+            F.when(known & coded, _entry(F.col("department"), amount)),
+            F.when(~coded, _entry(blank_to, amount)),
+            *[F.when(F.col(f"_move{i}"), _entry(m.to, amount)) for i, m in enumerate(moves)],
         ]
-        rows = _spread(expense, entries, keys)
+        rows = _spread(_with_flags(expense, keys, moves, {"_coded": has_code}), entries, keys)
         by = [*keys, "department"]
     value = F.sum("amount")
     return rows.groupBy(*by).agg(F.when(F.round(value, 2) != 0, value).alias("project_cost"))

@@ -116,10 +116,10 @@ def _(r):
     return rows.select("year", money("revenue", "revenue"))
 
 
-@query("reallocate", f"SELECT department, {sql_money('sum(amount)', 'amount')}, count(*) AS entries FROM rev GROUP BY ALL", **DETAIL)
+@query("reallocate", f"SELECT department, {sql_money('sum(amount)', 'amount')} FROM rev GROUP BY ALL", **DETAIL)
 def _(r):
     rows = fin.reallocate(r.income, revenue_moves())
-    return rows.groupBy("department").agg(money(F.sum("amount"), "amount"), F.count(F.lit(1)).alias("entries"))
+    return rows.groupBy("department").agg(money(F.sum("amount"), "amount"))
 
 
 @query("f_man_cost", f"SELECT department, {YEAR_KEY}, {sql_money('sum(cost)', 'man_cost')} FROM man GROUP BY ALL", **DETAIL)
