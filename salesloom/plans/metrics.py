@@ -38,7 +38,8 @@ def facts(r) -> dict:
 
 def _deal_measure(key: str, name: str, sql_expr: str, column) -> None:
     """Register one deal measure grouped by industry."""
-    sql = f"SELECT industry, {sql_expr} FROM deal_core LEFT JOIN account USING (account_id) GROUP BY 1"
+    grouped = f"SELECT industry, {sql_expr} FROM deal_core LEFT JOIN account USING (account_id) GROUP BY 1"
+    sql = f"SELECT * FROM ({grouped}) WHERE {name} IS NOT NULL"
 
     @query(key, sql)
     def _(r):
