@@ -83,24 +83,24 @@ def test_listing(spark):
 
 def test_moves_keep_the_total(spark, rows):
     income = spark.createDataFrame(
-        [("SWD", "S", "x AS400", 10.0), ("SBS", "S", "as400", 5.0), ("", "S", "AS400", 3.0), ("(Blank)", "M", "Nova", 2.0), ("ENT", "M", "plain", 1.0)],
+        [("Soft", "S", "x Mainframe", 10.0), ("Base", "S", "mainframe", 5.0), ("", "S", "Mainframe", 3.0), ("(Blank)", "M", "Comet", 2.0), ("Firm", "M", "plain", 1.0)],
         "department string, solution string, label string, amount double")
-    test = (F.col("solution") == "S") & F.lower("label").contains("as400")
-    moves = [fin.Move(test, to="SBS", source="SWD"), fin.Move(F.col("label") == "Nova", to="ENT", source="SBS")]
+    test = (F.col("solution") == "S") & F.lower("label").contains("mainframe")
+    moves = [fin.Move(test, to="Base", source="Soft"), fin.Move(F.col("label") == "Comet", to="Firm", source="Base")]
     got = dict(rows(fin.revenue(income, moves)))
     # every matching row moves, whatever department it has
-    assert got == {"SWD": 10 - 18.0, "SBS": 5 + 18 - 2.0, "ENT": 1 + 2.0}
+    assert got == {"Soft": 10 - 18.0, "Base": 5 + 18 - 2.0, "Firm": 1 + 2.0}
     assert sum(got.values()) == fin.revenue(income, moves, total=True).first()[0] == 16.0
 
 
 def test_project_cost_detail_and_total(spark, rows):
     expense = spark.createDataFrame(
-        [("SWD", "P1", "a", 1.0), ("TM", " ", "a", 2.0), ("", "(Blank)", "a", 4.0), ("TM", "TPK", "bank", 8.0), ("TM", "TPK", "other", 16.0), ("", "P2", "a", 32.0), ("ENT", "P3", "a", 0.004)],
+        [("Soft", "P1", "a", 1.0), ("Time", " ", "a", 2.0), ("", "(Blank)", "a", 4.0), ("Time", "P9", "bank", 8.0), ("Time", "P9", "other", 16.0), ("", "P2", "a", 32.0), ("Firm", "P3", "a", 0.004)],
         "department string, project_code string, label string, amount double")
-    moves = [fin.Move((F.col("project_code") == "TPK") & (F.col("label") == "bank"), to="SWD"), fin.Move((F.col("project_code") == "TPK") & (F.col("label") != "bank"), to="TM")]
-    detail = dict(rows(fin.project_cost(expense, "CSI", moves)))
-    assert detail == {"SWD": 1 + 8.0, "TM": 8 + 16 + 16.0, "CSI": 6.0, "ENT": None}
-    total = fin.project_cost(expense, "CSI", moves, total=True).first()[0]
+    moves = [fin.Move((F.col("project_code") == "P9") & (F.col("label") == "bank"), to="Soft"), fin.Move((F.col("project_code") == "P9") & (F.col("label") != "bank"), to="Time")]
+    detail = dict(rows(fin.project_cost(expense, "Head", moves)))
+    assert detail == {"Soft": 1 + 8.0, "Time": 8 + 16 + 16.0, "Head": 6.0, "Firm": None}
+    total = fin.project_cost(expense, "Head", moves, total=True).first()[0]
     assert abs(total - (1 + 24 + 0.004 + 6)) < 1e-9
 
 
