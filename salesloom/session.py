@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +41,12 @@ def build_session(app: str = "salesloom", cpus: int | None = None) -> SparkSessi
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder that ``spark.checkpoint.dir`` names.
 
-    Every executor must see that folder. It is invented only for a local master, where one
-    machine is the whole cluster; elsewhere a missing setting is an error, not a fallback.
+    Every executor must see that folder. Where it is unset, a folder beside the warehouse's
+    tables is used and set, which all executors share as well; never a machine's own temp folder.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="salesloom-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 

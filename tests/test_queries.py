@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as contract
 from salesloom.check import compare, open_duckdb
+from salesloom.plans import load_all
 from salesloom.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = load_all()
 
 
 def run(spark, con, name):
