@@ -115,3 +115,23 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {words_sql("text", SPACE, False)} AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS win
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+hit AS (SELECT doc_id, i FROM x WHERE win IN (SELECT win FROM x GROUP BY 1 HAVING count(*) > 1)),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM hit),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT word.doc_id, count(gone.p) AS n, string_agg(word, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS t
+         FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op6_substring_dedup", OP6_SQL)
+def op6(spark, sf_dir):
+    from salesloom.llm.rlz import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
