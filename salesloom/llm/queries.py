@@ -135,3 +135,23 @@ def op6(spark, sf_dir):
     from salesloom.llm.rlz import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    from salesloom.llm.compression import fit, score
+    from salesloom.llm.language import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), "toxic", "toxic", fold(F.col("doc_id"), 5) != 0)
+    return score(docs, model, 5, 0)
+
+
+@query("op10_quality")
+def op10(spark, sf_dir):
+    from salesloom.llm.compression import fit, score
+    from salesloom.llm.language import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), "quality", "quality", fold(F.col("doc_id"), 3) != 1)
+    return score(docs, model, 3, 1)
