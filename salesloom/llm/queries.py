@@ -173,3 +173,10 @@ def op2(spark, sf_dir):
     from salesloom.llm.forest import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_html_text")
+def op5(spark, sf_dir):
+    from salesloom.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
