@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,23 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text")).alias(ROW)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that it is no column of the documents (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def if_small(stored: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a stored table after counting it; beyond ``limit`` rows Spark shuffles both sides."""
     return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
+
+
+def ship(spark: SparkSession, model) -> Broadcast:
+    """Broadcast a bounded model with its class, which the executors need not have; see ``unpack``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def unpack(sent: Broadcast):
+    return cloudpickle.loads(sent.value)

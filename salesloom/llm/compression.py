@@ -31,7 +31,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import if_small, store
+from salesloom.llm.common import if_small, ship, store, unpack
 from salesloom.llm.language import fold, sample_by
 
 SAMPLE = {0: 6000, 1: 6000}
@@ -202,15 +202,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, kind: str, learn: Column
 
 def score(docs: DataFrame, model: Model, parts: int, held: int) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
 
     def scan(batches):
-        features = sent.value.features() if sent.value.calibrate is not None else None
+        own = unpack(sent)
+        features = own.features() if own.calibrate is not None else None
         for batch in batches:
             column = batch.column(2)
             for i in range(0, batch.num_rows, 256):
                 texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column.slice(i, 256)]
-                value = np.clip(sent.value.scores(texts, features), 0, 1)
+                value = np.clip(own.scores(texts, features), 0, 1)
                 columns = [batch.column(0).slice(i, 256), batch.column(1).slice(i, 256), pa.array(value), pa.array((value >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import ROW, if_small, row_key, store
+from salesloom.llm.common import ROW, fresh, if_small, row_key, store
 from salesloom.llm.textscan import Words, mix, pieces, run_hashes, signed, text_bytes
 
 WIDTH = 10
@@ -201,4 +201,5 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents that hold no window of any item, all columns kept."""
     dirty = contamination(docs, items, width).where("contaminated").select(ROW).distinct()
-    return docs.withColumn(ROW, row_key()).join(if_small(store(dirty, "dirty")), ROW, "left_anti").drop(ROW)
+    key = fresh(docs, ROW)
+    return docs.withColumn(key, row_key()).join(if_small(store(dirty.withColumnRenamed(ROW, key), "dirty")), key, "left_anti").drop(key)

@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.llm import sketch
-from salesloom.llm.common import ROW, if_small, row_key, store
+from salesloom.llm.common import ROW, fresh, if_small, row_key, store
 from salesloom.llm.components import components
 from salesloom.llm.textscan import Words, distinct_per_text, grams, mix, pieces, run_hashes, signed, text_bytes
 
 K, PERCENT = 5, 80
+GROUP = "_llm_group"
 #: No set above this size enumerates subsets, whatever the costs say.
 LARGEST_SMALL = 16
 #: Scanning one list entry costs about as much as writing so many subset rows.
@@ -213,7 +214,7 @@ def _members(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> Dat
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, and the row key."""
+    """Per row: doc_id, n_shingles, component_id, and the keys of the row and of its group."""
     spark = docs.sparkSession
     scanned = store(_scan(docs, k), "shingle-sets")
     rows = scanned.where("slice IS NULL").select("doc_id", ROW, "cls", "n")
@@ -253,30 +254,30 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     least = store(least.select("cls", F.coalesce("component", "cls").alias("c"), "least"), "class-least")
     ids = store(least.groupBy("c").agg(F.min("least").alias("component_id")), "component-ids")
     # only classes of several rows or links have another id than their own
-    moved = store(least.join(ids, "c").select("cls", "component_id"), "class-components")
-    return (
-        rows.join(if_small(moved), "cls", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), ROW)
-    )
+    moved = store(least.join(ids, "c").select("cls", F.col("c").alias(GROUP), "component_id"), "class-components")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(if_small(moved), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), ROW, GROUP)
 
 
 def one_per_group(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The documents with one row of each group of similar ones, all columns kept.
 
-    The row kept is the one with the group's smallest id; of rows alike in id and text one stays
-    when they have words. Rows with an empty set all stay.
+    The row kept is the one with the group's smallest id (null last); of rows alike in id and
+    text one stays when they have words. Rows with an empty set all stay.
     """
     found = store(jaccard_components(docs, k, percent), "groups")
-    chosen = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("component_id").agg(F.min(ROW).alias(ROW)).select(ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    chosen = found.where("n_shingles > 0").groupBy(GROUP).agg(first[ROW].alias(ROW)).select(ROW)
     lost = store(found.where("n_shingles > 0").select(ROW).distinct().join(chosen, ROW, "left_anti"), "group-rest")
-    kept = docs.withColumn(ROW, row_key()).join(if_small(lost), ROW, "left_anti")
-    return once_per_row(kept, found).drop(ROW)
+    key = fresh(docs, ROW)
+    kept = docs.withColumn(key, row_key()).join(if_small(lost.withColumnRenamed(ROW, key)), key, "left_anti")
+    return once_per_row(kept, found, key).drop(key)
 
 
-def once_per_row(kept: DataFrame, found: DataFrame) -> DataFrame:
+def once_per_row(kept: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Of rows with one key (alike in id and text) that has words, keep a single one."""
-    again = store(found.where("n_shingles > 0").groupBy(ROW).agg(F.count("*").alias("m")).where("m > 1").select(ROW), "repeated-rows")
+    again = store(found.where("n_shingles > 0").groupBy(ROW).agg(F.count("*").alias("m")).where("m > 1").select(F.col(ROW).alias(key)), "repeated-rows")
     if again.isEmpty():
         return kept
     again = if_small(again)
-    return kept.join(again, ROW, "left_anti").unionByName(kept.join(again, ROW, "left_semi").dropDuplicates([ROW]))
+    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesloom.llm.common import ship, unpack
 from salesloom.llm.textscan import pieces, text_bytes
 
 BUCKETS, DIMS, ORDERS = 1 << 14, 16, (2, 3, 4)
@@ -183,12 +184,13 @@ def _judge(model: LanguageModel, column: pa.Array):
 
 def identify(docs: DataFrame, model: LanguageModel, parts: int = 3, held: int = 1) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
     def scan(batches):
+        own = unpack(sent)
         for batch in batches:
-            names, score, rejected = _judge(sent.value, batch.column(2))
+            names, score, rejected = _judge(own, batch.column(2))
             columns = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -198,10 +200,11 @@ def identify(docs: DataFrame, model: LanguageModel, parts: int = 3, held: int =
 
 def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The documents that are not rejected, all columns kept."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
 
     def scan(batches):
+        own = unpack(sent)
         for batch in batches:
-            yield batch.filter(pa.array(~_judge(sent.value, batch.column("text"))[2]))
+            yield batch.filter(pa.array(~_judge(own, batch.column("text"))[2]))
 
     return docs.mapInArrow(scan, docs.schema)

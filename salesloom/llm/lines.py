@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import ROW, row_key, store
+from salesloom.llm.common import ROW, fresh, row_key, store
 from salesloom.llm.textscan import _SPACE, byte_values, pieces, run_hashes, signed, text_bytes
 
 NO_DOC = -(1 << 63)  # stands for a null doc_id, below every other
@@ -264,7 +264,8 @@ def _clean(docs: DataFrame, keys: DataFrame, min_chars: int, shipped_keys: int,
 
         return docs.mapInArrow(scan, schema)
 
-    keyed = docs.withColumn(ROW, row_key())
+    key, numbered = fresh(docs, ROW), fresh(docs, "_llm_lines")
+    keyed = docs.withColumn(key, row_key())
     marks = filters(keys)
     size = marks.agg(F.sum(F.length("cells"))).first()[0] or 0
     sent = spark.sparkContext.broadcast({r.shard: bytes(r.cells) for r in marks.collect()} if size <= SHIPPED_FILTER_BYTES else None)
@@ -284,15 +285,15 @@ def _clean(docs: DataFrame, keys: DataFrame, min_chars: int, shipped_keys: int,
                 columns = [found.k1[maybe], found.k2[maybe], ids[i:j][found.text[line]], rows[i:j][found.text[line]], number.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "doc", ROW, "line"])
 
-    asked = keyed.select(F.col("doc_id").cast("long"), "text", ROW).mapInArrow(candidates, f"k1 long, k2 long, doc long, {ROW} long, line int")
-    hits = asked.join(keys, ["k1", "k2"]).where("doc <> keeper").groupBy(ROW).agg(F.collect_set("line").alias("_llm_lines"))
-    joined = keyed.join(store(hits, "dropped-lines"), ROW, "left").drop(ROW)
+    asked = keyed.select(F.col("doc_id").cast("long"), "text", F.col(key).alias(ROW)).mapInArrow(candidates, f"k1 long, k2 long, doc long, {ROW} long, line int")
+    hits = asked.join(keys, ["k1", "k2"]).where("doc <> keeper").groupBy(F.col(ROW).alias(key)).agg(F.collect_set("line").alias(numbered))
+    joined = keyed.join(store(hits, "dropped-lines"), key, "left").drop(key)
 
     def scan_joined(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            numbers = batch.column("_llm_lines").to_pylist()
-            plain = batch.select([c for c in batch.schema.names if c != "_llm_lines"])
+            numbers = batch.column(numbered).to_pylist()
+            plain = batch.select([c for c in batch.schema.names if c != numbered])
             for i, j in pieces(offsets):
                 part = data[offsets[i] : offsets[j]]
                 found = Lines(part, offsets[i : j + 1] - offsets[i], min_chars)

@@ -90,9 +90,9 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM reach GR
 
 @query("op3_ngram_jaccard", OP3_SQL)
 def op3(spark, sf_dir):
-    from salesloom.llm.jaccard import jaccard_components
+    from salesloom.llm.jaccard import GROUP, jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents")).drop(ROW)
+    return jaccard_components(table(spark, sf_dir, "documents")).drop(ROW, GROUP)
 
 
 @query("op4_mix_sources")

@@ -42,6 +42,8 @@ def _blocks(words: Words, width: int, anchor: int):
         return none.view(np.uint64), none.view(np.uint64), none, none, none
     text = words.text_of()
     starts = np.flatnonzero(text[: n - width + 1] == text[width - 1 :])
+    if not len(starts):
+        return none.view(np.uint64), none.view(np.uint64), none, none, none
     hashes, _, at = grams(words, anchor)
     full = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     full[at] = hashes
