@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 512
 #: Slots ranked together, and documents ordered together (on average).
 RUN = 1 << 12
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 512
 MOST_REPEATS = 3
 
 
