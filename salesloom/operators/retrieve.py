@@ -212,8 +212,12 @@ def fuse_ranks(legs: Sequence[DataFrame], k: int, constant: int = 60) -> DataFra
 
 
 def hybrid_search(queries: DataFrame, corpus: DataFrame, k: int = 5, depth: int = 50, **blocks: int) -> DataFrame:
-    """Vector and keyword leg, each ``depth`` deep, fused to one list of k."""
-    return fuse_ranks([knn_cosine(queries, corpus, depth, **blocks), keyword_score(queries, corpus, depth, **blocks)], k)
+    """Vector and keyword leg, each ``depth`` deep, fused to one list of k.
+
+    Queries and items without a vector take part in the keyword leg alone.
+    """
+    near = knn_cosine(queries.where("vector IS NOT NULL"), corpus.where("vector IS NOT NULL"), depth, **blocks)
+    return fuse_ranks([near, keyword_score(queries, corpus, depth, **blocks)], k)
 
 
 def lsh_codes(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
@@ -274,19 +278,21 @@ def score_fallback(rerank: Column, score: Column) -> Column:
     return F.coalesce(F.nullif(rerank, F.lit(0.0)), score, F.lit(0.0))
 
 
-def merge_hits(first: DataFrame, second: DataFrame, k: int = 8, mode: str = "raw") -> DataFrame:
+def merge_hits(first: DataFrame, second: DataFrame, k: int = 8, mode: str = "raw", prefix: int | None = None) -> DataFrame:
     """Two hit lists ``(query_id, item_id, content, score, rank)`` as one.
 
-    Hits with the same first 120 characters are one hit, the earlier list and rank winning;
-    blank content is dropped. ``raw`` sorts by score as it came, ``rrf`` by reciprocal ranks.
+    Hits with the same trimmed content are one hit (with ``prefix``: the same first characters),
+    the earlier list and rank winning; blank content is dropped. ``raw`` sorts by score as it came, ``rrf`` by reciprocal ranks.
     """
     both = first.withColumn("source", F.lit(1)).unionByName(second.withColumn("source", F.lit(2)))
-    both = both.withColumn("_prefix", F.trim(F.substring(F.coalesce("content", F.lit("")), 1, 120))).where(F.col("_prefix") != "")
+    content = F.coalesce("content", F.lit(""))
+    content = F.trim(content if prefix is None else F.substring(content, 1, prefix))
+    both = both.where(content != "").withColumn("_same", F.sha2(content, 256))
     if mode == "rrf":
-        votes = both.groupBy("query_id", "_prefix").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), DIGITS).alias("_vote"))
-        both = both.join(votes, ["query_id", "_prefix"]).withColumn("score", F.col("_vote")).drop("_vote")
-    earliest = Window.partitionBy("query_id", "_prefix").orderBy("source", "rank")
-    unique = both.withColumn("_rn", F.row_number().over(earliest)).where("_rn = 1").drop("_rn", "_prefix")
+        votes = both.groupBy("query_id", "_same").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), DIGITS).alias("_vote"))
+        both = both.join(votes, ["query_id", "_same"]).withColumn("score", F.col("_vote")).drop("_vote")
+    earliest = Window.partitionBy("query_id", "_same").orderBy("source", "rank")
+    unique = both.withColumn("_rn", F.row_number().over(earliest)).where("_rn = 1").drop("_rn", "_same")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source", "rank")
     return unique.withColumn("merged_rank", F.row_number().over(best)).where(F.col("merged_rank") <= k)
 
@@ -295,10 +301,9 @@ def context_budget(blocks: DataFrame, max_chars: int = 8000, min_tail: int = 100
     """Whole blocks ``(query_id, rank, block)`` in rank order while they fit in ``max_chars``.
 
     The first block that does not fit is cut to what is left if that is more than ``min_tail``;
-    everything behind it goes. No block is empty, so ranks beyond ``max_chars`` can never fit
-    and are left out before the running sum.
+    everything behind it goes. Empty blocks are left out.
     """
-    usable = blocks.where((F.col("rank") <= max_chars) & (F.length("block") > 0))
+    usable = blocks.where(F.length("block") > 0)
     before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     used = usable.withColumn("_before", F.coalesce(F.sum(F.length("block")).over(before), F.lit(0).cast("bigint")))
     left = F.lit(max_chars) - F.col("_before")

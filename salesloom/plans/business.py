@@ -9,7 +9,7 @@ from salesloom.functions.values import contains_any, ratio
 from salesloom.operators.measures import drill_across
 from salesloom.operators.ordered import running_total
 from salesloom.operators.rank import md_row_table, row_cap, top_contributors, topn, topn_per
-from salesloom.plans.metrics import MOVEMENT_SQL, TYPES, YTD_SQL, facts, monthly, movements
+from salesloom.plans.metrics import MOVEMENT_SQL, YTD_SQL, facts, monthly, movements
 from salesloom.plans.registry import query
 from salesloom.plans.shapes import money, rate, sql_money, sql_rate, whole
 from salesloom.sources.roles import AS_OF, has_status
@@ -193,7 +193,7 @@ def _(r):
     "SELECT person_id, activity_type, count(*) AS activities FROM activity LEFT JOIN deal_owner USING (deal_id) GROUP BY 1, 2",
 )
 def _(r):
-    return facts(r)["activity"].where(F.col("activity_type").isin(*TYPES)).groupBy("person_id", "activity_type").agg(
+    return facts(r)["activity"].groupBy("person_id", "activity_type").agg(
         F.count(F.lit(1)).alias("activities")
     )
 

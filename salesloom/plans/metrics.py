@@ -68,7 +68,15 @@ _deal_measure("m_at_risk", "at_risk", f"count(*) FILTER ({OPEN} AND (aging_days
 _deal_measure("m_avg_aging", "avg_aging", sql_rate(f"avg(aging_days) FILTER ({OPEN})", "avg_aging"), rate)
 _deal_measure("m_max_aging", "max_aging", f"CAST(max(aging_days) FILTER ({OPEN}) AS BIGINT) AS max_aging", whole)
 _deal_measure("m_stale", "stale", f"count(*) FILTER ({OPEN} AND aging_days > 90) AS stale", whole)
-_deal_measure("p_won_status", "won_count", f"count(*) FILTER ({WON}) AS won_count", whole)
+
+
+@query("p_won_status", f"SELECT status, count(*) FILTER ({WON}) AS won_count FROM deal_core GROUP BY 1")
+def _(r):
+    """The won count under a grouping by status: all of it stands at one status."""
+    rows = measure_by({"deal": facts(r)["deal"]}, "won_count", ["status"], AS_OF)
+    return rows.select("status", whole(F.col("won_count"), "won_count"))
+
+
 _deal_measure("p_forecast", "forecast", sql_money(f"sum(plan_amount * possibility) FILTER ({OPEN}) / 100", "forecast"), money)
 _deal_measure(
     "p_pipeline_3m",

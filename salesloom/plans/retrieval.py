@@ -39,10 +39,10 @@ def texts(r):
 
 
 def hybrid_inputs(r):
-    """Questions and documents that have both a text and a vector."""
+    """All questions and documents, each with its vector where one is stored."""
     store = r.table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    asked = questions(r).join(store.withColumnRenamed("vec_id", "query_id"), "query_id")
-    stored = texts(r).join(store.withColumnRenamed("vec_id", "item_id"), "item_id")
+    asked = questions(r).join(store.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+    stored = texts(r).join(store.withColumnRenamed("vec_id", "item_id"), "item_id", "left")
     return asked, stored
 
 
@@ -112,11 +112,11 @@ def _(r):
 
 
 HYBRID = {
-    "asked": "  SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON vec_id = item_id",
-    "stored": "  SELECT doc_id AS item_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id",
+    "asked": "  SELECT item_id AS query_id, text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id",
+    "stored": "  SELECT doc_id AS item_id, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
     **bm25_sql("asked", "stored"),
     "cosine": """
-  SELECT q.query_id, c.item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM asked q CROSS JOIN (FROM stored) c""",
+  SELECT q.query_id, c.item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM asked q CROSS JOIN (FROM stored) c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL""",
     "vector_leg": ranked_sql("cosine", 50),
     "word_leg": ranked_sql("bm25", 50),
     "fused": """
@@ -152,7 +152,8 @@ def two_lists(r):
     def with_text(hits):
         return hits.join(content, "item_id").select("query_id", "item_id", "content", "score", "rank")
 
-    return with_text(knn_cosine(asked, stored, 5)), with_text(keyword_score(asked, stored, 5))
+    near = knn_cosine(asked.where("vector IS NOT NULL"), stored.where("vector IS NOT NULL"), 5)
+    return with_text(near), with_text(keyword_score(asked, stored, 5))
 
 
 def merged_sql(score: str = "score") -> dict[str, str]:
@@ -161,11 +162,11 @@ def merged_sql(score: str = "score") -> dict[str, str]:
         "first_list": ranked_sql("cosine", 5),
         "second_list": ranked_sql("bm25", 5),
         "both_lists": """
-  SELECT h.*, d.text AS content, trim(left(d.text, 120)) AS prefix FROM (
+  SELECT h.*, d.text AS content, trim(d.text) AS same FROM (
     SELECT *, 1 AS source FROM first_list UNION ALL SELECT *, 2 AS source FROM second_list) h JOIN documents d ON d.doc_id = h.item_id""",
-        "voted": "  SELECT *, round(sum(1.0::DOUBLE / (60 + rank)) OVER (PARTITION BY query_id, prefix), 6) AS vote FROM both_lists WHERE prefix <> ''",
+        "voted": "  SELECT *, round(sum(1.0::DOUBLE / (60 + rank)) OVER (PARTITION BY query_id, same), 6) AS vote FROM both_lists WHERE same <> ''",
         "unique_hit": """
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, prefix ORDER BY source, rank) AS rn FROM voted) WHERE rn = 1""",
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, same ORDER BY source, rank) AS rn FROM voted) WHERE rn = 1""",
         "merged": f"""
   SELECT query_id, item_id, content, source, rank AS old_rank, {score} AS score, merged_rank AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, source, rank) AS merged_rank FROM unique_hit) WHERE merged_rank <= 8""",
@@ -192,13 +193,12 @@ def _(r):
     "dedup_keep_first",
     """
 SELECT lang, doc_id FROM (
-  SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, trim(left(text, 120)) ORDER BY source, doc_id) AS rn
-  FROM documents WHERE trim(left(text, 120)) <> '') WHERE rn = 1""",
+  SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, trim(text) ORDER BY source, doc_id) AS rn
+  FROM documents WHERE trim(text) <> '') WHERE rn = 1""",
 )
 def _(r):
-    prefix = F.trim(F.substring("text", 1, 120))
-    window = Window.partitionBy("lang", "_prefix").orderBy("source", "doc_id")
-    rows = r.table("documents").select("lang", "doc_id", "source", prefix.alias("_prefix")).where(F.col("_prefix") != "")
+    window = Window.partitionBy("lang", "_same").orderBy("source", "doc_id")
+    rows = r.table("documents").where(F.trim("text") != "").select("lang", "doc_id", "source", F.sha2(F.trim("text"), 256).alias("_same"))
     return rows.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").select("lang", "doc_id")
 
 

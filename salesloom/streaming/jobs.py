@@ -22,6 +22,8 @@ def stream_parts(spark: SparkSession, root: str, entity: str, columns: Sequence[
         spark.readStream.schema(text_schema(columns))
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("multiLine", True)
+        .option("escape", '"')
         .csv(f"{root.rstrip('/')}/{entity}"),
         sequence=False,
     ).na.fill("", list(columns))
@@ -98,13 +100,20 @@ def stream_ingest(stream: DataFrame, checkpoint: str, target: str) -> None:
 
 
 def stream_upsert(
-    stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], hash_col: str = "md_hash", whole_every: int = 24
+    stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], hash_col: str = "md_hash", whole_every: int = 24,
+    order: Sequence[str] = (),
 ) -> None:
-    """Merge each batch of documents or chunks into the table; rows with the stored hash are not written."""
+    """Merge each batch of documents or chunks into the table; rows with the stored hash are not written.
+
+    Of several rows of a key in one batch the last by ``order`` is taken, or the greatest row.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        row = F.struct(*batch.columns)
+        last = F.max_by(row, F.struct(*order, *batch.columns)).alias("_row")
+        once = batch.groupBy(*keys).agg(last).select("_row.*")
         stored = current(batch.sparkSession, target, batch.schema, keys, batch_id)
-        write_changes(changed_only(stored, batch, keys, hash_col), target, batch_id, keys, whole_every)
+        write_changes(changed_only(stored, once, keys, hash_col), target, batch_id, keys, whole_every)
 
     run_available(stream, checkpoint, each)
 
@@ -128,11 +137,10 @@ def stream_latest(
     run_available(stream, checkpoint, each)
 
 
-def hourly_counts(events: DataFrame, ts: str, kind: str, value: str, late: str = "1 hour") -> DataFrame:
+def hourly_counts(events: DataFrame, ts: str, kind: str, value: str) -> DataFrame:
     """Count and sum per type and one-hour window; the time column must be a zoned timestamp."""
     return (
-        events.withWatermark(ts, late)
-        .groupBy(F.window(ts, "1 hour"), kind)
+        events.groupBy(F.window(ts, "1 hour"), kind)
         .agg(F.count(F.lit(1)).alias("events"), F.sum(value).alias("total"))
         .select(F.col("window.start").alias("hour"), kind, "events", "total")
     )
@@ -141,20 +149,21 @@ def hourly_counts(events: DataFrame, ts: str, kind: str, value: str, late: str =
 def stream_hourly_counts(
     events: DataFrame, ts: str, kind: str, value: str, checkpoint: str, target: str, whole_every: int = 24
 ) -> None:
-    """Keep the hourly table up to date: each batch writes the windows it changed."""
+    """Keep the hourly table up to date: each batch adds its partial sums to the windows it touches.
+
+    No row is too late: an old window is read from the table and written again.
+    """
+    keys = ["hour", kind]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_changes(batch, target, batch_id, ["hour", kind], whole_every)
-
-    query = (
-        hourly_counts(events, ts, kind, value)
-        .writeStream.outputMode("update")
-        .trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(each)
-        .start()
-    )
-    query.awaitTermination()
+        sums = hourly_counts(batch, ts, kind, value)
+        stored = current(batch.sparkSession, target, sums.schema, keys, batch_id)
+        added = sums.unionByName(stored.join(sums.select(*keys), keys, "left_semi"))
+        merged = added.groupBy(*keys).agg(F.sum("events").alias("events"), F.sum("total").alias("total"))
+        same_types = [F.col(f.name).cast(f.dataType) for f in sums.schema]
+        write_changes(merged.select(*same_types), target, batch_id, keys, whole_every)
+
+    run_available(events, checkpoint, each)
 
 
 def stream_enrich(stream: DataFrame, deals: DataFrame) -> DataFrame:

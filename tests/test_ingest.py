@@ -32,6 +32,12 @@ def test_scan_reads_every_part_and_snapshot(spark, rows, tmp_path):
     ]
 
 
+def test_quoted_cells_keep_line_breaks_and_quotes(spark, rows, tmp_path):
+    put(f"{tmp_path}/Dim_Note/part-001.csv", '1,"line one\nline two","say ""hi"""\n2,plain,x\n')
+    df = files.scan_manifest_csv(spark, str(tmp_path), "Dim_Note", ["id", "body", "title"])
+    assert rows(df) == [("1", "line one\nline two", 'say "hi"'), ("2", "plain", "x")]
+
+
 def test_lineage_dedup_and_latest_snapshot(spark, rows, tmp_path):
     df = files.scan_manifest_csv(spark, snapshot_folder(str(tmp_path)), "Dim_Thing", ["id", "name"], lineage=True)
     assert rows(dedup_keep_last(df, ["id"], [F.col("_seq")]), "id", "name") == [

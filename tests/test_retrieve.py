@@ -88,11 +88,12 @@ def test_merge(spark):
     same = "x" * 120
     first = hits(spark, (1, 10, same + "a", 0.5, 1), (1, 11, "only first", 0.4, 2), (1, 12, " ", 0.9, 3))
     second = hits(spark, (1, 20, same + "b", 9.0, 1), (1, 21, "only second", 2.0, 2))
-    raw = [r.item_id for r in rt.merge_hits(first, second, 8).orderBy("merged_rank").collect()]
+    raw = [r.item_id for r in rt.merge_hits(first, second, 8, prefix=120).orderBy("merged_rank").collect()]
     assert raw == [21, 10, 11]  # the first list wins the shared text, blank text goes
-    rrf = [r.item_id for r in rt.merge_hits(first, second, 8, mode="rrf").orderBy("merged_rank").collect()]
+    rrf = [r.item_id for r in rt.merge_hits(first, second, 8, mode="rrf", prefix=120).orderBy("merged_rank").collect()]
     assert rrf == [10, 11, 21]
     assert rt.merge_hits(first, second, 1).count() == 1
+    assert rt.merge_hits(first, second, 8).count() == 4  # texts that only begin alike are two hits
 
 
 def pack(spark, *lengths):
@@ -108,6 +109,7 @@ def test_context_budget(spark):
     assert pack(spark, 899, 200) == [(1, 899, False), (2, 101 + mark, True)]
     assert pack(spark, 1000, 5) == [(1, 1000, False)]
     assert pack(spark, 5000) == [(1, 1000 + mark, True)]
+    assert pack(spark, *[0] * 1200, 7) == [(1201, 7, False)]  # empty blocks take no room
 
 
 def test_context_text(spark):
