@@ -6,7 +6,7 @@ sum, for the text and for its extreme windows, goes through a logistic calibrati
 
 *Toxicity*: both dictionaries begin with ordinary words; the toxic one also holds the words that
 toxic text has far more often than ordinary text does. A text is compressed in windows of
-``TOXIC_WINDOW`` words, so a single insult in a long text stands out: the windows that the toxic
+``TOXIC_WINDOW`` words that overlap by half, so a single insult in a long text stands out: the windows that the toxic
 dictionary makes shorter are compressed once more in halves, and the largest savings, their
 numbers and the number of windows are calibrated. A word counts once for each pair of
 neighbours, so copies of a text don't make its words look typical.
@@ -99,7 +99,7 @@ def _quality_features(good, bad, text: bytes) -> list[float]:
 def _toxic_features(ordinary, toxic, text: bytes) -> list[float]:
     words = text.lower().split()
     saved = []
-    for i in range(0, max(1, len(words)), TOXIC_WINDOW):
+    for i in range(0, max(1, len(words) - TOXIC_WINDOW // 2), TOXIC_WINDOW // 2):
         own = words[i : i + TOXIC_WINDOW]
         line = b" " + b" ".join(own) + b" "
         gain = len(ordinary(line)) - len(toxic(line))
