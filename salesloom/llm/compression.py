@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from salesloom.llm.common import if_small, ship, store, unpack
 from salesloom.llm.language import fold, sample_by
 
-SAMPLE = {0: 6000, 1: 6000}
+SAMPLE = {0: 4000, 1: 4000}
 STRETCH = 20_000
 QUALITY_WINDOW, QUALITY_DICT = 1024, 32_768
 TOXIC_WINDOW, BASE_DICT, TOXIC_DICT = 10, 8_192, 8_192
