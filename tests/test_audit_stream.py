@@ -47,7 +47,7 @@ def test_state_over_time(spark):
 
 
 def test_subject(spark):
-    got = tag(spark, audit.tag_subject(F.col("q")), "How is Salesperson1, doing?", "value of f1 gl deals", "total value", "SWD pipeline")
+    got = tag(spark, audit.tag_subject(F.col("q"), ("salesperson1", "swd", "f1 gl")), "How is Salesperson1, doing?", "value of f1 gl deals", "total value", "SWD pipeline")
     assert got == ["Salesperson1", "f1 gl", None, "SWD"]
 
 
@@ -85,6 +85,15 @@ def test_advisory(spark):
     assert say(["w1", "w2"], ["c"], ["f1", "f2"], "m") == "⚠️ w1\n\n⚠️ w2\n\n📊 ที่มา: ตัวเลขจาก c | เงื่อนไข: f1, f2\n\nℹ️ m"
 
 
+def test_warnings_and_meaning(spark):
+    q = F.col("q")
+    assert tag(spark, audit.raw_sum_warning(q), "SUM( Fact_Opportunity[SO Actual Amount])", "SUM(x[y])") == [["raw sum of SO Actual Amount; use [Total SO Actual Amount (P) by Person]"], []]
+    assert [len(w) for w in tag(spark, audit.state_warning(q), "pipeline week over week", "revenue", None)] == [1, 0, 0]
+    concepts = F.when(q.contains("plan"), F.array(F.lit("Total SO Plan Amount"))).otherwise(F.array().cast("array<string>"))
+    got = tag(spark, audit.meaning_text(audit.tag_ambiguous(q), concepts), "sales plan", "sales", "plan")
+    assert got == ["amount was taken as Total SO Plan Amount; it could also be Total SO Actual Amount (P) by Person; Total Target Amount", None, None]
+
+
 # ---- Streams: files arrive between runs -------------------------------------------------
 
 
