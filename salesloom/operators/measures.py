@@ -77,7 +77,7 @@ def _blank_sum(sign: int = 1) -> Callable[[Column, Column], Column]:
 
 
 register_measure("total_plan", "deal", lambda d: F.sum(_plan()))
-register_measure("total_actual", "deal", lambda d: F.sum(F.when(_is(WON), _plan())))
+register_measure("total_actual", "deal", lambda d: F.sum(F.when(_is(WON), safe_number(F.col("actual_amount"), 0))))
 register_measure("opp_count", "deal", lambda d: F.count(F.lit(1)))
 register_measure("won_count", "deal", lambda d: F.count_if(_is(WON)))
 register_measure("lost_count", "deal", lambda d: F.count_if(_is(LOST)))

@@ -20,7 +20,7 @@ from salesloom.operators.rank import recent_n
 from salesloom.plans.registry import query
 from salesloom.plans.role_sql import AS_OF_SQL
 from salesloom.plans.shapes import money, rate, sql_money, sql_rate, whole
-from salesloom.sources.roles import AS_OF
+from salesloom.sources.roles import AS_OF, MONEY
 
 ACTIVITY_AS_OF = dt.date(2024, 1, 20)  # the events are of another year than the orders
 
@@ -47,10 +47,28 @@ def _deal_measure(key: str, name: str, sql_expr: str, column) -> None:
         return rows.select("industry", column(F.col(name), name))
 
 
+REALISED = "(SELECT deal_id, CAST(sum(amount) AS DECIMAL(12,2)) AS actual_amount FROM actual GROUP BY 1)"
+
+
+def realised(r):
+    """Deals with what their lines brought in, summed per deal before the join."""
+    amounts = r.actual.groupBy("deal_id").agg(F.sum("amount").cast(MONEY).alias("actual_amount"))
+    return facts(r)["deal"].join(amounts, "deal_id", "left")
+
+
+@query(
+    "m_total_actual",
+    f"""
+SELECT * FROM (SELECT industry, {sql_money("sum(coalesce(actual_amount, 0)) FILTER (status = 'Won')", "total_actual")}
+FROM deal_core LEFT JOIN {REALISED} USING (deal_id) LEFT JOIN account USING (account_id) GROUP BY 1) WHERE total_actual IS NOT NULL""",
+)
+def _(r):
+    return measure_by({"deal": realised(r)}, "total_actual", ["industry"], AS_OF).select("industry", money("total_actual", "total_actual"))
+
+
 WON, OPEN, LOST = "status = 'Won'", "status = 'Open'", "status IN ('Lost','Cancelled')"
 
 _deal_measure("m_total_plan", "total_plan", sql_money("sum(plan_amount)", "total_plan"), money)
-_deal_measure("m_total_actual", "total_actual", sql_money(f"sum(plan_amount) FILTER ({WON})", "total_actual"), money)
 _deal_measure("m_avg_deal_size", "avg_deal_size", sql_rate("CAST(sum(plan_amount) AS DOUBLE) / count(*)", "avg_deal_size"), rate)
 _deal_measure("m_opp_count", "opp_count", "count(*) AS opp_count", whole)
 _deal_measure("m_won_count", "won_count", f"count(*) FILTER ({WON}) AS won_count", whole)
@@ -134,12 +152,12 @@ def _(r):
 @query(
     "m_ytd",
     f"""
-SELECT industry, {sql_money("sum(plan_amount) FILTER (status = 'Won')", 'total_actual')}, count(*) FILTER (status = 'Won') AS won_count,
+SELECT industry, {sql_money("sum(coalesce(actual_amount, 0)) FILTER (status = 'Won')", 'total_actual')}, count(*) FILTER (status = 'Won') AS won_count,
        {sql_rate("coalesce(count(*) FILTER (status = 'Won') / nullif(count(*) FILTER (status IN ('Won','Lost','Cancelled')), 0), 0)", 'win_rate')}
-FROM deal_core LEFT JOIN account USING (account_id) WHERE created BETWEEN DATE '2001-01-01' AND {AS_OF_SQL} GROUP BY 1""",
+FROM deal_core LEFT JOIN {REALISED} USING (deal_id) LEFT JOIN account USING (account_id) WHERE created BETWEEN DATE '2001-01-01' AND {AS_OF_SQL} GROUP BY 1""",
 )
 def _(r):
-    rows = measure_by({"deal": facts(r)["deal"]}, ["total_actual", "won_count", "win_rate"], ["industry"], AS_OF, year_to_date=True)
+    rows = measure_by({"deal": realised(r)}, ["total_actual", "won_count", "win_rate"], ["industry"], AS_OF, year_to_date=True)
     return rows.select("industry", money("total_actual", "total_actual"), "won_count", rate("win_rate", "win_rate"))
 
 

@@ -16,7 +16,7 @@ def deals(spark):
         [("N", "Open", "1,000.50", "20", "100", "2026-05-01"), ("N", "Open", "abc", "", "", "2026-06-01"), ("N", "Won", "10", "80", "x", "2025-01-01"),
          ("N", "Cancelled", "", "40", "5", "2026-01-02"), (None, "Lost", "7", "bad", "95", "2026-02-01")],
         "region string, status string, plan_amount string, possibility string, aging_days string, created string",
-    ).withColumn("created", F.col("created").cast("date"))
+    ).withColumn("created", F.col("created").cast("date")).withColumn("actual_amount", F.when(F.col("status") == "Won", "9.5").otherwise("bad"))
 
 
 def test_text_numbers_and_defaults(spark):
@@ -24,7 +24,7 @@ def test_text_numbers_and_defaults(spark):
              "low_probability", "at_risk", "avg_aging", "max_aging", "stale"]
     got = {r.region: r for r in measure_by({"deal": deals(spark)}, names, ["region"], AS_OF).collect()}
     n = got["N"]
-    assert float(n.total_plan) == 1010.5 and float(n.total_actual) == 10 and n.opp_count == 4
+    assert float(n.total_plan) == 1010.5 and float(n.total_actual) == 9.5 and n.opp_count == 4
     assert (n.won_count, n.lost_count, n.open_count) == (1, 1, 2) and n.win_rate == 0.5
     assert abs(n.avg_possibility - 140 / 3) < 1e-9  # unreadable is left out of this mean
     assert n.low_probability == 1 and n.at_risk == 1  # unreadable counts as 100 here
