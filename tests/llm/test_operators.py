@@ -370,3 +370,34 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain + star + star[:3] + [(None, 4)], "a long, b long"), "a", "b").collect()}
     assert {got[i] for i in range(201)} == {0} and {got[1000 + i] for i in range(101)} == {1000} and got[1500] == 1000
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_one_group_of_many_different_near_equal_vectors(spark):
+    from salesloom.llm.forest import near_vectors
+
+    rng = np.random.default_rng(8)
+    n = 12_000
+    x = np.vstack([np.eye(16)[0] * 9 + rng.standard_normal((n, 16)) * 0.1, rng.standard_normal((3_000, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.vec_id: r for r in near_vectors(table).collect()}
+    for a in range(0, n, 1000):
+        links = (unit[a : a + 1000] @ unit.T >= 0.95).sum(axis=1) - 1
+        assert links.min() >= n - 1  # all of the group are linked
+        assert [got[i].n_links for i in range(a, a + 1000)] == links.tolist()
+        assert {got[i].component_id for i in range(a, a + 1000)} == {0}
+
+
+def test_a_group_that_is_dense_only_in_parts_of_the_table(spark):
+    from salesloom.llm.forest import near_vectors
+
+    rng = np.random.default_rng(9)
+    n = 1_500
+    x = np.vstack([np.eye(16)[0] * 9 + rng.standard_normal((n, 16)) * 0.05, rng.standard_normal((12_000, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r for r in near_vectors(table, limit=128).collect()}
+    assert all(got[i].n_links <= want[i] for i in got)
+    assert sum(got[i].n_links for i in range(n)) >= 0.9 * want[:n].sum()
+    assert {got[i].component_id for i in range(n)} == {0}
