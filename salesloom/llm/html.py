@@ -2,18 +2,18 @@
 
 A page is cut into blocks, each with where it stands: in chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), inside the page's article, or elsewhere. The blocks
-that structure does not settle as chrome form the page's token stream. The streams of a host's
-pages are concatenated and sorted into a suffix array by prefix doubling; runs of ``RUN`` tokens
-and more that start in several distinct pages are repeats. A block outside an article that
-repeats cover is boilerplate and goes; the unique runs stay.
+that are neither form the page's token stream. The streams of a host's pages are concatenated and
+sorted into a suffix array by prefix doubling; runs of ``RUN`` tokens that start in several distinct
+contents of the host are repeats. A block outside an article that repeats cover is boilerplate
+and goes; the unique ones stay on pages without an article, others go.
 
 Repeats inside an article stay: articles quote each other and share paragraphs, and removing
-those would cut the very text that is asked for. Pages with one stream count as one page, so
-mirrored pages keep their text.
+those would cut the very text that is asked for. Pages with one stream count as one content.
 
 A host is worked on in shards of at most about ``SHARD_PAGES`` pages and ``SHARD_BYTES`` of html,
-by a hash of the page, so a host with a third of all pages is many groups; its boilerplate is on
-many pages of every shard.
+by a hash of the page, so a host with a third of all pages is many groups. A shard's suffix array
+gives its runs and their contents; they are counted over the whole host, and the repeats go back to
+the shards, so the shards do not change any text.
 
 Defined results: null html and pages without text give an empty text; a null or unreadable url
 is a host of its own; rows alike give rows alike; a table without rows an empty one.
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.llm.common import if_small, store
-from salesloom.llm.textscan import Words, mix
+from salesloom.llm.textscan import Words, mix, run_hashes, signed
 
-RUN, COVERED = 8, 0.8
+RUN, COVERED, FEW = 8, 0.8, 2
 SHARD_PAGES, SHARD_BYTES = 200, 1 << 20
 
 # The elements and names that mark the parts of a page.
@@ -162,6 +162,12 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray
     np.minimum.at(low, rank[inside], page[inside])
     np.maximum.at(high, rank[inside], page[inside])
     start = inside & (low[rank] < high[rank])
+    return _cover(start, run)
+
+
+def _cover(start: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which tokens lie in a run of ``run`` tokens from one of the marked places."""
+    n = len(start)
     steps = np.zeros(n + 1, np.int64)
     at = np.flatnonzero(start)
     np.add.at(steps, at, 1)
@@ -185,49 +191,65 @@ def _tokens(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return stream, owner
 
 
-def _judge(shard: pa.Table) -> pa.Table:
-    """The text of each page of one shard of a host."""
-    blocks, inside = shard.column("blocks").to_pylist(), shard.column("inside").to_pylist()
-    flat = [b for own in blocks for b in own]
-    stream, owner = _tokens(flat) if flat else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    page_of = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
-    page = page_of[owner] if flat else owner
-    # pages with the same stream are one page
-    sums = np.zeros(len(blocks), np.uint64)
-    if flat:
-        place = np.arange(len(stream)) - np.searchsorted(page, page)
-        np.add.at(sums, page, mix(stream + mix(place.astype(np.uint64))))
-    same = np.unique(sums, return_inverse=True)[1]
-    # all pages of one stream: only the first takes part, the others follow it
-    lead = np.unique(same, return_index=True)[1]
-    part = np.isin(page, lead) if flat else np.empty(0, bool)
-    covered = np.zeros(len(stream), bool)
-    if flat:
-        covered[part] = repeated(stream[part], same[page[part]])
-    share = np.bincount(owner, covered, len(flat)) / np.maximum(np.bincount(owner, minlength=len(flat)), 1) if flat else np.empty(0)
-    first = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(int)
+def _content(blocks: list[str]) -> int:
+    """The name of a page's content: a hash of its stream."""
+    stream = _tokens(blocks)[0]
+    return int(signed(run_hashes(stream, np.zeros(1, np.int64), np.array([len(stream)])))[0])
+
+
+def _streams(shard: pa.Table):
+    """The blocks of each page outside articles, their tokens, the block and page of each token, and the places where runs begin."""
+    outside = [[t for t, m in zip(own, inside) if not m] for own, inside in zip(shard.column("blocks").to_pylist(), shard.column("inside").to_pylist())]
+    stream, owner = _tokens([b for own in outside for b in own])
+    page = np.repeat(np.arange(len(outside)), [len(own) for own in outside])[owner]
+    n = max(0, len(stream) - RUN + 1)
+    return outside, stream, owner, page, np.flatnonzero(page[:n] == page[RUN - 1 :][:n])
+
+
+def _runs(shard: pa.Table) -> pa.Table:
+    """The distinct (run, content) of one shard of a host, by its suffix array."""
+    _, stream, _, page, at = _streams(shard)
+    content = shard.column("content").to_numpy()[page[at]]
+    rank = suffix_ranks(stream)[at]
+    order = np.lexsort((content, rank))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(rank[order]) != 0) | (content[order][1:] != content[order][:-1])
+    at, content = at[order][new], content[order][new]
+    place = np.argsort(at)
+    run = np.empty(len(at), np.int64)
+    run[place] = signed(run_hashes(stream, at[place], at[place] + RUN))
+    keys = {c: pa.repeat(shard.column(c)[0], len(at)) for c in ("host", "shard")}
+    return pa.table(keys | {"run": pa.array(run), "content": pa.array(content)})
+
+
+def _judge(shard: pa.Table, repeats: pa.Table) -> pa.Table:
+    """The text of each page of one shard of a host, by the host's repeats that are in the shard."""
+    outside, stream, owner, _, at = _streams(shard)
+    start = np.zeros(len(stream), bool)
+    start[at] = np.isin(signed(run_hashes(stream, at, at + RUN)), repeats.column("run").to_numpy())
+    n = sum(map(len, outside))
+    gone = iter((np.bincount(owner, _cover(start), n) / np.bincount(owner, minlength=n) >= COVERED).tolist())
     texts, cut = [], []
-    for p, own in enumerate(blocks):
-        q = lead[same[p]]
-        gone = share[first[q] : first[q + 1]] >= COVERED
-        has_main = any(inside[p])
-        kept = [b for b, m, g in zip(own, inside[p], gone) if (m if has_main else not g)]
-        texts.append("\n".join(kept))
-        cut.append(int(gone.sum()))
+    for own, inside in zip(shard.column("blocks").to_pylist(), shard.column("inside").to_pylist()):
+        has_main = any(inside)
+        cuts = [not m and next(gone) for m in inside]
+        drop = [not m if has_main else g for m, g in zip(inside, cuts)]
+        texts.append("\n".join(b for b, g in zip(own, drop) if not g))
+        cut.append(sum(cuts))
     return pa.table(
         {
             "page_id": shard.column("page_id"),
             "url": shard.column("url"),
             "text": pa.array(texts, pa.string()),
             "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-            "n_blocks": pa.array([len(b) for b in blocks], pa.int64()),
+            "n_blocks": pa.array([len(o) for o in shard.column("blocks").to_pylist()], pa.int64()),
             "n_repeated": pa.array(cut, pa.int64()),
         }
     )
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """Per row: page_id, url, text, n_chars, and how many blocks were weighed and repeat on the host."""
+    """Per row: page_id, url, text, n_chars, and how many blocks it has and how many outside articles repeat on the host."""
     host = F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit(""))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
@@ -242,11 +264,24 @@ def main_text(pages: DataFrame) -> DataFrame:
                 found = [page_blocks(p or "") for p in part.column("html").to_pylist()]
                 blocks = pa.array([[t for t, _ in own] for own in found], pa.list_(pa.string()))
                 inside = pa.array([[m for _, m in own] for own in found], pa.list_(pa.bool_()))
-                columns = [*(part.column(c) for c in ("page_id", "url", "host", "shard")), blocks, inside]
-                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "shard", "blocks", "inside"])
+                content = pa.array([None if all(m for _, m in own) else _content([t for t, _ in own]) for own in found], pa.int64())
+                columns = [*(part.column(c) for c in ("page_id", "url", "host", "shard")), blocks, inside, content]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "shard", "blocks", "inside", "content"])
 
     spread = keyed.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int"))
     parsed = spread.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "shard").mapInArrow(
-        parse, "page_id long, url string, host string, shard int, blocks array<string>, inside array<boolean>"
+        parse, "page_id long, url string, host string, shard int, blocks array<string>, inside array<boolean>, content long"
+    )
+    parsed = store(parsed, "parsed")
+    settled = parsed.where("content IS NULL").withColumn("text", F.array_join("blocks", "\n"))
+    settled = settled.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"), F.lit(0).cast("long").alias("n_repeated"))
+    mixed = parsed.where("content IS NOT NULL")
+    runs = mixed.groupBy("host", "shard").applyInArrow(_runs, "host string, shard int, run long, content long")
+    runs = store(runs, "runs")
+    seen = runs.select("host", "run", "content").distinct().groupBy("host", "run").agg(F.count("*").alias("seen")).where(F.col("seen") >= FEW)
+    repeats = store(seen.select("host", "run"), "repeats")
+    back = runs.select("host", "shard", "run").distinct().join(if_small(repeats), ["host", "run"])
+    judged = mixed.groupBy("host", "shard").cogroup(back.groupBy("host", "shard")).applyInArrow(
+        _judge, "page_id long, url string, text string, n_chars long, n_blocks long, n_repeated long"
     )
-    return parsed.groupBy("host", "shard").applyInArrow(_judge, "page_id long, url string, text string, n_chars long, n_blocks long, n_repeated long")
+    return settled.unionByName(judged)

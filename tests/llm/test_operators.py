@@ -401,3 +401,25 @@ def test_a_group_that_is_dense_only_in_parts_of_the_table(spark):
     assert all(got[i].n_links <= want[i] for i in got)
     assert sum(got[i].n_links for i in range(n)) >= 0.9 * want[:n].sum()
     assert {got[i].component_id for i in range(n)} == {0}
+
+
+def _pages(spark, pages):
+    from salesloom.llm.html import main_text
+
+    table = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r for r in main_text(table).collect()}
+
+
+def _body(i, n=40):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+def test_boilerplate_of_a_host_does_not_depend_on_its_shards(spark):
+    notice = "please note that this text stands in the same words on some pages of this site"
+    pages = [f"<p>{notice}</p><p>{_body(i)}</p>" if i < 40 else f"<p>{_body(i)}</p>" for i in range(60)]
+    pages.append("<p>" + _body("long", 3_000_000 // 8) + "</p>")  # cuts the host into several shards
+    few = _pages(spark, pages[:60])
+    more = _pages(spark, pages)
+    assert all(more[i].text == few[i].text == _body(i) for i in range(60))
+    many = _pages(spark, [pages[i] if i < 40 else f"<p>{_body(i)}</p>" for i in range(8_000)])
+    assert all(many[i].text == _body(i) for i in range(8_000))
