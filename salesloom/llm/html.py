@@ -3,12 +3,15 @@
 A page is cut into blocks, each with where it stands: in chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), inside the page's article, or elsewhere. The blocks
 that are neither form the page's token stream. The streams of a host's pages are concatenated and
-sorted into a suffix array by prefix doubling; runs of ``RUN`` tokens that start in several distinct
+sorted into a suffix array by prefix doubling; runs of ``RUN`` tokens that start in many distinct
 contents of the host are repeats. A block outside an article that repeats cover is boilerplate
 and goes; the unique ones stay on pages without an article, others go.
 
 Repeats inside an article stay: articles quote each other and share paragraphs, and removing
-those would cut the very text that is asked for. Pages with one stream count as one content.
+those would cut the very text that is asked for. Pages with one stream count as one content, and so
+do most near copies: a content is named by the two least hashes of the page's runs. Many contents
+are ``FEW`` and more than the binary logarithm of the host's contents, so a paragraph in two near
+copies stays; a large family of near copies can still pass for boilerplate.
 
 A host is worked on in shards of at most about ``SHARD_PAGES`` pages and ``SHARD_BYTES`` of html,
 by a hash of the page, so a host with a third of all pages is many groups. A shard's suffix array
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from salesloom.llm.common import if_small, store
 from salesloom.llm.textscan import Words, mix, run_hashes, signed
 
-RUN, COVERED, FEW = 8, 0.8, 2
+RUN, COVERED, FEW = 8, 0.8, 4
 SHARD_PAGES, SHARD_BYTES = 200, 1 << 20
 
 # The elements and names that mark the parts of a page.
@@ -192,9 +195,12 @@ def _tokens(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _content(blocks: list[str]) -> int:
-    """The name of a page's content: a hash of its stream."""
+    """The name of a page's content, which most near copies share: the two least hashes of its runs."""
     stream = _tokens(blocks)[0]
-    return int(signed(run_hashes(stream, np.zeros(1, np.int64), np.array([len(stream)])))[0])
+    at = np.arange(max(1, len(stream) - RUN + 1))
+    hashes = run_hashes(stream, at, np.minimum(at + RUN, len(stream)))
+    least = np.array([hashes.min(), mix(hashes + np.uint64(1)).min()])
+    return int(signed(mix(least[:1] + mix(least[1:])))[0])
 
 
 def _streams(shard: pa.Table):
@@ -278,8 +284,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     mixed = parsed.where("content IS NOT NULL")
     runs = mixed.groupBy("host", "shard").applyInArrow(_runs, "host string, shard int, run long, content long")
     runs = store(runs, "runs")
+    contents = if_small(store(mixed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")), "contents"))
     seen = runs.select("host", "run", "content").distinct().groupBy("host", "run").agg(F.count("*").alias("seen")).where(F.col("seen") >= FEW)
-    repeats = store(seen.select("host", "run"), "repeats")
+    repeats = store(seen.join(contents, "host").where(F.col("seen") > F.log2("n")).select("host", "run"), "repeats")
     back = runs.select("host", "shard", "run").distinct().join(if_small(repeats), ["host", "run"])
     judged = mixed.groupBy("host", "shard").cogroup(back.groupBy("host", "shard")).applyInArrow(
         _judge, "page_id long, url string, text string, n_chars long, n_blocks long, n_repeated long"

@@ -423,3 +423,12 @@ def test_boilerplate_of_a_host_does_not_depend_on_its_shards(spark):
     assert all(more[i].text == few[i].text == _body(i) for i in range(60))
     many = _pages(spark, [pages[i] if i < 40 else f"<p>{_body(i)}</p>" for i in range(8_000)])
     assert all(many[i].text == _body(i) for i in range(8_000))
+
+
+def test_near_copied_pages_without_article_keep_their_paragraphs(spark):
+    own = [f"<p>{_body(i)}</p>" for i in range(30)]
+    shared = [f"<p>{_body('a')}</p><p>{_body('b')}</p><p>{_body('c')} {end}</p>" for end in ("once", "twice")]
+    quote = f"<p>{_body('a')}</p><p>{_body('q')}</p>"
+    got = _pages(spark, [*own, *shared, quote])
+    assert got[30].text == f"{_body('a')}\n{_body('b')}\n{_body('c')} once" and got[31].text.endswith("twice") and got[30].n_repeated == 0
+    assert got[32].text == f"{_body('a')}\n{_body('q')}"
