@@ -5,7 +5,7 @@ sidebars, notices, adverts, forms, comments), inside the page's article, or else
 that are neither form the page's token stream. The streams of a host's pages are concatenated and
 sorted into a suffix array by prefix doubling; runs of ``RUN`` tokens that start in many distinct
 contents of the host are repeats. A block outside an article that repeats cover is boilerplate
-and goes; the unique ones stay on pages without an article, others go.
+and goes; the unique ones stay, beside an article too.
 
 Repeats inside an article stay: articles quote each other and share paragraphs, and removing
 those would cut the very text that is asked for. Pages with one stream count as one content, and so
@@ -237,11 +237,9 @@ def _judge(shard: pa.Table, repeats: pa.Table) -> pa.Table:
     gone = iter((np.bincount(owner, _cover(start), n) / np.bincount(owner, minlength=n) >= COVERED).tolist())
     texts, cut = [], []
     for own, inside in zip(shard.column("blocks").to_pylist(), shard.column("inside").to_pylist()):
-        has_main = any(inside)
-        cuts = [not m and next(gone) for m in inside]
-        drop = [not m if has_main else g for m, g in zip(inside, cuts)]
+        drop = [not m and next(gone) for m in inside]
         texts.append("\n".join(b for b, g in zip(own, drop) if not g))
-        cut.append(sum(cuts))
+        cut.append(sum(drop))
     return pa.table(
         {
             "page_id": shard.column("page_id"),

@@ -432,3 +432,10 @@ def test_near_copied_pages_without_article_keep_their_paragraphs(spark):
     got = _pages(spark, [*own, *shared, quote])
     assert got[30].text == f"{_body('a')}\n{_body('b')}\n{_body('c')} once" and got[31].text.endswith("twice") and got[30].n_repeated == 0
     assert got[32].text == f"{_body('a')}\n{_body('q')}"
+
+
+def test_unique_blocks_beside_an_article_stay_and_repeated_ones_go(spark):
+    notice = "please note that this text stands in the same words on all pages of this site"
+    pages = [f"<div>{notice}</div><div>lead {_body(i)}</div><article><p>teaser {i}</p></article>" for i in range(20)]
+    got = _pages(spark, pages)
+    assert all(got[i].text == f"lead {_body(i)}\nteaser {i}" and got[i].n_repeated == 1 for i in range(20))
