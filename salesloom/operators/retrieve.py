@@ -8,7 +8,8 @@ whatever the tables hold. The shard counts come from the tables' sizes inside th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from salesloom.session import materialize
 
 QUERY_BLOCK = 2_048
 CORPUS_BLOCK = 20_000
+TEXT_BLOCK = CORPUS_BLOCK // 4  # a text has many terms, a vector is one row
 HIT_SCHEMA = "query_id bigint, item_id bigint, score double"
 DIGITS = 6  # scores are compared after rounding, then by id, so equal copies rank the same everywhere
 
@@ -50,63 +52,100 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-def _score_vectors(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Cosine of every query with every item of two blocks, best k per query."""
+Scored = Iterator[tuple[int, np.ndarray, np.ndarray]]
+Scorer = Callable[[pa.Table, pa.Table], Scored]
+
+
+def _vector_scores(queries: pa.Table, corpus: pa.Table) -> Scored:
+    """Each query of two blocks with the usable items, ascending, and their cosines."""
+    corpus = corpus.sort_by("item_id")
+    items = corpus["item_id"].to_numpy()
+    a, b = _matrix(queries["vector"]), _matrix(corpus["vector"])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        b = b / np.linalg.norm(b, axis=1, keepdims=True)
+        a = a / np.linalg.norm(a, axis=1, keepdims=True)
+    for query, vector in zip(queries["query_id"].to_numpy(), a):
+        scores = np.round(b @ vector, DIGITS)
+        usable = np.isfinite(scores)
+        yield query, items[usable], scores[usable]
+
+
+def _term_scores(queries: pa.Table, corpus: pa.Table) -> Scored:
+    """Each query of two blocks with its items, ascending, and the sums of query-term weights times item-term weights."""
+    queries = queries.sort_by([("query_id", "ascending"), ("term", "ascending")])  # sums don't depend on the order of arrival
+    terms = pc.unique(queries["term"])
+    codes = pc.index_in(corpus["term"], terms)
+    keep = pc.is_valid(codes)
+    codes = pc.filter(codes, keep).to_numpy()
+    corpus = corpus.filter(keep)
+    items, where = np.unique(corpus["item_id"].to_numpy(), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    where, weights = where[order], corpus["weight"].to_numpy()[order]
+    edges = np.searchsorted(codes[order], np.arange(len(terms) + 1))
+    frame = pd.DataFrame(
+        {
+            "query": queries["query_id"].to_numpy(),
+            "code": pc.index_in(queries["term"], terms).to_numpy(),
+            "idf": queries["idf"].to_numpy(),
+        }
+    )
+    for query, rows in frame.groupby("query"):
+        scores = np.zeros(len(items))
+        for code, idf in zip(rows["code"], rows["idf"]):
+            span = slice(edges[code], edges[code + 1])
+            scores[where[span]] += idf * weights[span]
+        scores = np.round(scores, DIGITS)
+        found = np.flatnonzero(scores > 0)
+        yield query, items[found], scores[found]
+
+
+def _best_of(scored: Scorer, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best k of each query of two blocks."""
 
     def score(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         out_q, out_i, out_s = [], [], []
         if queries.num_rows and corpus.num_rows:
-            corpus = corpus.sort_by("item_id")
-            items = corpus["item_id"].to_numpy()
-            a, b = _matrix(queries["vector"]), _matrix(corpus["vector"])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                b = b / np.linalg.norm(b, axis=1, keepdims=True)
-                a = a / np.linalg.norm(a, axis=1, keepdims=True)
-            for query, vector in zip(queries["query_id"].to_numpy(), a):
-                scores = np.round(b @ vector, DIGITS)
-                usable = np.isfinite(scores)
-                best = _best(scores[usable], items[usable], k)
+            for query, items, scores in scored(queries, corpus):
+                best = _best(scores, items, k)
                 out_q.append(np.full(len(best), query))
-                out_i.append(items[usable][best])
-                out_s.append(scores[usable][best])
+                out_i.append(items[best])
+                out_s.append(scores[best])
         return _hits(out_q, out_i, out_s)
 
     return score
 
 
+def _score_vectors(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Cosine of every query with every item of two blocks, best k per query."""
+    return _best_of(_vector_scores, k)
+
+
 def _score_terms(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Sum of query-term weights times item-term weights of two blocks, best k per query."""
+    return _best_of(_term_scores, k)
+
+
+def _of_wanted(scored: Scorer, count: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scores of each query's ``wanted`` items in two blocks, or how many items there come before each."""
 
     def score(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         out_q, out_i, out_s = [], [], []
         if queries.num_rows and corpus.num_rows:
-            terms = pc.unique(queries["term"])
-            codes = pc.index_in(corpus["term"], terms)
-            keep = pc.is_valid(codes)
-            codes = pc.filter(codes, keep).to_numpy()
-            corpus = corpus.filter(keep)
-            items, where = np.unique(corpus["item_id"].to_numpy(), return_inverse=True)
-            order = np.argsort(codes, kind="stable")
-            where, weights = where[order], corpus["weight"].to_numpy()[order]
-            edges = np.searchsorted(codes[order], np.arange(len(terms) + 1))
-            frame = pd.DataFrame(
-                {
-                    "query": queries["query_id"].to_numpy(),
-                    "code": pc.index_in(queries["term"], terms).to_numpy(),
-                    "idf": queries["idf"].to_numpy(),
-                }
-            )
-            for query, rows in frame.groupby("query"):
-                scores = np.zeros(len(items))
-                for code, idf in zip(rows["code"], rows["idf"]):
-                    span = slice(edges[code], edges[code + 1])
-                    scores[where[span]] += idf * weights[span]
-                scores = np.round(scores, DIGITS)
-                found = np.flatnonzero(scores > 0)
-                best = _best(scores[found], items[found], k)
-                out_q.append(np.full(len(best), query))
-                out_i.append(items[found][best])
-                out_s.append(scores[found][best])
+            lists = dict(zip(queries["query_id"].to_pylist(), queries["wanted"].to_pylist()))
+            for query, items, scores in scored(queries.drop_columns("wanted"), corpus):
+                ids = np.array([w["item_id"] for w in lists[query]], np.int64)
+                if count:
+                    order = np.argsort(-scores, kind="stable")
+                    high, own = -scores[order], -np.array([w["score"] for w in lists[query]])
+                    first, last = np.searchsorted(high, own), np.searchsorted(high, own, "right")
+                    values = np.array([f + np.searchsorted(items[order[f:z]], i) for f, z, i in zip(first, last, ids)], np.float64)
+                else:
+                    at = np.minimum(np.searchsorted(items, ids), max(0, len(items) - 1))
+                    found = items[at] == ids if len(items) else np.zeros(len(ids), bool)
+                    ids, values = ids[found], scores[at[found]] if len(items) else np.empty(0)
+                out_q.append(np.full(len(ids), query))
+                out_i.append(ids)
+                out_s.append(values)
         return _hits(out_q, out_i, out_s)
 
     return score
@@ -132,6 +171,17 @@ def sharded_topk(
     corpus_block: int = CORPUS_BLOCK,
 ) -> DataFrame:
     """Exact top-k of each query over the whole corpus; see the module text."""
+    return top_hits(_sharded(queries, corpus, score, query_block, corpus_block), k)
+
+
+def _sharded(
+    queries: DataFrame,
+    corpus: DataFrame,
+    score: Callable[[pa.Table, pa.Table], pa.Table],
+    query_block: int = QUERY_BLOCK,
+    corpus_block: int = CORPUS_BLOCK,
+) -> DataFrame:
+    """What ``score`` gives for every pair of shards."""
     q_shards, c_shards = _shards(queries, "query_id", query_block), _shards(corpus, "item_id", corpus_block)
 
     def own(ident: str, count: Column) -> Column:
@@ -145,8 +195,7 @@ def sharded_topk(
 
     left = fresh(queries).withColumn("_q", own("query_id", q_shards)).withColumn("_c", every(c_shards))
     right = fresh(corpus).withColumn("_c", own("item_id", c_shards)).withColumn("_q", every(q_shards))
-    pairs = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(score, HIT_SCHEMA)
-    return top_hits(pairs, k)
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(score, HIT_SCHEMA)
 
 
 def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 5, **blocks: int) -> DataFrame:
@@ -174,9 +223,14 @@ def keyword_score(
     The texts are read once: one pass counts the terms some query uses, plus one row per item
     for its length, into an intermediate table that the statistics and the scores share.
     """
+    blocks.setdefault("corpus_block", TEXT_BLOCK)
+    return sharded_topk(*_weighted_terms(queries, corpus, k1, b), k, _score_terms(k), **blocks)
+
+
+def _weighted_terms(queries: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """The weighted terms of the queries and of the items."""
     from salesloom.functions.text import words
 
-    blocks.setdefault("corpus_block", CORPUS_BLOCK // 4)  # a text has many terms, a vector is one row
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     every_item = F.lit("")  # not a word, so never a term
     vocabulary = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(every_item.alias("term")))
@@ -198,7 +252,7 @@ def keyword_score(
     )
     damp = F.col("tf") + k1 * (1 - b + b * F.col("_len") / avg_len)
     items = postings.select("item_id", "term", (F.col("tf") * (k1 + 1) / damp).alias("weight"))
-    return sharded_topk(weighted, items, k, _score_terms(k), **blocks)
+    return weighted, items
 
 
 def fuse_ranks(legs: Sequence[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -211,13 +265,46 @@ def fuse_ranks(legs: Sequence[DataFrame], k: int, constant: int = 60) -> DataFra
     return top_hits(fused, k)
 
 
-def hybrid_search(queries: DataFrame, corpus: DataFrame, k: int = 5, depth: int = 50, **blocks: int) -> DataFrame:
-    """Vector and keyword leg, each ``depth`` deep, fused to one list of k.
+def _seen_depth(k: int, constant: int = 60) -> int:
+    """A depth below which, in both legs, no item can be among the k best: k items of a leg have 1 / (constant + k) each."""
+    bar = 1 / (constant + k) - 2 * 10.0**-DIGITS
+    if bar <= 0:
+        raise ValueError(f"k is too large for scores of {DIGITS} digits")
+    return max(k, math.ceil(2 / bar - constant))
+
+
+def _with_ranks(hits: DataFrame, candidates: DataFrame, queries: DataFrame, corpus: DataFrame, scored: Scorer, **blocks: int) -> DataFrame:
+    """A leg's hits, and its other candidates with their true ranks in the whole corpus."""
+
+    def asked(wanted: DataFrame) -> DataFrame:
+        lists = wanted.groupBy("query_id").agg(F.collect_list(F.struct("item_id", "score")).alias("wanted"))
+        return queries.join(lists, "query_id")
+
+    missing = candidates.join(hits.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").withColumn("score", F.lit(0.0))
+    scores = materialize(_sharded(asked(missing), corpus, _of_wanted(scored, False), **blocks), "wanted")
+    before = _sharded(asked(scores), corpus, _of_wanted(scored, True), **blocks)
+    ranks = before.groupBy("query_id", "item_id").agg((F.sum("score") + 1).cast("int").alias("rank"))
+    return hits.select("query_id", "item_id", "rank").unionByName(ranks)
+
+
+def hybrid_search(queries: DataFrame, corpus: DataFrame, k: int = 5, depth: int | None = None, **blocks: int) -> DataFrame:
+    """Vector and keyword leg fused to one list of k, by the ranks in the whole corpus.
 
-    Queries and items without a vector take part in the keyword leg alone.
+    Queries and items without a vector take part in the keyword leg alone. Only items near the top
+    of a leg can be among the k best; they get their true rank in the other leg, counted block by
+    block. With ``depth`` each leg is cut there instead, and what ranks lower in both can be missed.
     """
-    near = knn_cosine(queries.where("vector IS NOT NULL"), corpus.where("vector IS NOT NULL"), depth, **blocks)
-    return fuse_ranks([near, keyword_score(queries, corpus, depth, **blocks)], k)
+    asked, stored = queries.where("vector IS NOT NULL").select("query_id", "vector"), corpus.where("vector IS NOT NULL").select("item_id", "vector")
+    if depth is not None:
+        return fuse_ranks([knn_cosine(asked, stored, depth, **blocks), keyword_score(queries, corpus, depth, **blocks)], k)
+    seen = _seen_depth(k)
+    weighted, terms = _weighted_terms(queries, corpus)
+    text_blocks = {"corpus_block": TEXT_BLOCK} | blocks
+    near = materialize(sharded_topk(asked, stored, seen, _score_vectors(seen), **blocks), "near")
+    words = materialize(sharded_topk(weighted, terms, seen, _score_terms(seen), **text_blocks), "words")
+    either = near.select("query_id", "item_id").unionByName(words.select("query_id", "item_id")).distinct()
+    legs = [_with_ranks(near, either, asked, stored, _vector_scores, **blocks), _with_ranks(words, either, weighted, terms, _term_scores, **text_blocks)]
+    return fuse_ranks(legs, k)
 
 
 def lsh_codes(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -> DataFrame:

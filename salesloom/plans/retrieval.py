@@ -126,6 +126,16 @@ HYBRID = {
 
 
 @query("hybrid_search", ranked_sql("fused", 5), **HYBRID)
+def _(r):
+    hits = hybrid_search(*hybrid_inputs(r), 5, depth=50)  # as in its SQL; hybrid_search_whole has no such cut
+    return hits.select("query_id", "item_id", "score", whole("rank", "rank"))
+
+
+def ranked_whole_sql(source: str) -> str:
+    return f"  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {source}"
+
+
+@query("hybrid_search_whole", ranked_sql("fused", 5), **HYBRID | {"vector_leg": ranked_whole_sql("cosine"), "word_leg": ranked_whole_sql("bm25")})
 def _(r):
     hits = hybrid_search(*hybrid_inputs(r), 5)
     return hits.select("query_id", "item_id", "score", whole("rank", "rank"))

@@ -133,3 +133,19 @@ def test_embedding_batches_keep_order(spark):
 def test_score_fallback(spark):
     df = spark.createDataFrame([(0.0, 0.3), (None, 0.4), (0.9, 0.1), (None, None)], "a double, b double")
     assert [r[0] for r in df.select(rt.score_fallback(F.col("a"), F.col("b"))).collect()] == [0.3, 0.4, 0.9, 0.0]
+
+
+def test_hybrid_search_sees_ranks_below_any_depth(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((300, 8)).round(3)
+    said = [" ".join(["bolt"] * int(rng.integers(1, 9)) + ["nut"] * int(rng.integers(0, 9)) + ["pin"] * int(rng.integers(1, 30))) for _ in range(300)]
+    said[0], vectors[0] = "bolt nut", -vectors[1]
+    corpus = spark.createDataFrame([(i, t, v.tolist()) for i, (t, v) in enumerate(zip(said, vectors))], "item_id bigint, text string, vector array<double>")
+    queries = spark.createDataFrame([(1, "bolt nut", vectors[1].tolist()), (2, "nut", vectors[2].tolist()), (3, "pin", None)], "query_id bigint, text string, vector array<double>")
+    near = rt.knn_cosine(queries.where("vector IS NOT NULL"), corpus, 300)
+    want = lists(rt.fuse_ranks([near, rt.keyword_score(queries, corpus, 300)], 5))
+    for blocks in ({}, {"query_block": 1, "corpus_block": 40}):
+        assert lists(rt.hybrid_search(queries, corpus, 5, **blocks)) == want
+    scores = {(r.query_id, r.item_id): r.score for r in rt.fuse_ranks([near, rt.keyword_score(queries, corpus, 300)], 5).collect()}
+    assert {(r.query_id, r.item_id): r.score for r in rt.hybrid_search(queries, corpus, 5).collect()} == scores
+    assert scores != {(r.query_id, r.item_id): r.score for r in rt.hybrid_search(queries, corpus, 5, depth=50).collect()}
