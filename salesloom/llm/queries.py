@@ -180,3 +180,51 @@ def op5(spark, sf_dir):
     from salesloom.llm.html import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+#: CRC-32 of a decimal text, bit by bit: an element from 0 on is a byte to take in, -1 a shift.
+CRC32_SQL = """xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+    flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split({}, '')])),
+    LAMBDA a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END))"""
+
+
+def leaf_sql(n_chars: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE leaf AS MATERIALIZED (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, {leaf_sql("n_chars")} AS leaf,
+         CASE WHEN {CRC32_SQL.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf_sql("(n_chars + 1)")} ELSE {leaf_sql("n_chars")} END AS given FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM leaf),
+tree AS (
+  SELECT g, 0 AS lvl, p, leaf AS node, n FROM placed
+  UNION ALL SELECT g, lvl + 1, p // 2, sha256(string_agg(node, '' ORDER BY p)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, p // 2, (n + 1) // 2),
+subroots AS MATERIALIZED (SELECT g, lvl AS height, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS gp, count(*) OVER () AS gn FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, gp AS p, subroot AS node, gn AS n FROM subroots
+  UNION ALL SELECT lvl + 1, p // 2, sha256(string_agg(node, '' ORDER BY p)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, p // 2, (n + 1) // 2),
+path AS MATERIALIZED (
+  SELECT x.g, x.p AS own, t.lvl, t.p, t.node FROM placed x JOIN tree t ON t.g = x.g AND t.n > 1 AND t.p = xor(x.p >> t.lvl, 1)
+  UNION ALL SELECT x.g, x.p, height + t.lvl, t.p, t.node FROM placed x JOIN subroots s USING (g) JOIN top t ON t.n > 1 AND t.p = xor(s.gp >> t.lvl, 1)),
+proofs AS (SELECT g, own AS p, string_agg(node, '' ORDER BY lvl) AS proof FROM path GROUP BY 1, 2),
+fold AS (
+  SELECT x.g, x.p AS own, 0 AS lvl, x.p AS here, x.n AS n, x.given AS node, false AS up FROM placed x
+  UNION ALL
+  SELECT f.g, f.own, CASE WHEN f.n > 1 THEN f.lvl + 1 ELSE f.lvl END, CASE WHEN f.n > 1 THEN f.here // 2 ELSE s.gp END, CASE WHEN f.n > 1 THEN (f.n + 1) // 2 ELSE s.gn END,
+         CASE WHEN f.n <= 1 THEN f.node WHEN h.node IS NULL THEN sha256(f.node) WHEN f.here % 2 = 0 THEN sha256(f.node || h.node) ELSE sha256(h.node || f.node) END,
+         f.up OR f.n <= 1
+  FROM fold f JOIN subroots s ON s.g = f.g LEFT JOIN path h ON h.g = f.g AND h.own = f.own AND h.lvl = f.lvl AND f.n > 1
+  WHERE f.n > 1 OR NOT f.up)
+SELECT x.doc_id, x.leaf, s.subroot, r.root, sha256(coalesce(proof, '')) AS proof_sha256, f.node AS folded_root, f.node = r.root AS verified
+FROM placed x JOIN subroots s USING (g) JOIN (SELECT node AS root FROM top WHERE n = 1) r ON true
+LEFT JOIN proofs USING (g, p) JOIN fold f ON f.g = x.g AND f.own = x.p AND f.n = 1 AND f.up"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark, sf_dir):
+    from salesloom.llm.merkle import merkle_proofs, seventh
+
+    rows = merkle_proofs(table(spark, sf_dir, "documents"), seventh(F.col("doc_id")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
