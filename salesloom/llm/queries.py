@@ -228,3 +228,12 @@ def op11(spark, sf_dir):
 
     rows = merkle_proofs(table(spark, sf_dir, "documents"), seventh(F.col("doc_id")))
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op12_lm_score")
+def op12(spark, sf_dir):
+    from salesloom.llm.ctw import lm_scores
+    from salesloom.llm.language import fold
+
+    part = fold(F.col("doc_id"), 10)
+    return lm_scores(table(spark, sf_dir, "documents"), part != 0, part == 0)
