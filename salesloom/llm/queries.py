@@ -237,3 +237,24 @@ def op12(spark, sf_dir):
 
     part = fold(F.col("doc_id"), 10)
     return lm_scores(table(spark, sf_dir, "documents"), part != 0, part == 0)
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {words_sql("text", NOT_ALNUM, True)} AS w FROM documents),
+n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+t AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+size AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({words_sql("text", NOT_ALNUM, True)}) AS term FROM benchmark) GROUP BY 1, 2),
+hit AS (
+  SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN t USING (term) JOIN f USING (term) JOIN n USING (doc_id), size GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13(spark, sf_dir):
+    from salesloom.llm.maxsketch import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
