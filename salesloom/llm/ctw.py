@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from salesloom.llm.common import ship, store, unpack
 from salesloom.llm.textscan import WORD_BYTES, byte_values, mix, pieces, run_hashes, text_bytes
 
-ORDER = 6  # at most 6: a run is a 64-bit number
+ORDER = 5  # at most 6: a run is a 64-bit number
 TOP = 3  # contexts of fewer bytes are known to every task
-PIECE, STRETCH = 16 << 20, 1 << 21
+PIECE, STRETCH = 8 << 20, 1 << 20
 FAN = 64
 LEAST_SHARDS = 64
 SPACE, END = 0x20, 0x0A
