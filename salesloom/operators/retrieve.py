@@ -1,208 +1,36 @@
 """Top-k retrieval for a whole table of queries: exact, filtered, keyword, hybrid, approximate.
 
-Queries and corpus are cut into shards by hash; each pair of shards meets in one task that
-scores it with matrix products and returns only its best k per query. Nothing is collected
-to the driver, no pair of rows is ever emitted, and a task holds two blocks of known size
-whatever the tables hold. The shard counts come from the tables' sizes inside the plan.
+Items stay where they are and are scored in blocks (``search.py``); vectors lie in learned cells
+whose bounds tell which queries a block need not meet (``cells.py``), texts in posting blocks
+(``postings.py``). A task returns only its best k per query, never pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from salesloom.operators.cells import CALIBRATE, Cells
+from salesloom.operators.postings import Postings, listed, parts
+from salesloom.operators.search import CORPUS_BLOCK, DIGITS, QUERY_BLOCK, Searched, groups, top_hits, union
 from salesloom.session import materialize
 
-QUERY_BLOCK = 2_048
-CORPUS_BLOCK = 20_000
-TEXT_BLOCK = CORPUS_BLOCK // 4  # a text has many terms, a vector is one row
-HIT_SCHEMA = "query_id bigint, item_id bigint, score double"
-DIGITS = 6  # scores are compared after rounding, then by id, so equal copies rank the same everywhere
 
+def _vectors(queries: DataFrame) -> DataFrame:
+    return queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector")
 
-def _best(scores: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores; ``items`` ascend, so a stable sort breaks ties by id."""
-    if len(scores) > k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        chosen = np.flatnonzero(scores >= bar)
-    else:
-        chosen = np.arange(len(scores))
-    return chosen[np.argsort(-scores[chosen], kind="stable")][:k]
 
-
-def _hits(queries: list, items: list, scores: list) -> pa.Table:
-    def join(parts, kind):
-        return pa.array(np.concatenate(parts) if parts else np.array([], dtype=kind), pa.from_numpy_dtype(kind))
-
-    return pa.table(
-        {"query_id": join(queries, np.int64), "item_id": join(items, np.int64), "score": join(scores, np.float64)}
-    )
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.concat_arrays(c.flatten() for c in column.chunks).to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
-
-
-Scored = Iterator[tuple[int, np.ndarray, np.ndarray]]
-Scorer = Callable[[pa.Table, pa.Table], Scored]
-
-
-def _vector_scores(queries: pa.Table, corpus: pa.Table) -> Scored:
-    """Each query of two blocks with the usable items, ascending, and their cosines."""
-    corpus = corpus.sort_by("item_id")
-    items = corpus["item_id"].to_numpy()
-    a, b = _matrix(queries["vector"]), _matrix(corpus["vector"])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        a = a / np.linalg.norm(a, axis=1, keepdims=True)
-    for query, vector in zip(queries["query_id"].to_numpy(), a):
-        scores = np.round(b @ vector, DIGITS)
-        usable = np.isfinite(scores)
-        yield query, items[usable], scores[usable]
-
-
-def _term_scores(queries: pa.Table, corpus: pa.Table) -> Scored:
-    """Each query of two blocks with its items, ascending, and the sums of query-term weights times item-term weights."""
-    queries = queries.sort_by([("query_id", "ascending"), ("term", "ascending")])  # sums don't depend on the order of arrival
-    terms = pc.unique(queries["term"])
-    codes = pc.index_in(corpus["term"], terms)
-    keep = pc.is_valid(codes)
-    codes = pc.filter(codes, keep).to_numpy()
-    corpus = corpus.filter(keep)
-    items, where = np.unique(corpus["item_id"].to_numpy(), return_inverse=True)
-    order = np.argsort(codes, kind="stable")
-    where, weights = where[order], corpus["weight"].to_numpy()[order]
-    edges = np.searchsorted(codes[order], np.arange(len(terms) + 1))
-    frame = pd.DataFrame(
-        {
-            "query": queries["query_id"].to_numpy(),
-            "code": pc.index_in(queries["term"], terms).to_numpy(),
-            "idf": queries["idf"].to_numpy(),
-        }
-    )
-    for query, rows in frame.groupby("query"):
-        scores = np.zeros(len(items))
-        for code, idf in zip(rows["code"], rows["idf"]):
-            span = slice(edges[code], edges[code + 1])
-            scores[where[span]] += idf * weights[span]
-        scores = np.round(scores, DIGITS)
-        found = np.flatnonzero(scores > 0)
-        yield query, items[found], scores[found]
-
-
-def _best_of(scored: Scorer, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The best k of each query of two blocks."""
-
-    def score(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        out_q, out_i, out_s = [], [], []
-        if queries.num_rows and corpus.num_rows:
-            for query, items, scores in scored(queries, corpus):
-                best = _best(scores, items, k)
-                out_q.append(np.full(len(best), query))
-                out_i.append(items[best])
-                out_s.append(scores[best])
-        return _hits(out_q, out_i, out_s)
-
-    return score
-
-
-def _score_vectors(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Cosine of every query with every item of two blocks, best k per query."""
-    return _best_of(_vector_scores, k)
-
-
-def _score_terms(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Sum of query-term weights times item-term weights of two blocks, best k per query."""
-    return _best_of(_term_scores, k)
-
-
-def _of_wanted(scored: Scorer, count: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The scores of each query's ``wanted`` items in two blocks, or how many items there come before each."""
-
-    def score(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        out_q, out_i, out_s = [], [], []
-        if queries.num_rows and corpus.num_rows:
-            lists = dict(zip(queries["query_id"].to_pylist(), queries["wanted"].to_pylist()))
-            for query, items, scores in scored(queries.drop_columns("wanted"), corpus):
-                ids = np.array([w["item_id"] for w in lists[query]], np.int64)
-                if count:
-                    order = np.argsort(-scores, kind="stable")
-                    high, own = -scores[order], -np.array([w["score"] for w in lists[query]])
-                    first, last = np.searchsorted(high, own), np.searchsorted(high, own, "right")
-                    values = np.array([f + np.searchsorted(items[order[f:z]], i) for f, z, i in zip(first, last, ids)], np.float64)
-                else:
-                    at = np.minimum(np.searchsorted(items, ids), max(0, len(items) - 1))
-                    found = items[at] == ids if len(items) else np.zeros(len(ids), bool)
-                    ids, values = ids[found], scores[at[found]] if len(items) else np.empty(0)
-                out_q.append(np.full(len(ids), query))
-                out_i.append(ids)
-                out_s.append(values)
-        return _hits(out_q, out_i, out_s)
-
-    return score
-
-
-def top_hits(hits: DataFrame, k: int) -> DataFrame:
-    """Best k per query by score, then id, with ``rank`` from 1."""
-    window = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-
-
-def _shards(table: DataFrame, ident: str, block: int) -> Column:
-    """How many shards of about ``block`` ids a table needs, as a scalar inside the plan."""
-    return F.greatest(F.ceil(table.agg((F.approx_count_distinct(ident) / block).alias("n")).scalar()), F.lit(1))
-
-
-def sharded_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    score: Callable[[pa.Table, pa.Table], pa.Table],
-    query_block: int = QUERY_BLOCK,
-    corpus_block: int = CORPUS_BLOCK,
-) -> DataFrame:
-    """Exact top-k of each query over the whole corpus; see the module text."""
-    return top_hits(_sharded(queries, corpus, score, query_block, corpus_block), k)
-
-
-def _sharded(
-    queries: DataFrame,
-    corpus: DataFrame,
-    score: Callable[[pa.Table, pa.Table], pa.Table],
-    query_block: int = QUERY_BLOCK,
-    corpus_block: int = CORPUS_BLOCK,
-) -> DataFrame:
-    """What ``score`` gives for every pair of shards."""
-    q_shards, c_shards = _shards(queries, "query_id", query_block), _shards(corpus, "item_id", corpus_block)
-
-    def own(ident: str, count: Column) -> Column:
-        return F.pmod(F.xxhash64(ident), count)
-
-    def every(count: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
-
-    def fresh(df: DataFrame) -> DataFrame:  # both sides may come from one frame; give each its own columns
-        return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-    left = fresh(queries).withColumn("_q", own("query_id", q_shards)).withColumn("_c", every(c_shards))
-    right = fresh(corpus).withColumn("_c", own("item_id", c_shards)).withColumn("_q", every(q_shards))
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(score, HIT_SCHEMA)
-
-
-def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 5, **blocks: int) -> DataFrame:
+def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, cells: int | None = None) -> DataFrame:
     """``queries(query_id, vector)`` against ``corpus(item_id, vector)``: query_id, item_id, score, rank."""
-    return sharded_topk(
-        queries.select("query_id", "vector"), corpus.select("item_id", "vector"), k, _score_vectors(k), **blocks
-    )
+    stored = Cells(corpus, cells, block=corpus_block)
+    return top_hits(union([stored.nearest(group, k) for group in groups(_vectors(queries), query_block)]), k)
 
 
 def knn_filtered(queries: DataFrame, corpus: DataFrame, ids: DataFrame, k: int = 5, **blocks: int) -> DataFrame:
@@ -210,49 +38,19 @@ def knn_filtered(queries: DataFrame, corpus: DataFrame, ids: DataFrame, k: int =
     return knn_cosine(queries, corpus.join(ids.select("account_id").distinct(), "account_id", "left_semi"), k, **blocks)
 
 
-def keyword_score(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = 5,
-    k1: float = 1.2,
-    b: float = 0.75,
-    **blocks: int,
-) -> DataFrame:
-    """BM25 (Robertson and Zaragoza) of ``queries(query_id, text)`` over ``corpus(item_id, text)``.
-
-    The texts are read once: one pass counts the terms some query uses, plus one row per item
-    for its length, into an intermediate table that the statistics and the scores share.
-    """
-    blocks.setdefault("corpus_block", TEXT_BLOCK)
-    return sharded_topk(*_weighted_terms(queries, corpus, k1, b), k, _score_terms(k), **blocks)
-
+def knn_pairs(queries: DataFrame, corpus: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, cells: int | None = None) -> DataFrame:
+    """How many pairs ``knn_cosine`` scores at most: ``scored``, one row a group of queries."""
+    stored = Cells(corpus, cells, block=corpus_block)
+    return union([stored.pairs(group, k) for group in groups(_vectors(queries), query_block)])
 
-def _weighted_terms(queries: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """The weighted terms of the queries and of the items."""
-    from salesloom.functions.text import words
 
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    every_item = F.lit("")  # not a word, so never a term
-    vocabulary = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(every_item.alias("term")))
-    terms = corpus.select("item_id", words(F.col("text")).alias("_words")).select(
-        "item_id", F.size("_words").alias("_len"), F.explode(F.array_append("_words", every_item)).alias("term")
-    )
-    counted = terms.join(vocabulary, "term", "left_semi").groupBy("item_id", "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = materialize(counted, "postings")
-
-    lengths = counts.where(F.col("term") == every_item)
-    n_items = lengths.agg(F.count(F.lit(1)).alias("n")).scalar()
-    avg_len = lengths.agg(F.avg("_len").alias("avg_len")).scalar()
-    postings = counts.where(F.col("term") != every_item)
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(frequency, "term").select(
-        "query_id",
-        "term",
-        F.log1p((n_items - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-    )
-    damp = F.col("tf") + k1 * (1 - b + b * F.col("_len") / avg_len)
-    items = postings.select("item_id", "term", (F.col("tf") * (k1 + 1) / damp).alias("weight"))
-    return weighted, items
+def keyword_score(queries: DataFrame, corpus: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """BM25 (Robertson and Zaragoza) of ``queries(query_id, text)`` over ``corpus(item_id, text)``; the texts are read once a part of the queries."""
+    found = []
+    for part in parts(listed(queries)):
+        stored = Postings(part, corpus, k1, b, corpus_block)
+        found += [stored.top(group, k, stored.first_bars(group, k)) for group in groups(part, query_block)]
+    return top_hits(union(found), k)
 
 
 def fuse_ranks(legs: Sequence[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -273,91 +71,53 @@ def _seen_depth(k: int, constant: int = 60) -> int:
     return max(k, math.ceil(2 / bar - constant))
 
 
-def _with_ranks(hits: DataFrame, candidates: DataFrame, queries: DataFrame, corpus: DataFrame, scored: Scorer, **blocks: int) -> DataFrame:
-    """A leg's hits, and its other candidates with their true ranks in the whole corpus."""
+def _legs(stored: Searched, asked: pa.Table, leg: DataFrame, either: DataFrame) -> DataFrame:
+    """Every candidate's rank in a leg: of those among its hits as it is, of the others counted in the whole corpus."""
+    own = either.join(leg.select("query_id", "item_id", "rank"), ["query_id", "item_id"], "left_anti")
+    pairs = own.select("query_id", "item_id", F.lit(None).cast("double").alias("score")).toArrow()
+    return leg.select("query_id", "item_id", "rank").unionByName(stored.ranks(asked, pairs))
 
-    def asked(wanted: DataFrame) -> DataFrame:
-        lists = wanted.groupBy("query_id").agg(F.collect_list(F.struct("item_id", "score")).alias("wanted"))
-        return queries.join(lists, "query_id")
 
-    missing = candidates.join(hits.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").withColumn("score", F.lit(0.0))
-    scores = materialize(_sharded(asked(missing), corpus, _of_wanted(scored, False), **blocks), "wanted")
-    before = _sharded(asked(scores), corpus, _of_wanted(scored, True), **blocks)
-    ranks = before.groupBy("query_id", "item_id").agg((F.sum("score") + 1).cast("int").alias("rank"))
-    return hits.select("query_id", "item_id", "rank").unionByName(ranks)
-
-
-def hybrid_search(queries: DataFrame, corpus: DataFrame, k: int = 5, depth: int | None = None, **blocks: int) -> DataFrame:
+def hybrid_search(
+    queries: DataFrame, corpus: DataFrame, k: int = 5, depth: int | None = None, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK
+) -> DataFrame:
     """Vector and keyword leg fused to one list of k, by the ranks in the whole corpus.
 
     Queries and items without a vector take part in the keyword leg alone. Only items near the top
     of a leg can be among the k best; they get their true rank in the other leg, counted block by
     block. With ``depth`` each leg is cut there instead, and what ranks lower in both can be missed.
     """
-    asked, stored = queries.where("vector IS NOT NULL").select("query_id", "vector"), corpus.where("vector IS NOT NULL").select("item_id", "vector")
+    stored = corpus.where("vector IS NOT NULL").select("item_id", "vector")
     if depth is not None:
-        return fuse_ranks([knn_cosine(asked, stored, depth, **blocks), keyword_score(queries, corpus, depth, **blocks)], k)
+        blocks = {"query_block": query_block, "corpus_block": corpus_block}
+        return fuse_ranks([knn_cosine(queries, stored, depth, **blocks), keyword_score(queries, corpus, depth, **blocks)], k)
     seen = _seen_depth(k)
-    weighted, terms = _weighted_terms(queries, corpus)
-    text_blocks = {"corpus_block": TEXT_BLOCK} | blocks
-    near = materialize(sharded_topk(asked, stored, seen, _score_vectors(seen), **blocks), "near")
-    words = materialize(sharded_topk(weighted, terms, seen, _score_terms(seen), **text_blocks), "words")
-    either = near.select("query_id", "item_id").unionByName(words.select("query_id", "item_id")).distinct()
-    legs = [_with_ranks(near, either, asked, stored, _vector_scores, **blocks), _with_ranks(words, either, weighted, terms, _term_scores, **text_blocks)]
-    return fuse_ranks(legs, k)
-
-
-def lsh_codes(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
-    """``table`` and ``code`` of each vector: the sides of random hyperplanes it lies on."""
-    planes = np.random.RandomState(seed).standard_normal((dim, tables * bits))
-    powers = 1 << np.arange(bits)
-
-    @F.pandas_udf("array<int>")
-    def codes(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        side = (np.stack(vectors.to_numpy()).astype(np.float64) @ planes) > 0
-        return pd.Series(list((side.reshape(len(vectors), tables, bits) @ powers).astype(np.int32)))
-
-    return df.withColumn("_codes", codes("vector")).select(*df.columns, F.posexplode("_codes").alias("table", "code"))
+    vectors, fused = Cells(stored, block=corpus_block), []
+    for part in parts(listed(queries)):
+        texts = Postings(part, corpus, block=corpus_block)
+        for group in groups(part.join(_vectors(queries), "query_id", "left"), query_block):
+            near = materialize(top_hits(vectors.nearest(group, seen), seen), "near")
+            words = materialize(top_hits(texts.top(group, seen, texts.first_bars(group, seen)), seen), "words")
+            either = near.select("query_id", "item_id").unionByName(words.select("query_id", "item_id")).distinct()  # at most 2 * seen a query
+            fused.append(fuse_ranks([_legs(vectors, group, near, either), _legs(texts, group, words, either)], k))
+    return union(fused)
 
 
 def knn_approx(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = 5,
-    dim: int = 64,
-    tables: int = 20,
-    bits: int = 4,
-    query_block: int = QUERY_BLOCK,
-    corpus_block: int = CORPUS_BLOCK,
+    queries: DataFrame, corpus: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, cells: int | None = None
 ) -> DataFrame:
-    """Approximate top-k: a query is scored only against items that share a hyperplane code.
+    """Approximate top-k: a cell is left out where its estimate, learned from some of the queries, is below a query's bar.
 
-    A code that holds many copies is cut into shards like the exact search, so it costs more
-    tasks, not a bigger one; scores are exact, only membership is approximate.
+    Scores are exact, only membership is approximate. There are about as many cells as a cell has
+    vectors; a corpus of fewer than four vectors a cell is searched exactly.
     """
-    asked = lsh_codes(queries.select("query_id", F.col("vector").alias("vector")), dim, tables, bits)
-    stored = lsh_codes(corpus.select("item_id", F.col("vector").alias("vector")), dim, tables, bits)
-    cell = ["table", "code"]
-
-    def sizes(df: DataFrame, name: str, block: int) -> DataFrame:
-        return df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
-
-    cells = sizes(asked, "_qn", query_block).join(sizes(stored, "_cn", corpus_block), cell)
-
-    def place(df: DataFrame, ident: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return (
-            df.join(cells, cell)
-            .withColumn(own, F.pmod(F.xxhash64(ident), F.col(own_n)))
-            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)))
-        )
-
-    keys = [*cell, "_q", "_c"]
-    left = place(asked, "query_id", "_q", "_qn", "_c", "_cn").select(*keys, "query_id", "vector")
-    right = place(stored, "item_id", "_c", "_cn", "_q", "_qn").select(*keys, "item_id", "vector")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_score_vectors(k), HIT_SCHEMA)
-    return top_hits(found.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), k)
+    n = corpus.where("vector IS NOT NULL").count()
+    stored = Cells(corpus, max(2, math.isqrt(n)) if cells is None else cells, block=corpus_block)
+    asked = materialize(_vectors(queries), "asked")
+    share = max(4, math.ceil(asked.count() / CALIBRATE))
+    learned = asked.where(F.pmod(F.xxhash64("query_id", F.lit("calibrate")), F.lit(share)) == 0).limit(2 * CALIBRATE).toArrow()
+    stored = stored.calibrated(learned, k)
+    return top_hits(union([stored.nearest(group, k) for group in groups(asked, query_block)]), k)
 
 
 def score_fallback(rerank: Column, score: Column) -> Column:

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from salesloom.operators import postings
 from salesloom.operators import retrieve as rt
 
 SF = "/root/testdata/sf0.01"
@@ -54,7 +55,60 @@ def test_approximate_search_recall(spark):
     recall = np.mean([len(set(got.get(q, [])) & set(hits)) / 5 for q, hits in expected.items()])
     assert recall >= 0.9, recall
     split = lists(rt.knn_approx(queries, corpus, 5, query_block=40, corpus_block=10))
-    assert split == got  # cutting hot codes into shards changes nothing
+    recall = np.mean([len(set(split.get(q, [])) & set(hits)) / 5 for q, hits in expected.items()])
+    assert recall >= 0.9, recall
+
+
+def clusters(spark, n=4000, centers=50, dim=16):
+    """Vectors around some directions, a third of all around one, with copies, scaled ones and unusable ones."""
+    rng = np.random.default_rng(9)
+    around = rng.standard_normal((centers, dim))
+    own = np.where(rng.random(n) < 0.33, 0, rng.integers(0, centers, n))
+    rows = around[own] + 0.15 * rng.standard_normal((n, dim))
+    rows[:30] = rows[30]
+    rows[40:60] *= 1000
+    listed = [(i, v.tolist()) for i, v in enumerate(rows)]
+    listed += [(n, [0.0] * dim), (n + 1, None), (n + 2, [float("nan")] * dim), (n + 3, [None, *[1.0] * (dim - 1)])]
+    corpus = spark.createDataFrame(listed, "item_id bigint, vector array<double>").cache()
+    return corpus.where(f"item_id % 10 = 0 OR item_id >= {n}").withColumnRenamed("item_id", "query_id"), corpus, rows
+
+
+def brute_rows(queries, rows, k):
+    m = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 6)
+    return {q: np.lexsort((np.arange(len(m)), -s[q]))[:k].tolist() for q in queries}
+
+
+def test_cells_skip_what_cannot_reach_the_best(spark):
+    queries, corpus, rows = clusters(spark)
+    expected = brute_rows(range(0, len(rows), 10), rows, 5)
+    for blocks in ({}, {"query_block": 150, "corpus_block": 100}):
+        assert lists(rt.knn_cosine(queries, corpus, 5, cells=50, **blocks)) == expected
+    scored = rt.knn_pairs(queries, corpus, 5, cells=50).agg(F.sum("scored")).first()[0]
+    assert scored < 0.5 * len(expected) * len(rows)  # a third of all is one cluster, which its own must meet
+    assert rt.knn_pairs(queries, corpus, 5, cells=1).first().scored == len(expected) * len(rows)
+
+
+def test_learned_estimate_skips_more(spark):
+    queries, corpus, rows = clusters(spark)
+    expected = brute_rows(range(0, len(rows), 10), rows, 5)
+    hits = rt.knn_approx(queries, corpus, 5)
+    got = lists(hits)
+    assert np.mean([len(set(got.get(q, [])) & set(found)) / 5 for q, found in expected.items()]) >= 0.9
+    exact = {(r.query_id, r.item_id): r.score for r in rt.knn_cosine(queries, corpus, 50).collect()}
+    assert all(exact[r.query_id, r.item_id] == r.score for r in hits.collect() if (r.query_id, r.item_id) in exact)
+
+
+def test_search_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "item_id bigint, text string, vector array<double>")
+    asked = spark.createDataFrame([(1, "bolt", [1.0, 0.0])], "query_id bigint, text string, vector array<double>")
+    none = asked.limit(0)
+    items = asked.withColumnRenamed("query_id", "item_id")
+    for queries, corpus in ((asked, empty), (none, items), (none, empty)):
+        assert rt.knn_cosine(queries, corpus, 3).count() == 0
+        assert rt.knn_approx(queries, corpus, 3).count() == 0
+        assert rt.keyword_score(queries, corpus, 3).count() == 0
+        assert rt.hybrid_search(queries, corpus, 3).count() == 0
 
 
 def test_keyword_score_against_the_formula(spark):
@@ -80,6 +134,25 @@ def test_keyword_score_against_the_formula(spark):
         assert got == expected
 
 
+def test_keyword_blocks_are_skipped_below_the_bar(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    common, rare = [f"w{i}" for i in range(20)], [f"rare{i}" for i in range(60)]
+    texts = [" ".join([*rng.choice(common, rng.integers(1, 40)), *rng.choice(rare, rng.integers(0, 3))]) for _ in range(400)]
+    corpus = spark.createDataFrame(list(enumerate(texts)) + [(400, None), (401, "")], "item_id bigint, text string")
+    asked = spark.createDataFrame([(i, " ".join([*rng.choice(common, 4), rare[i]])) for i in range(40)] + [(99, None)], "query_id bigint, text string")
+    whole = lists(rt.keyword_score(asked, corpus, 4))
+    monkeypatch.setattr(postings, "FIRST", 3)
+    monkeypatch.setattr(postings, "SENT_BYTES", 900)  # several parts of the queries
+    assert lists(rt.keyword_score(asked, corpus, 4, query_block=7, corpus_block=9)) == whole
+    part = postings.listed(asked)
+    stored = postings.Postings(part, corpus, block=9)
+    group = next(rt.groups(part))
+    known = stored.group(group)
+    batches = stored.items.toArrow().combine_chunks().to_batches()
+    met = [len(rows) for rows, _, _ in known.blocks(batches, lambda: stored.first_bars(group, 4), None)]
+    assert 0 < sum(met) < 0.9 * len(known.ids) * math.ceil(402 / 9)
+
+
 def hits(spark, *rows):
     return spark.createDataFrame(list(rows), "query_id int, item_id int, content string, score double, rank int")
 
