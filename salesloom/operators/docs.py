@@ -1,9 +1,7 @@
 """Markdown documents rendered from nested records with column expressions.
 
-One row of a nested record gives one document part. A record in a single block gives the
-whole document; further blocks of a huge record give ``<name>.<block>.md`` with the
-remaining entries under the same headings. The time of rendering is not part of the body,
-so an unchanged record keeps its hash.
+One nested record gives one document. The time of rendering is not part of the body, so an unchanged
+record keeps its hash.
 """
 
 from __future__ import annotations
@@ -45,22 +43,16 @@ def _lines(items: Column, line) -> Column:
     return F.array_join(F.transform(items, line), "")
 
 
-def _section(title: str, total: Column, items: Column, line, block: Column) -> Column:
-    """Heading with the whole count, then this block's entries; later blocks skip empty sections."""
+def _section(title: str, total: Column, items: Column, line) -> Column:
+    """Heading with the count, then the entries."""
     body = F.when(total > 0, _lines(items, line)).otherwise(NONE)
-    return F.when((block == 0) | (F.size(items) > 0), _text("## ", title, " (", total.cast("string"), ")\n", body)).otherwise("")
+    return _text("## ", title, " (", total.cast("string"), ")\n", body)
 
 
 def _finish(df: DataFrame, key: Column, folder: str, body: Column) -> DataFrame:
-    suffix = F.when(F.col("block") > 0, F.concat(F.lit("."), F.col("block").cast("string"))).otherwise("")
     return (
         df.withColumn("_body", body)
-        .select(
-            key.cast("string").alias("doc_key"),
-            F.col("block").alias("part"),
-            F.concat(F.lit(f"{folder}/"), key.cast("string"), suffix, F.lit(".md")).alias("path"),
-            F.col("_body").alias("body"),
-        )
+        .select(key.cast("string").alias("doc_key"), F.concat(F.lit(f"{folder}/"), key.cast("string"), F.lit(".md")).alias("path"), F.col("_body").alias("body"))
         .withColumn("md_hash", content_hash(F.col("body"), 16))
     )
 
@@ -73,7 +65,7 @@ def render_account_doc(records: DataFrame) -> DataFrame:
     def of(name: str, default: str = "") -> Column:
         return _get(parent, has, name, default)
 
-    ident, name, block = of("account_id"), of("account_name"), F.col("block")
+    ident, name = of("account_id"), of("account_name")
     labels = [
         ("Customer Code", "customer_code"),
         ("Industry", "industry"),
@@ -129,14 +121,14 @@ def render_account_doc(records: DataFrame) -> DataFrame:
         return _text("**", _get(n, at, "title"), "** (", _get(n, at, "note_date"), ")\n", _get(n, at, "body"), "\n\n")
 
     notes = F.when(
-        (F.col("n_notes") > 0) & (F.size("notes") > 0),
+        F.col("n_notes") > 0,
         _text("\n## Notes (", F.col("n_notes").cast("string"), ")\n", _lines(F.col("notes"), note)),
     ).otherwise("")
     body = _text(
         head,
-        _section("Contacts", F.col("n_contacts"), F.col("contacts"), contact, block), "\n",
-        _section("Opportunities", F.col("n_deals"), F.col("deals"), deal, block), "\n",
-        _section("Recent Activities", F.col("n_activities"), F.col("activities"), activity, block),
+        _section("Contacts", F.col("n_contacts"), F.col("contacts"), contact), "\n",
+        _section("Opportunities", F.col("n_deals"), F.col("deals"), deal), "\n",
+        _section("Recent Activities", F.col("n_activities"), F.col("activities"), activity),
         notes,
     )
     return _finish(records, ident, "account", body)
@@ -186,7 +178,7 @@ def render_salesperson_doc(lens: DataFrame) -> DataFrame:
         _lens_head("salesperson", F.col("person")),
         "**Accounts:** ", F.col("account_count").cast("string"), " | **Deals:** ", F.col("deal_count").cast("string"), "\n\n",
         "## Deals\n", _lines(F.col("deals"), deal), "\n",
-        _section("Recent Activities", count, F.col("activities"), lambda a: _activity_line(a, acts), F.col("block")),
+        _section("Recent Activities", count, F.col("activities"), lambda a: _activity_line(a, acts)),
     )
     return _finish(lens, F.col("key"), "salesperson", body)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.text import slugify, strip_html
-from salesloom.operators.nest import BLOCK_SIZE, grouped_items
+from salesloom.operators.nest import BLOCK_SIZE, collected, grouped_items
 from salesloom.operators.rank import recent_n
 
 
@@ -43,9 +43,11 @@ def lens_solution(deals: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
 
 
 def lens_salesperson(
-    deals: DataFrame, activities: DataFrame, recent: int = 50, block_size: int = BLOCK_SIZE
+    deals: DataFrame, activities: DataFrame, recent: int | None = None, block_size: int = BLOCK_SIZE
 ) -> DataFrame:
-    """Per salesperson: deals, accounts (an empty name counts once) and the latest activities.
+    """Per salesperson: deals, accounts (an empty name counts once) and the activities, the latest first.
+
+    With ``recent`` only so many of them.
 
     ``activities``: ``activity_id, deal_id, activity_date, subject, activity_type, state``.
     """
@@ -63,19 +65,14 @@ def lens_salesperson(
         F.countDistinct(F.coalesce("account_name", F.lit(""))).alias("account_count"),
     ]
     grouped = grouped_items(owned, "person", "deal_id", item, stats, block_size).withColumnRenamed("items", "deals")
-    latest = recent_n(
-        activities.join(owned.select("deal_id", "person"), "deal_id"),
-        "person",
-        [F.col("activity_date").desc(), F.col("activity_id")],
-        recent,
-    )
-    lists = (  # at most `recent` rows per person
-        latest.groupBy("person")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "activity_date", "subject", "activity_type", "state"))).alias("activities"))
-        .withColumn("block", F.lit(0).cast("bigint"))
-    )
+    shown = activities.join(owned.select("deal_id", "person"), "deal_id")
+    if recent is not None:
+        shown = recent_n(shown, "person", [F.col("activity_date").desc(), F.col("activity_id")], recent)
+    age = F.coalesce(-F.unix_micros(F.try_to_timestamp(F.col("activity_date").cast("string"))), F.lit(2**63 - 1))
+    entry = F.struct(age.alias("age"), "activity_id", F.struct("activity_date", "subject", "activity_type", "state").alias("row"))
+    lists = collected(shown.select("person", entry.alias("activities")), "person", ["activities"], block_size)
     return (
-        grouped.join(lists, ["person", "block"], "left")
+        grouped.join(lists.select("person", F.transform("activities", lambda a: a["row"]).alias("activities")), "person", "left")
         .withColumn("activities", F.coalesce("activities", F.array()))
         .withColumn("key", slugify(F.col("person")))
     )

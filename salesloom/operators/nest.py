@@ -1,12 +1,9 @@
-"""Parents with their children as arrays, in blocks of bounded size.
+"""Parents with their children as arrays, one record per key at any size.
 
-A parent with up to ``block_size`` children is one row. A bigger one is several rows with
-the same key and increasing ``block``: nothing is dropped, no array grows with the data,
-and a parent that owns a third of all children is spread over many tasks.
-
-Group sizes are written to the shared folder first. Spark then knows their real size when it
-plans the join: a short list is broadcast and the children are shuffled once, a long one is
-joined by sort-merge with skew handling.
+Keys with up to ``block_size`` children are grouped at once. A bigger key's children are numbered
+along their own order by a range partitioning, cut into blocks of ``block_size`` neighbours, which are
+collected and sorted each on its own, and put together in order at the end; that last step moves
+arrays and sorts nothing. What a record needs to fit is one row.
 """
 
 from __future__ import annotations
@@ -16,63 +13,60 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesloom.functions.text import strip_html
+from salesloom.operators.ordered import numbered
 from salesloom.session import materialize
 
 BLOCK_SIZE = 10_000
+ORDER = "_order"  # of a child table: sorts the children and is not shown
+
 
+def collected(rows: DataFrame, key: str, lists: Sequence[str], block_size: int = BLOCK_SIZE, parents: DataFrame | None = None) -> DataFrame:
+    """``key, _parents, <lists>``: per key the sorted structs of each list column (null where a row is of another list).
 
-def block_of(item: Column, blocks: Column) -> Column:
-    return F.when(blocks > 1, F.pmod(F.xxhash64(item), blocks)).otherwise(F.lit(0).cast("bigint"))
+    ``parents`` (``key, _parent``) travel with the rows of ordinary keys in one shuffle.
+    """
+    big = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_size).select(key), "big")
+    one = rows if parents is None else rows.unionByName(parents, allowMissingColumns=True)
+    one = one if "_parent" in one.columns else one.withColumn("_parent", F.lit(None).cast("string"))
+    some = not big.isEmpty()
+    ordinary = one.join(big, key, "left_anti") if some else one
+    grouped = ordinary.groupBy(key).agg(F.collect_list("_parent").alias("_parents"), *[F.sort_array(F.collect_list(n)).alias(n) for n in lists])
+    if not some:
+        return grouped
+    placed = numbered(rows.join(big, key, "left_semi").select(key, *lists), [key], list(lists))
+    block = F.floor(F.col("row_index") / block_size).alias("_block")
+    blocks = placed.groupBy(key, block).agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in lists])
+
+    def joined(name: str) -> Column:
+        in_order = F.sort_array(F.collect_list(F.struct("_block", name)))
+        return F.flatten(F.transform(in_order, lambda b: b[name])).alias(name)
+
+    whole = blocks.groupBy(key).agg(*[joined(n) for n in lists])
+    if parents is None:
+        whole = whole.withColumn("_parents", F.array().cast("array<string>"))
+    else:
+        whole = whole.join(parents.groupBy(key).agg(F.collect_list("_parent").alias("_parents")), key)
+    return grouped.unionByName(whole.select(key, "_parents", *lists))
 
 
 def nest(parents: DataFrame, children: Mapping[str, DataFrame], key: str, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """``key, block, blocks, parent, <child lists>, n_<child>``; one shuffle nests every family.
+    """``key, parent, <child lists>, n_<child>``; one shuffle nests every family.
 
-    ``children`` maps a list name to a frame of ``key`` + fields; lists are sorted by the
-    fields in order. Parents and all children travel in one tagged union, so there is one
-    ``groupBy`` instead of a join per family. Children without a parent stay out, parents
+    ``children`` maps a list name to a frame of ``key`` + fields; a list is sorted by the column
+    ``_order`` where the frame has one, then by the fields in order. Children without a parent stay out, parents
     without children get empty lists, and a duplicated parent row gives a duplicated record.
     """
-    names = list(children)
     tagged = None
     for name, frame in children.items():
-        fields = [c for c in frame.columns if c != key]
-        rows = frame.select(key, F.lit(name).alias("_family"), F.struct(*fields).alias(name))
+        fields = [c for c in frame.columns if c not in (key, ORDER)]
+        first = F.col(ORDER) if ORDER in frame.columns else F.lit(0)
+        rows = frame.select(key, F.struct(first.alias(ORDER), F.struct(*fields).alias("row")).alias(name))
         tagged = rows if tagged is None else tagged.unionByName(rows, allowMissingColumns=True)
-
-    counts = [F.count_if(F.col("_family") == n).alias(f"n_{n}") for n in names]
-    sizes = (  # at most rows / block_size keys
-        tagged.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"), *counts)
-        .where(F.col("_n") > block_size)
-        .withColumn("blocks", F.ceil(F.col("_n") / block_size))
-        .drop("_n")
-    )
-    big = materialize(sizes, "sizes")
-    blocks = F.coalesce(F.col("blocks"), F.lit(1).cast("bigint"))
-    children_rows = tagged.join(big, key, "left").withColumn("block", block_of(F.struct("_family", *names), blocks))
-    parent_rows = (
-        parents.select(key, F.struct(*[c for c in parents.columns]).alias("_parent"))
-        .join(big, key, "left")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    )
-    grouped = (
-        children_rows.unionByName(parent_rows, allowMissingColumns=True)
-        .groupBy(key, "block")
-        .agg(
-            F.collect_list("_parent").alias("_parents"),
-            F.coalesce(F.max("blocks"), F.lit(1).cast("bigint")).alias("blocks"),
-            *[F.sort_array(F.collect_list(n)).alias(n) for n in names],
-            *[F.max(f"n_{n}").alias(f"_big_{n}") for n in names],
-        )
-    )
-    return grouped.select(
-        key,
-        "block",
-        "blocks",
-        F.explode("_parents").alias("parent"),
-        *names,
-        *[F.coalesce(F.col(f"_big_{n}"), F.size(n).cast("bigint")).alias(f"n_{n}") for n in names],
+    records = parents.select(key, F.struct(*parents.columns).alias("_parent"))
+    lists = {n: F.transform(n, lambda x: x["row"]).alias(n) for n in children}
+    return collected(tagged, key, list(children), block_size, records).select(
+        key, F.explode("_parents").alias("parent"), *lists.values(), *[F.size(n).cast("bigint").alias(f"n_{n}") for n in children]
     )
 
 
@@ -83,6 +77,18 @@ def opportunity_enrich(
     return nest(deals, {"connections": connections, "reviews": reviews, "close": closes}, "deal_id", block_size)
 
 
+def enriched_deals(enriched: DataFrame) -> DataFrame:
+    """The deals of ``opportunity_enrich`` as children of an account: their own fields, then their lists."""
+    kept = [f for f in enriched.schema["parent"].dataType.names]
+    return enriched.select(*[F.col(f"parent.{f}").alias(f) for f in kept], "connections", "reviews", "close")
+
+
+def clean_texts(deals: DataFrame) -> DataFrame:
+    """Deals with the mark-up of their free texts removed."""
+    texts = [c for c in ("description", "detail_reasons") if c in deals.columns]
+    return deals.withColumns({c: strip_html(F.col(c)) for c in texts}) if texts else deals
+
+
 def account_nest(
     accounts: DataFrame,
     contacts: DataFrame,
@@ -91,34 +97,20 @@ def account_nest(
     notes: DataFrame,
     block_size: int = BLOCK_SIZE,
 ) -> DataFrame:
-    """One record per account with contacts, deals, activities and notes; blank keys are left out."""
+    """One record per account with contacts, deals, activities and notes; blank keys are left out.
+
+    Deals may carry lists of their own (``enriched_deals``).
+    """
     return nest(
         accounts.where(F.trim(F.col("account_id").cast("string")) != ""),
-        {"contacts": contacts, "deals": deals, "activities": activities, "notes": notes},
+        {"contacts": contacts, "deals": clean_texts(deals), "activities": activities, "notes": notes},
         "account_id",
         block_size,
     )
 
 
 def grouped_items(rows: DataFrame, by: str, item_key: str, item: Column, stats: Sequence[Column], block_size: int) -> DataFrame:
-    """Group rows by ``by`` into blocks of items with whole-group ``stats`` on every block.
-
-    The statistics are one row per group (partial aggregation); the rows then look up how
-    many blocks their group needs.
-    """
-    totals = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), *stats)
-    names = [c for c in totals.columns if c not in (by, "_n")]
-    totals = materialize(totals, "totals")
-    blocks = F.ceil(F.col("_n") / block_size)
-    return (
-        rows.select(by, F.col(item_key).alias("_id"), item.alias("_item"))
-        .join(totals, by)
-        .groupBy(by, block_of(F.col("_id"), blocks).alias("block"))
-        .agg(
-            F.max(blocks).alias("blocks"),
-            *[F.first(n).alias(n) for n in names],
-            F.sort_array(F.collect_list(F.struct("_id", "_item"))).alias("_items"),
-        )
-        .withColumn("items", F.transform("_items", lambda x: x["_item"]))
-        .drop("_items")
-    )
+    """Per group its items in the order of their keys, and the ``stats`` over the whole group."""
+    totals = rows.groupBy(by).agg(*stats)
+    lists = collected(rows.select(by, F.struct(F.col(item_key).alias("_id"), item.alias("_item")).alias("items")), by, ["items"], block_size)
+    return totals.join(lists.select(by, F.transform("items", lambda x: x["_item"]).alias("items")), by)

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesloom.session import materialize
+
 
 def previous_value(
     df: DataFrame, key: str, order: Sequence[str], value: str, bucket: Column, out: str = "previous"
@@ -37,30 +39,35 @@ def previous_value(
     )
 
 
-def global_index(df: DataFrame, key: str, width: int, out: str = "row_index") -> DataFrame:
-    """Position of each row along a unique numeric key, from 0, without a one-task sort.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_index") -> DataFrame:
+    """Position of each row from 0 along ``order`` inside its group, for keys and orders of any type.
 
-    Rows are cut into key ranges of ``width``; a range holds at most ``width`` rows. Only
-    the counts of the ranges, one row each, are summed along the key.
+    The rows are range-partitioned by sampled bounds and written once, each with its number in its
+    partition. Where a partition begins inside a group is known from the counts of the partitions
+    before it, a list as short as there are partitions; no group is sorted in one task. Rows alike in
+    keys and order are numbered as they lie.
     """
-    rows = df.withColumn("_bucket", F.floor(F.col(key) / F.lit(width)))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy("_bucket").orderBy(key)
-    return (
-        rows.join(starts, "_bucket")
-        .withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_bucket", "_start")
-    )
-
-
-def paged_scan(df: DataFrame, key: str, page_size: int = 30_000, width: int = 1_000_000) -> DataFrame:
-    """Number the pages of a table ordered by a unique key."""
-    return global_index(df, key, width).withColumn("page", F.floor(F.col("row_index") / page_size))
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftrightunsigned("_id", 33))
+    runs = placed.groupBy(*keys, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = runs.select(*keys, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        joined = F.expr(" AND ".join([f"rows.`{k}` <=> starts.`{k}`" for k in keys] + ["rows._part = starts._part"]))
+        placed = placed.alias("rows").join(starts.alias("starts"), joined).select("rows.*", "starts._first", "starts._start")
+    else:
+        total, listed = 0, []
+        for run in sorted(runs.collect()):  # one row a partition
+            listed.append((run["_part"], run["_first"], total))
+            total += run["_n"]
+        starts = df.sparkSession.createDataFrame(listed, "_part long, _first long, _start long")
+        placed = placed.join(F.broadcast(starts), "_part")
+    return placed.withColumn(out, F.col("_start") + F.col("_id") - F.col("_first")).drop("_id", "_part", "_first", "_start")
+
+
+def paged_scan(df: DataFrame, key: str, page_size: int = 30_000) -> DataFrame:
+    """Number the pages of a table ordered by a unique key of any type."""
+    return numbered(df, [], [key]).withColumn("page", F.floor(F.col("row_index") / page_size))
 
 
 def one_page(df: DataFrame, key: str, page_size: int, skip: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from salesloom.operators import docs
 from salesloom.operators.lenses import lens_industry, lens_salesperson, lens_solution
 from salesloom.operators.retrieve import embed_batch
 from salesloom.operators.upsert import upsert_outcome, upsert_report
-from salesloom.plans.joins import ACTIVITIES_SQL, FLAT_SQL, account_activities, flat_deals, nested_accounts
+from salesloom.plans.joins import ACTIVITIES_SQL, FLAT_SQL, account_activities, account_records, deal_fields, flat_deals, nested_accounts
 from salesloom.plans.registry import query
 from salesloom.plans.shapes import whole
 from salesloom.plans.values import strip_html_sql
+from salesloom.session import materialize
 
 NL = "chr(10)"
 
@@ -24,13 +27,14 @@ def account_docs(r):
 
 
 def corpus(r):
-    """Every document of the account corpus and the three lenses."""
-    deals = flat_deals(r)
+    """Every document of the account corpus and the three lenses; what they share is written once."""
+    deals = materialize(flat_deals(r), "deals")
+    activities = materialize(account_activities(r), "activities")
     return docs.corpus_union(
-        account=account_docs(r),
+        account=docs.render_account_doc(nested_accounts(r, deal_fields(deals), activities)),
         solution=docs.render_solution_doc(lens_solution(deals)),
-        salesperson=docs.render_salesperson_doc(lens_salesperson(deals, account_activities(r).drop("account_id"))),
-        industry=docs.render_industry_doc(lens_industry(r.account, r.deal)),
+        salesperson=docs.render_salesperson_doc(lens_salesperson(deals, activities.drop("account_id"), recent=50)),
+        industry=docs.render_industry_doc(lens_industry(r.account, deals)),
     )
 
 
@@ -73,23 +77,20 @@ def _head_sql(kind: str, value: str) -> str:
     return f"'---' || {NL} || 'entity: {kind}' || {NL} || '{kind}: ' || {value} || {NL} || '---' || {NL} || {NL} || '# {title}: ' || {value} || {NL} || {NL}"
 
 
-@query(
-    "render_solution_doc",
-    f"""
+SOLUTION_DOCS_SQL = f"""
 SELECT 'solution/' || lower(solution) || '.md' AS path, {_head_sql('solution', 'solution')} || '**Deals:** ' || count(*) || ' across ' ||
   count(DISTINCT account_name) || ' accounts' || {NL} || {NL} ||
   string_agg('- **' || account_name || '** — ' || deal_name || ' (' || status || ') | Possibility: ' || possibility || '%' ||
              coalesce(' | Sales: ' || person, '') || {NL}, '' ORDER BY deal_id) AS body
-FROM flat WHERE solution IS NOT NULL GROUP BY solution""",
-    flat=FLAT_SQL,
-)
+FROM flat WHERE solution IS NOT NULL GROUP BY solution"""
+
+
+@query("render_solution_doc", SOLUTION_DOCS_SQL, flat=FLAT_SQL)
 def _(r):
     return docs.render_solution_doc(lens_solution(flat_deals(r))).select("path", "body")
 
 
-@query(
-    "render_salesperson_doc",
-    f"""
+PERSON_DOCS_SQL = f"""
 SELECT 'salesperson/' || replace(lower(person), '#', '-') || '.md' AS path, {_head_sql('salesperson', 'person')} || '**Accounts:** ' || accounts ||
   ' | **Deals:** ' || deals || {NL} || {NL} || '## Deals' || {NL} || lines || {NL} || {_section_sql('Recent Activities', 'n', 't')} AS body
 FROM (SELECT person, count(*) AS deals, count(DISTINCT account_name) AS accounts,
@@ -98,25 +99,25 @@ FROM (SELECT person, count(*) AS deals, count(DISTINCT account_name) AS accounts
       FROM flat WHERE person IS NOT NULL GROUP BY 1)
 LEFT JOIN (SELECT person, count(*) AS n, string_agg({ACTIVITY_LINE}, '' ORDER BY rn) AS t FROM (
         SELECT *, row_number() OVER (PARTITION BY person ORDER BY activity_date DESC, activity_id) AS rn
-        FROM account_activity JOIN (SELECT deal_id, person FROM flat WHERE person IS NOT NULL) USING (deal_id)) WHERE rn <= 50 GROUP BY 1) USING (person)""",
-    flat=FLAT_SQL,
-    account_activity=ACTIVITIES_SQL,
-)
+        FROM account_activity JOIN (SELECT deal_id, person FROM flat WHERE person IS NOT NULL) USING (deal_id)) WHERE rn <= 50 GROUP BY 1) USING (person)"""
+
+
+@query("render_salesperson_doc", PERSON_DOCS_SQL, flat=FLAT_SQL, account_activity=ACTIVITIES_SQL)
 def _(r):
-    lens = lens_salesperson(flat_deals(r), account_activities(r).drop("account_id"))
+    lens = lens_salesperson(flat_deals(r), account_activities(r).drop("account_id"), recent=50)
     return docs.render_salesperson_doc(lens).select("path", "body")
 
 
-@query(
-    "render_industry_doc",
-    f"""
+INDUSTRY_DOCS_SQL = f"""
 SELECT 'industry/' || lower(industry) || '.md' AS path, {_head_sql('industry', 'industry')} || '**Accounts:** ' || count(*) || {NL} || {NL} ||
   string_agg('- **' || account_name || '** (' || customer_type || ') — ' || city || ', ' || province || ' | Opps: ' || coalesce(n, 0) ||
              coalesce(' | Solutions: ' || solutions, '') || {NL}, '' ORDER BY account_id) AS body
 FROM account LEFT JOIN (
   SELECT account_id, count(*) AS n, string_agg(DISTINCT solution, ', ' ORDER BY solution) AS solutions FROM deal GROUP BY 1) USING (account_id)
-GROUP BY industry""",
-)
+GROUP BY industry"""
+
+
+@query("render_industry_doc", INDUSTRY_DOCS_SQL)
 def _(r):
     return docs.render_industry_doc(lens_industry(r.account, r.deal)).select("path", "body")
 
@@ -135,7 +136,53 @@ UNION ALL SELECT 'salesperson', count(DISTINCT person) FROM deal
 UNION ALL SELECT 'industry', count(DISTINCT industry) FROM account""",
 )
 def _(r):
-    return corpus(r).where("part = 0").groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"))
+    return corpus(r).groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def _hashes_sql(kind: str, source: str) -> str:
+    return f"SELECT '{kind}' AS doc_type, path, substr(sha256(body), 1, 16) AS md_hash FROM {source}"
+
+
+@query(
+    "corpus_documents",
+    "\nUNION ALL ".join(
+        [
+            _hashes_sql("account", "(SELECT 'account/' || account_id || '.md' AS path, body FROM account_doc)"),
+            _hashes_sql("solution", "solution_doc"),
+            _hashes_sql("salesperson", "person_doc"),
+            _hashes_sql("industry", "industry_doc"),
+        ]
+    ),
+    **ACCOUNT,
+    flat=FLAT_SQL,
+    solution_doc=SOLUTION_DOCS_SQL,
+    person_doc=PERSON_DOCS_SQL,
+    industry_doc=INDUSTRY_DOCS_SQL,
+)
+def _(r):
+    """Every document of the whole corpus with the hash of its body."""
+    return corpus(r).select("doc_type", "path", "md_hash")
+
+
+# ---- Account documents with all three levels -------------------------------------------
+
+DEAL_LINES_SQL = f"""
+  SELECT account_id, count(*) AS n, string_agg('- **' || deal_name || '** — ' || status || ' | Possibility: ' || possibility || '%' || {NL} ||
+    '  Est. Close: ' || est_close || ' | SO Plan: ' || plan_amount || coalesce(' | Solution: ' || solution, '') || coalesce(' | Sales: ' || person, '') || {NL} ||
+    coalesce('  Stakeholders: ' || roles || {NL}, '') || CASE WHEN core_status <> 'Open' THEN '  Closed: ' || reason || ' | Date: ' || closed || {NL} ELSE '' END, '' ORDER BY deal_id) AS t
+  FROM deal LEFT JOIN (SELECT l_orderkey AS deal_id, string_agg(l_returnflag, ', ' ORDER BY l_suppkey, l_returnflag) AS roles FROM lineitem GROUP BY 1) USING (deal_id)
+  JOIN (SELECT deal_id, status AS core_status, priority AS reason, est_close AS closed FROM deal_core) USING (deal_id) GROUP BY 1"""
+
+
+@query(
+    "render_account_record",
+    "SELECT 'account/' || account_id || '.md' AS path, body, substr(sha256(body), 1, 16) AS md_hash FROM account_doc",
+    account_doc=re.sub(r"\(SELECT account_id, count\(\*\) AS n, string_agg\('- \*\*' \|\| deal_name.*?FROM deal GROUP BY 1\)", lambda _: f"({DEAL_LINES_SQL})", ACCOUNT_DOCS_SQL, flags=re.S),
+    account_activity=ACTIVITIES_SQL,
+)
+def _(r):
+    """Account documents with the stakeholders and the close line of each deal."""
+    return docs.render_account_doc(account_records(r)).select("path", "body", "md_hash")
 
 
 @query(
@@ -150,7 +197,7 @@ def _(r):
     """The whole rebuild against a store that already holds the industry documents."""
     stored = docs.corpus_union(industry=docs.render_industry_doc(lens_industry(r.account, r.deal)))
     outcomes = upsert_outcome(stored, corpus(r), ["doc_type", "path"])
-    return upsert_report(outcomes.where("part = 0"), ["doc_type"])
+    return upsert_report(outcomes, ["doc_type"])
 
 
 SECTION_SQL = f"""

@@ -118,10 +118,21 @@ SELECT o_orderkey, row_index, row_index // 1000 AS page FROM (
   SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders)""",
 )
 def _(r):
-    paged = paged_scan(r.table("orders").select("o_orderkey"), "o_orderkey", page_size=1000, width=4096)
+    paged = paged_scan(r.table("orders").select("o_orderkey"), "o_orderkey", page_size=1000)
     return paged.select("o_orderkey", F.col("row_index").cast("bigint").alias("row_index"), F.col("page").cast("bigint").alias("page"))
 
 
+@query(
+    "paged_scan_text",
+    """
+SELECT c_name, row_index, row_index // 500 AS page FROM (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS row_index FROM customer)""",
+)
+def _(r):
+    """Pages by a text key."""
+    paged = paged_scan(r.table("customer").select("c_name"), "c_name", page_size=500)
+    return paged.select("c_name", F.col("row_index").cast("bigint").alias("row_index"), F.col("page").cast("bigint").alias("page"))
+
+
 @query("one_page", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 1000")
 def _(r):
     return one_page(r.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500, 1000)

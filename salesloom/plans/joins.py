@@ -10,7 +10,7 @@ from salesloom.operators.docs import clean_notes
 from salesloom.operators.finance import employed, month_pieces
 from salesloom.operators.lenses import lens_industry, lens_salesperson, lens_solution
 from salesloom.operators.measures import drill_across
-from salesloom.operators.nest import account_nest, opportunity_enrich
+from salesloom.operators.nest import account_nest, enriched_deals, opportunity_enrich
 from salesloom.operators.rows import derive_account_link, id_filter, resolve_name, resolve_or_id
 from salesloom.plans.registry import query
 from salesloom.plans.shapes import money, sql_money
@@ -37,11 +37,15 @@ def account_activities(r):
     )
 
 
-def nested_accounts(r, **options):
-    deals = r.deal.select(
-        "account_id", "deal_id", "deal_name", "status", "possibility", "est_close", "plan_amount", "solution", "person"
-    )
-    activities = account_activities(r).select("account_id", "activity_id", "deal_id", "activity_date", "subject", "activity_type", "state")
+def deal_fields(deals):
+    return deals.select("account_id", "deal_id", "deal_name", "status", "possibility", "est_close", "plan_amount", "solution", "person")
+
+
+def nested_accounts(r, deals=None, activities=None, **options):
+    """Accounts with their children; a deal's own lists, if any, are behind its fields."""
+    deals = deal_fields(r.deal) if deals is None else deals
+    deals = deals.withColumn("_order", F.col("deal_id"))
+    activities = (account_activities(r) if activities is None else activities).select("account_id", "activity_id", "deal_id", "activity_date", "subject", "activity_type", "state")
     notes = clean_notes(r.note).select("account_id", "note_id", "title", F.lit("").alias("note_date"), "body")
     contacts = r.contact.select("account_id", "contact_id", "contact_name", "job_title")
     return account_nest(r.account, contacts, deals, activities, notes, **options)
@@ -67,7 +71,6 @@ LEFT JOIN (SELECT account_id, count(*) AS n FROM note WHERE trim(body) <> '' GRO
     account_activity=ACTIVITIES_SQL,
 )
 def _(r):
-    """One row per account; blocks of a bigger account would be counted together through ``n_*``."""
     nested = nested_accounts(r)
     counts = [f"n_{n}" for n in ("contacts", "deals", "activities", "notes")]
     ids = F.array_join(F.transform("deals", lambda d: d["deal_id"].cast("string")), ",")
@@ -97,16 +100,60 @@ LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(l_suppkey || ':' || l_re
 LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) v ON v.user_id = o.o_orderkey""",
 )
 def _(r):
+    enriched = opportunity_enrich(r.deal_core, *deal_lists(r))
+    pair = F.transform("connections", lambda c: F.concat(c["stakeholder_id"].cast("string"), F.lit(":"), c["role"]))
+    return enriched.select("deal_id", "n_connections", "n_reviews", "n_close", F.array_join(pair, ",").alias("roles"))
+
+
+def deal_lists(r):
+    """Connections, reviews and close rows of the deals; the newest close row comes first."""
     connections = r.table("lineitem").select(
         F.col("l_orderkey").alias("deal_id"), F.col("l_suppkey").alias("stakeholder_id"), F.col("l_returnflag").alias("role")
     )
     reviews = r.activity.select("deal_id", F.col("activity_id").alias("review_id"), F.col("activity_date").alias("created"))
     closes = r.deal_core.where(F.col("status") != "Open").select(
-        "deal_id", F.col("priority").alias("reason"), F.col("est_close").alias("close_date")
+        "deal_id", F.col("priority").alias("reason"), F.col("est_close").alias("close_date"), (-F.unix_date(F.to_date("est_close"))).alias("_order")
+    )
+    return connections, reviews, closes
+
+
+def account_records(r, **options):
+    """The whole record: accounts with their deals, and these with their connections, reviews and closes."""
+    enriched = opportunity_enrich(deal_fields(r.deal), *deal_lists(r), **options)
+    return nested_accounts(r, enriched_deals(enriched), **options)
+
+
+@query(
+    "account_record",
+    """
+SELECT a.account_id, a.account_name, coalesce(d.n, 0) AS n_deals, coalesce(d.connections, 0) AS n_connections, coalesce(d.reviews, 0) AS n_reviews,
+       coalesce(d.closed, 0) AS n_closed, sha256(coalesce(d.deals, '')) AS deals_sha256
+FROM account a LEFT JOIN (
+  SELECT account_id, count(*) AS n, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS connections, CAST(sum(coalesce(v.n, 0)) AS BIGINT) AS reviews,
+         count(*) FILTER (status <> 'Open') AS closed,
+         string_agg(deal_id || ':' || coalesce(c.roles, '') || ':' || coalesce(v.ids, '') || ':' || CASE WHEN status = 'Open' THEN '' ELSE priority END, ';' ORDER BY deal_id) AS deals
+  FROM deal_core
+  LEFT JOIN (SELECT l_orderkey AS deal_id, count(*) AS n, string_agg(l_suppkey || l_returnflag, ',' ORDER BY l_suppkey, l_returnflag) AS roles FROM lineitem GROUP BY 1) c USING (deal_id)
+  LEFT JOIN (SELECT user_id AS deal_id, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY 1) v USING (deal_id)
+  GROUP BY 1) d USING (account_id)""",
+)
+def _(r):
+    """Three levels in one record per account, told by counts and a digest of all deals with their lists."""
+    records = account_records(r)
+
+    def size(name: str):
+        return F.aggregate("deals", F.lit(0).cast("bigint"), lambda n, d: n + F.size(d[name])).alias(f"n_{name}" if name != "close" else "n_closed")
+
+    def told(d):
+        roles = F.array_join(F.transform(d["connections"], lambda c: F.concat(c["stakeholder_id"].cast("string"), c["role"])), ",")
+        reviews = F.array_join(F.transform(d["reviews"], lambda v: v["review_id"].cast("string")), ",")
+        reason = F.coalesce(F.get(d["close"], F.lit(0))["reason"], F.lit(""))
+        return F.concat_ws(":", d["deal_id"].cast("string"), roles, reviews, reason)
+
+    return records.select(
+        "account_id", F.col("parent.account_name").alias("account_name"), "n_deals", size("connections"), size("reviews"), size("close"),
+        F.sha2(F.array_join(F.transform("deals", told), ";"), 256).alias("deals_sha256"),
     )
-    enriched = opportunity_enrich(r.deal_core, connections, reviews, closes)
-    pair = F.transform("connections", lambda c: F.concat(c["stakeholder_id"].cast("string"), F.lit(":"), c["role"]))
-    return enriched.select("deal_id", "n_connections", "n_reviews", "n_close", F.array_join(pair, ",").alias("roles"))
 
 
 @query(
@@ -351,9 +398,9 @@ LEFT JOIN (
     account_activity=ACTIVITIES_SQL,
 )
 def _(r):
-    lens = lens_salesperson(flat_deals(r), account_activities(r).drop("account_id"))
+    lens = lens_salesperson(flat_deals(r), account_activities(r).drop("account_id"), recent=50)
     acts = F.array_join(F.transform("activities", lambda a: F.concat_ws("/", a["subject"], a["activity_type"])), ";")
-    return lens.where("block = 0").select("person", "deal_count", "account_count", acts.alias("activities"))
+    return lens.select("person", "deal_count", "account_count", acts.alias("activities"))
 
 
 @query(

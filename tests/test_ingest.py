@@ -97,7 +97,7 @@ def test_typed_rows_to_text(spark, rows):
 
 def test_paging(spark, rows):
     df = spark.range(0, 250).withColumnRenamed("id", "k").where("k % 3 != 0")
-    paged = paged_scan(df, "k", page_size=40, width=16)
+    paged = paged_scan(df, "k", page_size=40)
     expected = [k for k in range(250) if k % 3]
     assert rows(paged, "k", "page") == sorted(((k, i // 40) for i, k in enumerate(expected)), key=repr)
     assert [r.k for r in one_page(df, "k", 40, 40).collect()] == expected[40:80]

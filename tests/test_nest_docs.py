@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from salesloom.operators import docs
 from salesloom.operators.lenses import lens_industry, lens_salesperson, lens_solution
-from salesloom.operators.nest import account_nest, opportunity_enrich
+from salesloom.operators.nest import account_nest, enriched_deals, opportunity_enrich
+from salesloom.operators.ordered import numbered
 from salesloom.operators.upsert import merge_rows, upsert_actions, upsert_outcome, upsert_report
 
 ACCOUNT = "account_id string, account_name string, industry string, customer_type string, account_status string, city string, province string"
@@ -59,7 +60,7 @@ def test_enriched_deal_lines(spark):
     closes = spark.createDataFrame([("o1", "too dear", "2026-02-01")], "deal_id string, reason string, close_date string")
     enriched = opportunity_enrich(deals, roles, reviews, closes)
     assert enriched.select("n_connections", "n_reviews", "n_close").first() == (3, 1, 1)
-    nested_deals = enriched.select("parent.account_id", "deal_id", "parent.deal_name", "parent.status", "connections", "close")
+    nested_deals = enriched_deals(enriched)
     accounts, contacts, _, activities, notes = frames(spark)
     body = docs.render_account_doc(account_nest(accounts, contacts, nested_deals, activities, notes)).where("doc_key = 'A1'").first().body
     assert "  Stakeholders: Decision maker, User\n" in body and "  Closed: too dear | Date: 2026-02-01\n" in body
@@ -77,18 +78,46 @@ def hot_frames(spark):
     return accounts, deals, empty
 
 
-def test_hot_account_is_split_and_whole(spark, rows):
+def test_hot_account_is_one_ordered_record(spark, rows):
     accounts, deals, empty = hot_frames(spark)
-    nested = account_nest(accounts, empty, deals, empty, empty, block_size=50).cache()
     kept = deals.join(accounts, "account_id", "left_semi")
-    assert rows(nested.select("account_id", F.explode("deals.deal_id"))) == rows(kept.select("account_id", "deal_id"))
-    hot = nested.where("account_id = 0")
-    assert hot.count() > 3 and hot.agg(F.max(F.size("deals"))).first()[0] < 120
-    assert {r.n_deals for r in hot.collect()} == {320}  # every block knows the whole count
-    assert nested.where("account_id = 1").select("block", "blocks").first() == (0, 1)
-    parts = docs.render_account_doc(nested).where("doc_key = '0'").collect()
-    lines = [line for p in parts for line in p.body.splitlines() if line.startswith("- **Deal")]
-    assert len(lines) == len(set(lines)) == 320 and {p.path for p in parts} >= {"account/0.md", "account/0.1.md"}
+    want = rows(account_nest(accounts, empty, deals, empty, empty))
+    for size in (1, 3, 50):
+        nested = account_nest(accounts, empty, deals, empty, empty, block_size=size)
+        assert rows(nested) == want
+        assert rows(nested.select("account_id", F.explode("deals.deal_id"))) == rows(kept.select("account_id", "deal_id"))
+    hot = nested.where("account_id = 0").first()
+    assert hot.n_deals == 320 and [d.deal_id for d in hot.deals] == sorted(d.deal_id for d in hot.deals)
+    lines = [x for x in docs.render_account_doc(nested).where("path = 'account/0.md'").first().body.splitlines() if x.startswith("- **Deal")]
+    assert len(lines) == len(set(lines)) == 320
+
+
+def test_three_levels_at_any_block_size(spark):
+    accounts, contacts, deals, activities, notes = frames(spark)
+    roles = spark.createDataFrame([("o1", f"s{i}", f"role {i}") for i in range(9)], "deal_id string, stakeholder_id string, role string")
+    reviews = spark.createDataFrame([("o1", "r1"), ("o1", "r2")], "deal_id string, review_id string")
+    closes = spark.createDataFrame([("o1", "a later reason", "2026-02-01", 2), ("o1", "the first row", "2026-03-01", 1)], "deal_id string, reason string, close_date string, _order int")
+    bodies = set()
+    for size in (1, 3, 10_000):
+        enriched = enriched_deals(opportunity_enrich(deals, roles, reviews, closes, block_size=size))
+        body = docs.render_account_doc(account_nest(accounts, contacts, enriched, activities, notes, block_size=size)).where("doc_key = 'A1'").first().body
+        bodies.add(body)
+    assert len(bodies) == 1
+    assert "  Stakeholders: " + ", ".join(f"role {i}" for i in range(9)) + "\n" in body
+    assert "  Closed: the first row | Date: 2026-03-01\n" in body
+    assert "  Description: first & best\n" in body  # mark-up is removed, entities decoded
+
+
+def test_number_along_any_order(spark):
+    keys = [None, "", "a", "ab", "b", "é", "z"]
+    df = spark.createDataFrame([(i % 3, f"{keys[i % 7]}{i}" if keys[i % 7] is not None else None, i) for i in range(500)], "g int, k string, i int").repartition(7)
+    got = {r.i: r.row_index for r in numbered(df, ["g"], ["k", "i"]).collect()}
+    for g in range(3):
+        own = sorted(((r.k is not None, (r.k or "").encode(), r.i) for r in df.where(f"g = {g}").collect()))
+        assert [got[i] for *_, i in own] == list(range(len(own)))
+    plan = numbered(df, [], ["k", "i"])._jdf.queryExecution().toString()
+    assert "Window" not in plan
+    assert sorted(r.row_index for r in numbered(df, [], ["k", "i"]).collect()) == list(range(500))
 
 
 def test_duplicate_account_rows_give_duplicate_records(spark):
@@ -114,10 +143,12 @@ def test_solution_lens(spark, rows):
 
 def test_salesperson_lens_counts_blank_account_and_keeps_newest(spark):
     acts = spark.createDataFrame([(i, "o1", "2026-01-01" if i < 30 else "2026-01-02", f"s{i}", "Task", "Open") for i in range(51)], "activity_id int, deal_id string, activity_date string, subject string, activity_type string, state string")
-    lens = {r.person: r for r in lens_salesperson(flat(spark), acts).collect()}
+    lens = {r.person: r for r in lens_salesperson(flat(spark), acts, recent=50).collect()}
     assert lens["Kim"].account_count == 2 and lens["Lee"].activities == []
     shown = [a.subject for a in lens["Kim"].activities]
     assert len(shown) == 50 and shown[0] == "s30" and shown[21] == "s0" and "s29" not in shown
+    whole = {r.person: r for r in lens_salesperson(flat(spark), acts, block_size=4).collect()}
+    assert [a.subject for a in whole["Kim"].activities] == [f"s{i}" for i in (*range(30, 51), *range(30))]
     body = docs.render_salesperson_doc(lens_salesperson(flat(spark), acts)).where("path = 'salesperson/lee.md'").first().body
     assert "_(none)_" in body
 
