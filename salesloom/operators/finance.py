@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.values import blank_to_null, ratio
 from salesloom.operators.measures import _blank_sum, drill_across
+from salesloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -170,80 +171,80 @@ def best_month(pl: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def month_pieces(df: DataFrame, start: str, finish: str, low: dt.date, high: dt.date) -> DataFrame:
-    """Spans cut at month ends: one row per touched month with ``month`` and ``active_days``.
+def span_bounds(df: DataFrame, start: str, finish: str) -> tuple[dt.date | None, dt.date | None]:
+    """The first and the last day that any span of a table names: where open ends reach to."""
+    row = df.agg(F.min(F.least(start, finish)).alias("low"), F.max(F.greatest(start, finish)).alias("high")).first()
+    return row.low, row.high
 
-    Open ends reach to ``low`` / ``high`` and spans are clipped there, so a span gives at most
-    one row per calendar month; reversed spans give none. The equi-join on the month that
-    follows replaces a range join.
-    """
-    first = F.greatest(F.coalesce(F.col(start), F.lit(low)), F.lit(low))
-    last = F.least(F.coalesce(F.col(finish), F.lit(high)), F.lit(high))
-    months = F.sequence(F.trunc("_first", "month"), F.trunc("_last", "month"), F.expr("interval 1 month"))
-    return (
-        df.withColumn("_first", first)
-        .withColumn("_last", last)
-        .where(F.col("_first") <= F.col("_last"))
-        .withColumn("month", F.explode(months))
-        .withColumn(
-            "active_days",
-            F.datediff(F.least("_last", F.last_day("month")), F.greatest("_first", "month")) + 1,
-        )
-        .drop("_first", "_last")
-    )
 
+def span_months(
+    df: DataFrame, keys: Sequence[str], start: str, finish: str, weight: Column | None = None, low: dt.date | None = None, high: dt.date | None = None
+) -> DataFrame:
+    """Per key and month that a span touches: ``month``, ``spans``, and ``days``, the sum of weight x active days.
 
-def percent_days(allocation: DataFrame, low: dt.date, high: dt.date) -> DataFrame:
-    """Σ percent x active days per person, type and month, without a row per span and month.
-
-    A span adds its full months as two deltas (+percent at its second month, -percent at its
-    last one) and its two ragged months as they are; a running sum over the months with an
-    event then fills the months between. Rows grow with spans, not with spans x months.
+    A sweep: a span is two events, where it begins and where it ends, however long it is. An event has
+    the days of its own month; the months between are counted by a running sum over the months with an event. So rows grow
+    with spans, not with spans x months. Open ends reach to the bounds of the whole table, or to
+    ``low`` and ``high``, where all spans are clipped if they are given; reversed spans give none.
     """
-    first = F.greatest(F.coalesce("start_date", F.lit(low)), F.lit(low))
-    last = F.least(F.coalesce("finish_date", F.lit(high)), F.lit(high))
-    start_month, last_month = F.trunc("_first", "month"), F.trunc("_last", "month")
-    pct = F.col("assign_percent").cast("bigint")
-    same = start_month == last_month
-
-    def event(month: Column, ragged: Column, delta: Column) -> Column:
-        return F.struct(month.alias("month"), ragged.alias("ragged"), delta.alias("delta"))
+    weight = F.lit(1) if weight is None else weight
+    rows = df.select(*keys, F.col(start).alias("_s"), F.col(finish).alias("_f"), weight.cast("bigint").alias("_w"))
+    clipped = low is not None and high is not None
+    if not clipped:
+        rows = materialize(rows, "spans")
+        low, high = span_bounds(rows, "_s", "_f")
+    first, last = F.coalesce("_s", F.lit(low).cast("date")), F.coalesce("_f", F.lit(high).cast("date"))
+    rows = rows.withColumn("_s", first).withColumn("_f", last).where("_s <= _f")
+    if clipped:
+        rows = rows.withColumn("_s", F.greatest("_s", F.lit(low))).withColumn("_f", F.least("_f", F.lit(high))).where("_s <= _f")
+
+    def event(day: str, days: Column, opens: Column, closes: Column, begun: int) -> Column:
+        n = F.lit(begun).cast("bigint")
+        return F.struct(F.trunc(day, "month").alias("month"), (F.col("_w") * days).alias("days"), opens.alias("opens"), closes.alias("closes"), n.alias("begun"), (1 - n).alias("ended"))
 
     zero = F.lit(0).cast("bigint")
-    events = F.filter(
-        F.array(
-            F.when(same, event(start_month, pct * (F.datediff("_last", "_first") + 1), zero)),
-            F.when(~same, event(start_month, pct * (F.datediff(F.last_day("_first"), F.col("_first")) + 1), zero)),
-            F.when(~same, event(F.trunc(F.add_months(start_month, 1), "month"), zero, pct)),
-            F.when(~same, event(last_month, pct * F.day("_last"), -pct)),
-        ),
-        lambda e: e.isNotNull(),
-    )
-    per_month = (
-        allocation.where(F.coalesce("start_date", F.lit(low)) <= F.coalesce("finish_date", F.lit(high)))
-        .withColumn("_first", first)
-        .withColumn("_last", last)
-        .where(F.col("_first") <= F.col("_last"))
-        .select("person_id", "allocate_type", F.explode(events).alias("_e"))
-        .groupBy("person_id", "allocate_type", "_e.month")
-        .agg(F.sum("_e.ragged").alias("ragged"), F.sum("_e.delta").alias("delta"))
-    )
-    order = Window.partitionBy("person_id", "allocate_type").orderBy("month")  # at most a calendar
-    filled = per_month.select(
-        "person_id",
-        "allocate_type",
+    within = F.trunc("_s", "month") == F.trunc("_f", "month")
+    begin = event("_s", F.when(within, F.datediff("_f", "_s") + 1).otherwise(F.datediff(F.last_day("_s"), F.col("_s")) + 1), F.when(within, zero).otherwise(F.col("_w")), zero, 1)
+    end = event("_f", F.when(within, F.lit(0)).otherwise(F.day("_f")), zero, F.when(within, zero).otherwise(F.col("_w")), 0)
+    sums = [F.sum(f"_e.{c}").alias(c) for c in ("days", "opens", "closes", "begun", "ended")]
+    per_month = rows.select(*keys, F.explode(F.array(begin, end)).alias("_e")).groupBy(*keys, "_e.month").agg(*sums)
+
+    order = Window.partitionBy(*keys).orderBy("month")  # at most a calendar
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+
+    def so_far(name: str, window) -> Column:
+        return F.coalesce(F.sum(name).over(window), zero)
+
+    swept = per_month.select(
+        *keys,
         F.col("month").alias("_from"),
-        "ragged",
-        F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_open"),
-        F.coalesce(F.add_months(F.lead("month").over(order), -1), F.col("month")).alias("_to"),
-    ).withColumn("month", F.explode(F.sequence("_from", "_to", F.expr("interval 1 month"))))
-    here = F.when(F.col("month") == F.col("_from"), F.col("ragged")).otherwise(0)
+        "days",
+        (so_far("opens", before) - so_far("closes", upto)).alias("_full_here"),  # weights of spans that cover the whole month
+        (so_far("opens", upto) - so_far("closes", upto)).alias("_full_after"),
+        (so_far("begun", upto) - so_far("ended", before)).alias("_spans_here"),
+        (so_far("begun", upto) - so_far("ended", upto)).alias("_spans_after"),
+        F.lead("month").over(order).alias("_next"),
+    )
+    gap = F.when(F.col("_spans_after") > 0, F.add_months("_next", -1))  # nothing is open behind the last event
+    months = F.sequence("_from", F.coalesce(gap, F.col("_from")), F.expr("interval 1 month"))
+    filled = swept.withColumn("month", F.explode(months))
+    here = F.col("month") == F.col("_from")
+    length = F.day(F.last_day("month"))
     return filled.select(
-        "person_id", "allocate_type", "month", (here + F.col("_open") * F.day(F.last_day("month"))).alias("percent_days")
-    ).where(F.col("percent_days") != 0)
+        *keys,
+        "month",
+        F.when(here, F.col("_spans_here")).otherwise(F.col("_spans_after")).alias("spans"),
+        F.when(here, F.col("days") + F.col("_full_here") * length).otherwise(F.col("_full_after") * length).alias("days"),
+    )
+
+
+def percent_days(allocation: DataFrame, low: dt.date | None = None, high: dt.date | None = None) -> DataFrame:
+    """Σ percent x active days per person, type and month, where it is not 0."""
+    swept = span_months(allocation, ["person_id", "allocate_type"], "start_date", "finish_date", F.col("assign_percent"), low, high)
+    return swept.where("days <> 0").select("person_id", "allocate_type", "month", F.col("days").alias("percent_days"))
 
 
-def man_cost_with_idle(cost: DataFrame, allocation: DataFrame, low: dt.date, high: dt.date) -> DataFrame:
+def man_cost_with_idle(cost: DataFrame, allocation: DataFrame, low: dt.date | None = None, high: dt.date | None = None) -> DataFrame:
     """Man cost by allocation type, the unallocated rest as ``Idle``, and the full cost as total.
 
     Cost and shares meet per person and month, both aggregated. Only positive shares count;

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -232,8 +230,6 @@ def _(r):
     return rows.select("year", "short_month", money("profit", "profit"), fin.millions(whole_year).alias("full_year"))
 
 
-SPAN = (dt.date(1995, 1, 1), dt.date(2001, 12, 31))
-
 IDLE = {
     "monthly": """
   SELECT person_id, CAST(date_trunc('month', day) AS DATE) AS month, CAST(sum(cost) AS DOUBLE) AS cost
@@ -259,7 +255,7 @@ SELECT allocate_type, round(sum(v), 2) AS man_cost FROM (
     **IDLE,
 )
 def _(r):
-    rows = fin.man_cost_with_idle(r.employee_cost, r.allocation, *SPAN)
+    rows = fin.man_cost_with_idle(r.employee_cost, r.allocation)
     return rows.select("allocate_type", F.round("man_cost", 2).alias("man_cost"))
 
 
@@ -269,7 +265,7 @@ def _(r):
     **IDLE,
 )
 def _(r):
-    rows = fin.percent_days(r.allocation, *SPAN)
+    rows = fin.percent_days(r.allocation)
     share = F.col("percent_days") / (100 * F.day(F.last_day("month")))
     return rows.select("person_id", "allocate_type", "month", F.round(share, 6).alias("share"))
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from salesloom.operators.docs import clean_notes
-from salesloom.operators.finance import employed, month_pieces
+from salesloom.operators.finance import employed, span_months
 from salesloom.operators.lenses import lens_industry, lens_salesperson, lens_solution
 from salesloom.operators.measures import drill_across
 from salesloom.operators.nest import account_nest, enriched_deals, opportunity_enrich
@@ -248,10 +246,33 @@ SELECT person_id, month, count(*) AS spans, CAST(sum(active_days) AS BIGINT) AS
 ) GROUP BY 1, 2""",
 )
 def _(r):
-    pieces = month_pieces(r.allocation, "start_date", "finish_date", dt.date(1990, 1, 1), dt.date(2010, 12, 31))
-    return pieces.groupBy("person_id", "month").agg(
-        F.count(F.lit(1)).alias("spans"), F.sum("active_days").cast("bigint").alias("active_days")
-    )
+    swept = span_months(r.allocation, ["person_id"], "start_date", "finish_date")
+    return swept.select("person_id", "month", "spans", F.col("days").alias("active_days"))
+
+
+@query(
+    "open_spans",
+    """
+SELECT person_id, month, count(*) AS spans, CAST(sum(active_days) AS BIGINT) AS active_days FROM (
+  SELECT person_id, CAST(m AS DATE) AS month,
+         date_diff('day', greatest(first_day, CAST(m AS DATE)), least(last_day_, last_day(CAST(m AS DATE)))) + 1 AS active_days
+  FROM (SELECT *, unnest(generate_series(date_trunc('month', first_day)::TIMESTAMP, last_day_::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM (
+    SELECT person_id, coalesce(start_date, (SELECT least(min(start_date), min(finish_date)) FROM opened)) AS first_day,
+           coalesce(finish_date, (SELECT greatest(max(start_date), max(finish_date)) FROM opened)) AS last_day_
+    FROM opened) WHERE first_day <= last_day_)
+) GROUP BY 1, 2""",
+    opened="""
+  SELECT person_id, CASE WHEN assign_percent = 3 THEN NULL WHEN assign_percent = 4 THEN start_date - INTERVAL 9000 DAY ELSE start_date END::DATE AS start_date,
+         CASE WHEN assign_percent IN (3, 5) THEN NULL ELSE finish_date END AS finish_date FROM allocation WHERE allocate_type LIKE 'STANDARD%'""",
+)
+def _(r):
+    """Spans with open ends, and long ones from before 1990: months follow the data, not a calendar."""
+    rows = r.allocation.where(F.col("allocate_type").startswith("STANDARD"))
+    percent = F.col("assign_percent")
+    start = F.when(percent == 4, F.date_sub("start_date", 9000)).when(percent != 3, F.col("start_date"))
+    opened = rows.withColumn("start_date", start).withColumn("finish_date", F.when(~percent.isin(3, 5), F.col("finish_date")))
+    swept = span_months(opened, ["person_id"], "start_date", "finish_date")
+    return swept.select("person_id", "month", "spans", F.col("days").alias("active_days"))
 
 
 @query(

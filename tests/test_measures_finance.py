@@ -111,13 +111,19 @@ def test_cost_until_the_quit_date(spark, rows):
     assert rows(fin.man_cost(cost)) == [("X", 7.0)]
 
 
-def test_month_pieces_open_ends_and_reversed(spark, rows):
+def test_open_ends_and_reversed_spans(spark, rows):
     d = dt.date
     spans = spark.createDataFrame(
         [("a", d(2026, 1, 30), d(2026, 3, 1)), ("b", None, d(2026, 1, 5)), ("c", d(2026, 3, 30), None), ("d", d(2026, 2, 2), d(2026, 2, 1))],
         "k string, s date, f date")
-    got = rows(fin.month_pieces(spans, "s", "f", d(2026, 1, 1), d(2026, 3, 31)), "k", "month", "active_days")
-    assert got == [("a", d(2026, 1, 1), 2), ("a", d(2026, 2, 1), 28), ("a", d(2026, 3, 1), 1), ("b", d(2026, 1, 1), 5), ("c", d(2026, 3, 1), 2)]
+    want = [("a", d(2026, 1, 1), 2), ("a", d(2026, 2, 1), 28), ("a", d(2026, 3, 1), 1), ("b", d(2026, 1, 1), 5), ("c", d(2026, 3, 1), 2)]
+    assert rows(fin.span_months(spans, ["k"], "s", "f", None, d(2026, 1, 1), d(2026, 3, 31)), "k", "month", "days") == want
+    far = spark.createDataFrame([("a", d(1971, 5, 20), d(1971, 7, 2)), ("a", d(1971, 6, 1), None), ("b", None, d(1971, 5, 30)), ("c", d(2031, 1, 1), d(2031, 1, 1))], "k string, s date, f date")
+    got = {(r.k, r.month): (r.spans, r.days) for r in fin.span_months(far, ["k"], "s", "f").collect()}
+    assert got["a", d(1971, 5, 1)] == (1, 12) and got["a", d(1971, 6, 1)] == (2, 60) and got["a", d(1971, 7, 1)] == (2, 33)
+    assert got["a", d(2031, 1, 1)] == (1, 1) and got["a", d(2000, 2, 1)] == (1, 29) and len(got) == 717 + 1 + 1
+    assert got["b", d(1971, 5, 1)] == (1, 11)
+    assert fin.span_months(far.limit(0), ["k"], "s", "f").count() == 0
 
 
 def test_percent_days_equals_day_by_day(spark):
