@@ -28,6 +28,7 @@ from salesloom.sources.files import (
     scan_header_csv,
     scan_infer_csv,
     scan_manifest_csv,
+    scan_report,
     strip_brackets,
     write_table_overwrite,
 )
@@ -321,6 +322,73 @@ def _(r):
     return scan_manifest_csv(r.spark, root, "Fact_Activity", ["activity_id", "activity_type", "state"])
 
 
+def _raw_part(r, root: str, folder: str, lines) -> None:
+    """Lines as one part file, as they are."""
+    lines.coalesce(1).write.option("sep", "\u0001").option("quote", "").csv(f"{root}/{folder}")
+
+
+def _account_lines(r):
+    cells = [F.col(c).cast("string") for c in ACCOUNT_COLUMNS]
+    return r.account.select("account_id", F.concat_ws(",", *cells).alias("line"))
+
+
+def _damaged_parts(r) -> str:
+    """Three parts of one entity: one whole, one that ends inside its last row, one of a header alone."""
+    root, header = shared_dir(r.spark, "parts"), ",".join(ACCOUNT_COLUMNS)
+    lines = _account_lines(r)
+    last = lines.agg(F.max("account_id").alias("last")).scalar()
+    cut = F.when(F.col("account_id") == last, F.substring_index("line", ",", 2)).otherwise(F.col("line"))
+    for folder, line in (("whole", F.col("line")), ("cut", cut)):
+        rows = lines.select(F.lit(1).alias("o"), "account_id", line.alias("line"))
+        top = r.spark.range(1).select(F.lit(0).alias("o"), F.lit(0).cast("long").alias("account_id"), F.lit(header).alias("line"))
+        _raw_part(r, root, f"Dim_Account/{folder}", rows.unionByName(top).repartition(1).sortWithinPartitions("o", "account_id").select("line"))
+    _raw_part(r, root, "Dim_Account/bare", r.spark.range(1).select(F.lit(header).alias("line")))
+    return root
+
+
+@query(
+    "scan_damaged_parts",
+    """
+SELECT CAST(account_id AS VARCHAR) AS account_id, account_name, industry, city, province FROM account
+UNION ALL SELECT CAST(account_id AS VARCHAR), account_name, CASE WHEN l THEN '' ELSE industry END, CASE WHEN l THEN '' ELSE city END, CASE WHEN l THEN '' ELSE province END
+FROM (SELECT *, account_id = max(account_id) OVER () AS l FROM account)""",
+)
+def _(r):
+    """All rows of a whole and of a cut-off part; the cut row as far as it goes."""
+    return scan_header_csv(r.spark, _damaged_parts(r), "Dim_Account", ACCOUNT_COLUMNS)
+
+
+@query(
+    "scan_report",
+    """
+SELECT 'whole' AS folder, count(*) AS rows, CAST(0 AS BIGINT) AS malformed, 'OK' AS outcome FROM account
+UNION ALL SELECT 'cut', count(*), CAST(1 AS BIGINT), 'MALFORMED' FROM account
+UNION ALL SELECT 'bare', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'ZERO_ROWS'""",
+)
+def _(r):
+    report = scan_report(r.spark, _damaged_parts(r), "Dim_Account")
+    return report.select(F.regexp_extract("path", "/Dim_Account/([^/]+)/", 1).alias("folder"), "rows", "malformed", "outcome")
+
+
+@query("scan_swapped_headers", ACCOUNT_TEXT_SQL)
+def _(r):
+    """Parts whose headers differ in order and in the columns they have; cells go by name."""
+    root = shared_dir(r.spark, "parts")
+    for n, columns in enumerate((ACCOUNT_COLUMNS, ACCOUNT_COLUMNS[::-1], [*ACCOUNT_COLUMNS[2:], *ACCOUNT_COLUMNS[:2]])):
+        r.account.where(F.col("account_id") % 3 == n).select(*columns).write.option("header", True).csv(f"{root}/Dim_Account/{n}")
+    return scan_header_csv(r.spark, root, "Dim_Account", ACCOUNT_COLUMNS)
+
+
+@query("infer_outcomes", "SELECT 'Dim_Bare' AS entity, 'ZERO_ROWS' AS outcome UNION ALL SELECT 'Dim_Deal', count(*)::VARCHAR FROM orders UNION ALL SELECT 'Dim_None', 'READ_FAIL: no parts below Dim_None'")
+def _(r):
+    """What an ingest says of an entity with rows, of one with a header alone and of one that is not there."""
+    deals = r.table("orders").select(F.col("o_orderkey").alias("deal id"), "o_totalprice")
+    root = _export(r, "Dim_Deal", deals, header=True)
+    _raw_part(r, root, "Dim_Bare", r.spark.range(1).select(F.lit("a,b").alias("line")))
+    outcomes = [(e, scan_infer_csv(r.spark, root, e)[1]) for e in ("Dim_Bare", "Dim_Deal", "Dim_None")]
+    return r.spark.createDataFrame(outcomes, "entity string, outcome string")
+
+
 @query("sanitize_name", 'SELECT c_custkey AS "Account_ID", c_acctbal AS "Balance__THB_" FROM customer')
 def _(r):
     named = r.table("customer").select(F.col("c_custkey").alias("Account ID"), F.col("c_acctbal").alias("Balance (THB)"))

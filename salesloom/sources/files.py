@@ -6,6 +6,7 @@ Layout: ``<root>/<Entity>/**/part-*.csv`` for live parts and
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from collections.abc import Mapping, Sequence
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
-from salesloom.operators.rows import latest_snapshot
+from salesloom.session import materialize
 
 PART_FILE = r"/part-[^/]*\.csv(@snapshot=[^/]+)?$"
 PART_ID = r"/part-([^@/]+)\.csv"
 SNAPSHOT_ID = r"@snapshot=([^/]+)"
+MALFORMED = "_malformed"
 
 
 def manifest_columns(spark: SparkSession, path: str) -> dict[str, list[str]]:
@@ -103,49 +105,155 @@ def scan_manifest_csv(
     return rows if lineage else rows.select(*columns)
 
 
-def scan_header_csv(spark: SparkSession, root: str, entity: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parts with a header row; the header gives the names unless ``columns`` selects and orders them."""
+def _text(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
+    """All files below a folder; what cannot be read is left out here and shows in the report."""
+    reader = spark.read.format(fmt).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    return reader.options(**options).load(path)
+
+
+def part_headers(spark: SparkSession, root: str, entity: str, missing_ok: bool = True) -> DataFrame:
+    """``path, length, part, snapshot, header``: every part with its first line, which a part that cannot be read lacks.
+
+    The listing comes from the file index, which leaves out files without a byte; the lines from one narrow scan that
+    keeps a line a file. A header is one line.
+    """
     path = f"{root.rstrip('/')}/{entity}"
+    name = F.col("_metadata.file_path")
     try:
-        raw = (
-            spark.read.option("header", True)
-            .option("recursiveFileLookup", True)
-            .option("inferSchema", False)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .csv(path)
-        )
+        listed = _text(spark, path, "binaryFile").select(name.alias("path"), "length").where(F.col("path").rlike(PART_FILE))
+        lines = _text(spark, path, "text").where(F.col("_metadata.file_block_start") == 0)
     except AnalysisException as error:
-        if _missing(error):
-            return _empty(spark, columns or [], False)
+        if missing_ok and _missing(error):
+            return spark.createDataFrame([], "path string, length long, part string, snapshot string, header string")
         raise
-    names = raw.columns
-    rows = with_lineage(raw).where(F.col("_path").rlike(PART_FILE)).select(*[F.col(f"`{n}`") for n in names]).na.fill("")
-    return missing_columns(rows, columns) if columns else rows
+    numbered = lines.select(name.alias("path"), "value", F.monotonically_increasing_id().alias("_row")).where(F.col("path").rlike(PART_FILE))
+    first = numbered.groupBy("path").agg(F.min_by("value", "_row").alias("header"))
+    ids = [F.regexp_extract("path", PART_ID, 1).alias("part"), F.regexp_extract("path", SNAPSHOT_ID, 1).alias("snapshot")]
+    return listed.join(first, "path", "left").select("path", "length", *ids, "header")
+
+
+def header_names(line: str) -> list[str]:
+    """The cells of a header line; empty and repeated ones are named by their place."""
+    names: list[str] = []
+    for i, cell in enumerate(next(csv.reader([line.removeprefix("\ufeff")]), [])):
+        names.append(cell if cell and cell.lower() not in {n.lower() for n in names} else f"{cell}_{i}")
+    return names
+
+
+def _by_header(spark: SparkSession, root: str, entity: str, parts: list) -> list[tuple[DataFrame, list[str]]]:
+    """The rows of the parts, a frame per distinct header, with ``_path`` and ``_malformed``; parts of one header are read together."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for part in sorted(parts, key=lambda p: p.path):
+        groups.setdefault(tuple(header_names(part.header)), []).append(part.path)
+    frames = []
+    for names, paths in groups.items():
+        schema = text_schema([*names, MALFORMED])
+        options = {"header": True, "enforceSchema": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+        raw = spark.read.schema(schema).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).options(**options).csv(f"{root.rstrip('/')}/{entity}")
+        raw = with_lineage(raw).where(F.col("_metadata.file_path").isin(paths))
+        frames.append((raw.withColumn(MALFORMED, F.col(f"`{MALFORMED}`").isNotNull()), list(names)))
+    return frames
+
+
+def _aligned(frames: list[tuple[DataFrame, list[str]]]) -> tuple[DataFrame, list[str]]:
+    """One frame with the columns of all headers by name, missing cells ``""``; and the names, in the order in which they are met."""
+    names: dict[str, str] = {}
+    whole = None
+    for frame, own in frames:
+        for n in own:
+            names.setdefault(n.lower(), n)
+        whole = frame if whole is None else whole.unionByName(frame, allowMissingColumns=True)
+    return whole.na.fill("", list(names.values())), list(names.values())
+
+
+def scan_header_csv(spark: SparkSession, root: str, entity: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Parts with a header row, each by its own header; ``columns`` selects and orders, else all names in the order in which they are met.
+
+    Rows with too few or too many cells are read as far as they go; ``scan_report`` counts them.
+    """
+    parts = [p for p in part_headers(spark, root, entity).collect() if p.header]  # a short row a file
+    if not parts:
+        return _empty(spark, columns or [], False)
+    rows, names = _aligned(_by_header(spark, root, entity, parts))
+    return missing_columns(rows, columns) if columns else rows.select(*[F.col(f"`{n}`") for n in names])
+
+
+def scan_report(spark: SparkSession, root: str, entity: str) -> DataFrame:
+    """``path, part, snapshot, rows, malformed, outcome`` of every part with a header row.
+
+    ``OK``; ``MALFORMED`` where rows have more or fewer cells than the header, as in a part that was cut
+    off; ``ZERO_ROWS``; ``EMPTY`` where even the header line is empty; ``READ_FAIL`` where no line can be read.
+    """
+    headers = materialize(part_headers(spark, root, entity), "headers")
+    parts = headers.where("header <> ''").collect()
+    counted = spark.createDataFrame([], "path string, rows long, malformed long")
+    if parts:
+        rows, names = _aligned(_by_header(spark, root, entity, parts))
+        # a cell is looked at, as Spark refuses to read a file for its malformed rows alone
+        counted = rows.groupBy(F.col("_path").alias("path")).agg(F.count_if(F.length(F.col(f"`{names[0]}`")) >= 0).alias("rows"), F.count_if(MALFORMED).alias("malformed"))
+    outcome = (
+        F.when(F.col("header").isNull(), "READ_FAIL").when(F.col("header") == "", "EMPTY")
+        .when(F.col("rows").isNull(), "ZERO_ROWS").when(F.col("malformed") > 0, "MALFORMED").otherwise("OK")
+    )
+    zero = F.lit(0).cast("long")
+    return headers.join(counted, "path", "left").select(
+        "path", "part", "snapshot", F.coalesce("rows", zero).alias("rows"), F.coalesce("malformed", zero).alias("malformed"), outcome.alias("outcome")
+    )
+
+
+#: The types that text may be read as, the first that fits all cells (dates before times, as a date is
+#: a time as well), and what a cell must look like before a cast is tried, as failing casts are dear.
+INFERRED = {
+    "int": r"^[+-]?\d{1,10}$",
+    "bigint": r"^[+-]?\d{1,19}$",
+    "double": r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^nan$|^[+-]?inf(inity)?$",
+    "boolean": r"(?i)^(true|false)$",
+    "date": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "timestamp": r"^\d{4}-\d{1,2}-\d{1,2}[ T].+$",
+}
+
+
+def infer_types(rows: DataFrame) -> tuple[dict[str, str], int]:
+    """The type of each text column by all its non-empty cells, and the number of rows: one pass."""
+    checks, names = [F.count(F.lit(1)).alias("_rows")], rows.columns
+    for i, name in enumerate(names):
+        cell = F.nullif(F.trim(F.col(f"`{name}`")), F.lit(""))
+        checks.append(F.count(cell).alias(f"{i}"))
+        for kind, looks in INFERRED.items():
+            fits = cell.rlike(INFERRED["date"]) | cell.rlike(looks) if kind == "timestamp" else cell.rlike(looks)
+            checks.append(F.count(F.when(fits, cell.try_cast(kind))).alias(f"{i}:{kind}"))
+    found = rows.agg(*checks).first()
+    types = {n: next((k for k in INFERRED if found[f"{i}"] and found[f"{i}:{k}"] == found[f"{i}"]), "string") for i, n in enumerate(names)}
+    return types, found["_rows"]
 
 
 def scan_infer_csv(spark: SparkSession, root: str, entity: str) -> tuple[DataFrame | None, str]:
     """Header CSV with inferred types, newest snapshot of each part; the frame and its outcome.
 
-    The outcome is ``READ_FAIL``, ``EMPTY``, ``ZERO_ROWS`` or the row count as text.
+    The rows are read once, as text, and written; types and number come from the written table. The
+    outcome is ``READ_FAIL`` with a reason, ``EMPTY``, ``ZERO_ROWS`` or the row count as text.
     """
     try:
-        raw = (
-            spark.read.option("header", True)
-            .option("inferSchema", True)
-            .option("recursiveFileLookup", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .csv(f"{root.rstrip('/')}/{entity}")
-        )
+        parts = part_headers(spark, root, entity, missing_ok=False).collect()
     except AnalysisException as error:
-        return None, f"READ_FAIL: {str(error)[:80]}"
-    if not raw.columns:
-        return None, "EMPTY"
-    names = [sanitize_name(c) for c in raw.columns]
-    rows = latest_snapshot(with_lineage(raw.toDF(*names)), "_part", "_snapshot").select(*names)
-    count = rows.count()
-    return (rows, str(count)) if count else (None, "ZERO_ROWS")
+        if _missing(error):
+            return None, f"READ_FAIL: no parts below {entity}"
+        raise
+    newest: dict[str, str] = {}
+    for p in parts:
+        newest[p.part] = max(newest.get(p.part, ""), p.snapshot)
+    kept = [p for p in parts if p.snapshot == newest[p.part]]
+    unread = [p.path for p in kept if p.header is None]
+    kept = [p for p in kept if p.header]
+    if not kept:
+        return None, f"READ_FAIL: {', '.join(unread)}" if unread else "EMPTY"
+    rows, names = _aligned(_by_header(spark, root, entity, kept))
+    text = materialize(rows.select(*[F.col(f"`{n}`").alias(sanitize_name(n)) for n in names]), "text")
+    types, count = infer_types(text)
+    if not count:
+        return None, "ZERO_ROWS"
+    cells = [F.nullif(F.col(f"`{n}`"), F.lit("")) for n in text.columns]
+    return text.select(*[c.cast(types[n]).alias(n) for c, n in zip(cells, text.columns)]), str(count)
 
 
 def write_table_overwrite(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None) -> str:

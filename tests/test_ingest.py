@@ -82,6 +82,37 @@ def test_inferred_ingest_reports_every_outcome(spark, rows, tmp_path):
     spark.sql("DROP TABLE dim_good")
 
 
+def test_each_part_by_its_own_header(spark, rows, tmp_path):
+    root = str(tmp_path)
+    put(f"{root}/Dim_T/part-1.csv", 'a,b\n1,2\n"x\ny",4\n')
+    put(f"{root}/Dim_T/sub/part-2.csv", "b,a\n20,10\n")
+    put(f"{root}/Dim_T/part-3.csv", "\ufeffA,c,,a\n100,300,5,6\n")
+    put(f"{root}/Dim_T/part-4.csv", "a,b\n7,8,9\n1\n2,3\n")
+    put(f"{root}/Dim_T/part-5.csv", "\n")
+    put(f"{root}/Dim_T/part-6.csv", "a,b\n")
+    put(f"{root}/Dim_T/notes.csv", "a,b\n9,9\n")
+    assert rows(files.scan_header_csv(spark, root, "Dim_T", ["a", "b", "c", "z"])) == sorted(
+        [("1", "2", "", ""), ("x\ny", "4", "", ""), ("10", "20", "", ""), ("100", "", "300", ""), ("7", "8", "", ""), ("1", "", "", ""), ("2", "3", "", "")]
+    )
+    assert files.scan_header_csv(spark, root, "Dim_T").columns == ["a", "b", "c", "_2", "a_3"]
+    report = {r.part: (r.rows, r.malformed, r.outcome) for r in files.scan_report(spark, root, "Dim_T").collect()}
+    assert report == {"1": (2, 0, "OK"), "2": (1, 0, "OK"), "3": (1, 0, "OK"), "4": (3, 2, "MALFORMED"), "5": (0, 0, "EMPTY"), "6": (0, 0, "ZERO_ROWS")}
+    assert files.scan_report(spark, root, "Dim_None").count() == 0
+    put(f"{root}/Dim_Empty/part-1.csv", "\n")
+    assert files.scan_infer_csv(spark, root, "Dim_Empty") == (None, "EMPTY")
+
+
+def test_inferred_types_follow_all_cells(spark, tmp_path):
+    root = str(tmp_path)
+    put(f"{root}/Dim_T/part-1.csv@snapshot=2", "i,l,d,b,day,t,s,n\n1,1,1,true,2026-01-02,2026-01-02 03:04:05,x,\n")
+    put(f"{root}/Dim_T/part-1.csv@snapshot=1", "i\nan older snapshot\n")
+    put(f"{root}/Dim_T/part-2.csv", "n,s,t,day,b,d,l,i\n,2,2026-01-03,2026-1-3,FALSE,2.5e3,9999999999,\n")
+    rows, outcome = files.scan_infer_csv(spark, root, "Dim_T")
+    assert outcome == "2"
+    assert dict(rows.dtypes) == {"i": "int", "l": "bigint", "d": "double", "b": "boolean", "day": "date", "t": "timestamp", "s": "string", "n": "string"}
+    assert sorted((r.l, r.i, r.s, r.n) for r in rows.collect()) == [(1, 1, "x", None), (9999999999, None, "2", None)]
+
+
 def test_names(spark):
     assert files.sanitize_name("a b,c;d{e}(f)\tg=h") == "a_b_c_d_e__f__g_h"
     assert files.strip_brackets("[Account ID]") == "Account ID"
