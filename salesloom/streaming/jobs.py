@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from salesloom.operators.upsert import changed_only
-from salesloom.session import shared_dir
+from salesloom.session import materialize, shared_dir
 from salesloom.sources.files import text_schema, with_lineage
 
-CHANGES, WHOLE = "changes", "whole"  # folder names of a versioned table
-
 
 def stream_parts(spark: SparkSession, root: str, entity: str, columns: Sequence[str], files_per_batch: int = 1000) -> DataFrame:
     """New part and snapshot files of an entity as they arrive, with their lineage."""
@@ -37,61 +36,32 @@ def run_available(stream: DataFrame, checkpoint: str, each) -> None:
     query.awaitTermination()
 
 
-# ---- Versioned tables ------------------------------------------------------------------
-#
-# A batch writes only the rows it changed, as one more version; reading takes the newest row
-# of each key. Every so many batches a version holds the whole table, so reads stay short.
-# All versions carry the number of their batch: a batch repeated after a failure reads what
-# lay before it and overwrites its own folder, so it gives the same table again.
-
-
-def _versions(spark: SparkSession, path: str, before: int | None) -> list[str]:
-    """Folders to read: the newest whole version and the changes after it."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[int, str] = {}
-    if fs.exists(folder):
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            kind, _, number = name.partition("=")
-            done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-            if kind in (CHANGES, WHOLE) and done and (before is None or int(number) < before):
-                if found.get(int(number), "").startswith(WHOLE):
-                    continue
-                found[int(number)] = name
-    start = max((n for n, name in found.items() if name.startswith(WHOLE)), default=min(found, default=0))
-    return [f"{path}/{found[n]}" for n in sorted(found) if n >= start]
-
-
-def current(
-    spark: SparkSession, path: str, schema: StructType | str, keys: Sequence[str], before: int | None = None
-) -> DataFrame:
-    """The table as of the last complete batch (or the last one ``before`` a batch)."""
-    return _newest(spark, _versions(spark, path, before), schema, keys)
-
-
-def _newest(spark: SparkSession, folders: Sequence[str], schema: StructType | str, keys: Sequence[str]) -> DataFrame:
-    if not folders:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(*folders)
-    if len(folders) == 1:
-        return rows
-    version = F.regexp_extract(F.col("_metadata.file_path"), rf"/(?:{CHANGES}|{WHOLE})=(\d+)/", 1).cast("bigint")
-    newest = rows.select("*", version.alias("_version")).groupBy(*keys).agg(
-        F.max_by(F.struct(*rows.columns), "_version").alias("_row")
-    )
-    return newest.select("_row.*")
+def write_version(table: DataFrame, target: str, batch_id: int) -> None:
+    """The whole table as of a batch, in a folder of its own; a repeated batch replaces it."""
+    table.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+
 
+def current(spark: SparkSession, target: str, schema: StructType | str, before: int | None = None) -> DataFrame:
+    """The newest version of a table (or the newest ``before`` a batch); empty where there is none. Older ones may be deleted."""
+    empty = spark.createDataFrame([], schema)
+    try:
+        rows = spark.read.schema(StructType([*empty.schema, StructField("version", LongType())])).parquet(target)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return empty
+        raise
+    known = rows if before is None else rows.where(F.col("version") < before)
+    newest = known.agg(F.max("version")).first()[0]  # by the folder names
+    return empty if newest is None else rows.where(F.col("version") == newest).drop("version")
 
-def write_changes(changes: DataFrame, path: str, batch_id: int, keys: Sequence[str], whole_every: int = 24) -> None:
-    """Add a batch's changed rows; now and then write the whole table beside them."""
-    spark = changes.sparkSession
-    written = f"{path}/{CHANGES}={batch_id}"
-    changes.write.mode("overwrite").parquet(written)
-    if batch_id % whole_every == whole_every - 1:
-        table = _newest(spark, [*_versions(spark, path, batch_id), written], changes.schema, keys)
-        table.write.mode("overwrite").parquet(f"{path}/{WHOLE}={batch_id}")
+
+def run_complete(result: DataFrame, checkpoint: str, target: str) -> None:
+    """Keep the result of a streaming aggregation up to date; Spark's state holds it, a batch writes it whole."""
+    query: StreamingQuery = (
+        result.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda table, i: write_version(table, target, i)).start()
+    )
+    query.awaitTermination()
 
 
 def stream_ingest(stream: DataFrame, checkpoint: str, target: str) -> None:
@@ -99,11 +69,8 @@ def stream_ingest(stream: DataFrame, checkpoint: str, target: str) -> None:
     run_available(stream, checkpoint, lambda batch, i: batch.write.mode("overwrite").parquet(f"{target}/batch={i}"))
 
 
-def stream_upsert(
-    stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], hash_col: str = "md_hash", whole_every: int = 24,
-    order: Sequence[str] = (),
-) -> None:
-    """Merge each batch of documents or chunks into the table; rows with the stored hash are not written.
+def stream_upsert(stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], hash_col: str = "md_hash", order: Sequence[str] = ()) -> None:
+    """Merge each batch of documents or chunks into the table; a batch without a new hash writes nothing.
 
     Of several rows of a key in one batch the last by ``order`` is taken, or the greatest row.
     """
@@ -112,29 +79,22 @@ def stream_upsert(
         row = F.struct(*batch.columns)
         last = F.max_by(row, F.struct(*order, *batch.columns)).alias("_row")
         once = batch.groupBy(*keys).agg(last).select("_row.*")
-        stored = current(batch.sparkSession, target, batch.schema, keys, batch_id)
-        write_changes(changed_only(stored, once, keys, hash_col), target, batch_id, keys, whole_every)
+        stored = current(batch.sparkSession, target, batch.schema, batch_id)
+        changed = materialize(changed_only(stored, once, keys, hash_col).select(*batch.columns), "changed")
+        if not changed.isEmpty():
+            write_version(stored.join(changed, list(keys), "left_anti").unionByName(changed), target, batch_id)
 
     run_available(stream, checkpoint, each)
 
 
-def stream_latest(
-    stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], order: Sequence[str], whole_every: int = 24
-) -> None:
-    """Keep the newest row per key over all batches; an older snapshot that comes late changes nothing."""
+def newest_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The newest row per key, batch or stream; rows are combined before the shuffle."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        newest = (  # max_by combines before the shuffle
-            batch.groupBy(*keys)
-            .agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_row"))
-            .select("_row.*")
-        )
-        stored = current(batch.sparkSession, target, batch.schema, keys, batch_id)
-        known = stored.select(*keys, F.struct(*order).alias("_stored"))
-        later = newest.join(known, list(keys), "left").where(F.col("_stored").isNull() | (F.struct(*order) > F.col("_stored")))
-        write_changes(later.select(*batch.columns), target, batch_id, keys, whole_every)
 
-    run_available(stream, checkpoint, each)
+def stream_latest(stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Keep the newest row per key over all batches; an older snapshot that comes late changes nothing."""
+    run_complete(newest_rows(stream, keys, order), checkpoint, target)
 
 
 def hourly_counts(events: DataFrame, ts: str, kind: str, value: str) -> DataFrame:
@@ -146,24 +106,9 @@ def hourly_counts(events: DataFrame, ts: str, kind: str, value: str) -> DataFram
     )
 
 
-def stream_hourly_counts(
-    events: DataFrame, ts: str, kind: str, value: str, checkpoint: str, target: str, whole_every: int = 24
-) -> None:
-    """Keep the hourly table up to date: each batch adds its partial sums to the windows it touches.
-
-    No row is too late: an old window is read from the table and written again.
-    """
-    keys = ["hour", kind]
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        sums = hourly_counts(batch, ts, kind, value)
-        stored = current(batch.sparkSession, target, sums.schema, keys, batch_id)
-        added = sums.unionByName(stored.join(sums.select(*keys), keys, "left_semi"))
-        merged = added.groupBy(*keys).agg(F.sum("events").alias("events"), F.sum("total").alias("total"))
-        same_types = [F.col(f.name).cast(f.dataType) for f in sums.schema]
-        write_changes(merged.select(*same_types), target, batch_id, keys, whole_every)
-
-    run_available(events, checkpoint, each)
+def stream_hourly_counts(events: DataFrame, ts: str, kind: str, value: str, checkpoint: str, target: str) -> None:
+    """Keep the hourly table up to date. Without a watermark no row is too late: its window is still in the state."""
+    run_complete(hourly_counts(events, ts, kind, value), checkpoint, target)
 
 
 def stream_enrich(stream: DataFrame, deals: DataFrame) -> DataFrame:
@@ -175,6 +120,12 @@ def stream_enrich(stream: DataFrame, deals: DataFrame) -> DataFrame:
     )
 
 
+def folder_stream(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int = 1) -> DataFrame:
+    """Parquet files below a folder as they arrive."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema

@@ -123,23 +123,18 @@ def test_upsert_over_batches(spark, rows, tmp_path):
     jobs.stream_upsert(source(spark, f"{root}/in", schema), f"{root}/ck", f"{root}/t", ["doc"])
     put(spark, f"{root}/in", "b2", [("a", "1", "same hash"), ("b", "2", "new"), ("c", "1", "x")], schema)
     jobs.stream_upsert(source(spark, f"{root}/in", schema), f"{root}/ck", f"{root}/t", ["doc"])
-    assert rows(jobs.current(spark, f"{root}/t", schema, ["doc"])) == [("a", "1", "x"), ("b", "2", "new"), ("c", "1", "x")]
+    assert rows(jobs.current(spark, f"{root}/t", schema)) == [("a", "1", "x"), ("b", "2", "new"), ("c", "1", "x")]
 
 
 def test_a_repeated_batch_gives_the_same_table(spark, rows, tmp_path):
     root, schema = str(tmp_path), "doc string, md_hash string"
-    for batch_id, batch in enumerate([[("a", "1"), ("b", "1")], [("a", "2")], [("c", "1")], [("a", "3")], [("b", "9")]]):
-        jobs.write_changes(spark.createDataFrame(batch, schema), root, batch_id, ["doc"], whole_every=3)
-
-    def table(before=None):
-        return rows(jobs.current(spark, root, schema, ["doc"], before))
-
-    assert table() == [("a", "3"), ("b", "9"), ("c", "1")]
-    assert table(before=1) == [("a", "1"), ("b", "1")] and table(before=2) == [("a", "2"), ("b", "1")]
-    assert [f.rsplit("/", 1)[1] for f in jobs._versions(spark, root, None)] == ["whole=2", "changes=3", "changes=4"]
-    jobs.write_changes(spark.createDataFrame([("c", "1")], schema), root, 2, ["doc"], whole_every=3)  # batch 2 runs again
-    assert table() == [("a", "3"), ("b", "9"), ("c", "1")]
-    assert jobs.current(spark, f"{root}/none", schema, ["doc"]).count() == 0
+    for batch_id, table in enumerate([[("a", "1"), ("b", "1")], [("a", "2"), ("b", "1")], [("a", "2"), ("b", "1"), ("c", "1")]]):
+        jobs.write_version(spark.createDataFrame(table, schema), f"{root}/t", batch_id)
+    assert rows(jobs.current(spark, f"{root}/t", schema)) == [("a", "2"), ("b", "1"), ("c", "1")]
+    assert rows(jobs.current(spark, f"{root}/t", schema, before=1)) == [("a", "1"), ("b", "1")]
+    jobs.write_version(spark.createDataFrame([("z", "1")], schema), f"{root}/t", 2)  # batch 2 runs again
+    assert rows(jobs.current(spark, f"{root}/t", schema)) == [("z", "1")]
+    assert jobs.current(spark, f"{root}/t", schema, before=0).count() == jobs.current(spark, f"{root}/none", schema).count() == 0
 
 
 def test_latest_ignores_a_late_old_snapshot(spark, rows, tmp_path):
@@ -147,7 +142,7 @@ def test_latest_ignores_a_late_old_snapshot(spark, rows, tmp_path):
     for name, batch in (("b1", [("a", "2025-02", "new")]), ("b2", [("a", "2025-01", "old"), ("b", "2025-01", "only")])):
         put(spark, f"{root}/in", name, batch, schema)
         jobs.stream_latest(source(spark, f"{root}/in", schema), f"{root}/ck", f"{root}/t", ["k"], ["snap"])
-    assert rows(jobs.current(spark, f"{root}/t", schema, ["k"])) == [("a", "2025-02", "new"), ("b", "2025-01", "only")]
+    assert rows(jobs.current(spark, f"{root}/t", schema)) == [("a", "2025-02", "new"), ("b", "2025-01", "only")]
 
 
 def test_hourly_counts_grow_with_new_batches(spark, rows, tmp_path):
@@ -157,5 +152,5 @@ def test_hourly_counts_grow_with_new_batches(spark, rows, tmp_path):
     for name, batch in (("b1", [(at, "x", 1.0), (at + dt.timedelta(minutes=59), "x", 2.0)]), ("b2", [(at + dt.timedelta(minutes=30), "x", 4.0), (at + dt.timedelta(hours=1), "y", 8.0)]), ("b3", [(at - dt.timedelta(days=3), "x", 16.0), (at, "x", 32.0)])):
         put(spark, f"{root}/in", name, batch, schema)
         jobs.stream_hourly_counts(source(spark, f"{root}/in", schema), "ts", "kind", "value", f"{root}/ck", f"{root}/t")
-    got = rows(jobs.current(spark, f"{root}/t", table, ["hour", "kind"]), F.hour("hour"), "kind", "events", "total")
+    got = rows(jobs.current(spark, f"{root}/t", table), F.hour("hour"), "kind", "events", "total")
     assert got == [(10, "x", 1, 16.0), (10, "x", 4, 39.0), (11, "y", 1, 8.0)]  # days late, and counted
