@@ -167,22 +167,85 @@ def _(r):
     return audit.audit_query_log(query_log(r), "deal_id", "text")
 
 
+# Questions and texts of twenty more forms, by the deal: what a question adds to a text's findings.
+FORMS = (
+    # question, query text, filters, concepts, issues, then whether: raw sum, state over time, ambiguous word
+    ("pipeline week over week", 'EVALUATE ROW("p", [Card_Pipeline])', [], ["Card_Pipeline"], [], "-s-"),
+    ("sales of Kim", 'EVALUATE CALCULATETABLE(Fact_Opportunity, SEARCH("Kim", Fact_Opportunity[Sale Person Name], 1, 0) > 0)', ['Sale Person ~ "Kim"'], [], [], "--a"),
+    ("revenue this year", "EVALUATE ROW(\"r\", SUM(Fact_Opportunity[SO Actual Amount]))", [], ["SO Actual Amount"], [], "r-a"),
+    ("revenue target", 'EVALUATE ROW("t", [Total Target Amount])', [], ["Total Target Amount"], [], "--a"),
+    ("how many deals", "DEFINE MEASURE Fact_Opportunity[x] = 1", [], [], ["DEFINE block"], "---"),
+    ("deals from Open to Lost", "EVALUATE Dim_Account", [], [], ["bare dump of Dim_Account"], "-s-"),
+    ("list", "DROP TABLE Fact_Opportunity", [], [], ["data-changing keyword"], "---"),
+    ("hot deals", "EVALUATE FILTER(Fact_Opportunity, Fact_Opportunity[Possibility] < 90)", ["Possibility < 90"], ["Possibility"], [], "---"),
+    ("turnover by month", "EVALUATE FILTER(Dim_Date, MONTH(Dim_Date[Date]) = 5 || MONTH(Dim_Date[Date]) = 6)", ["Month = 5, 6"], [], [], "--a"),
+    ("ยอดขายเดือนนี้", 'EVALUATE ROW("a", [Total SO Actual Amount (P) by Person])', [], ["Total SO Actual Amount (P) by Person"], [], "--a"),
+    ("win rate", 'EVALUATE ROW("w", [Card_WinRate])', [], ["Card_WinRate"], [], "---"),
+    ("won or lost", 'EVALUATE FILTER(Fact_Opportunity, Fact_Opportunity[Status] IN {"Won", "Lost"})', ["Status = Won, Lost"], [], [], "---"),
+    ("won", "EVALUATE FILTER(Fact_Opportunity, Fact_Opportunity[IsWon] = 1)", ["Status = Won (IsWon=1)"], [], [], "---"),
+    ("open", "EVALUATE FILTER(Fact_Opportunity, Fact_Opportunity[IsPipeline] = 1)", ["Status = Open (IsPipeline=1)"], [], [], "---"),
+    ("by solution", 'EVALUATE FILTER(Dim_Solution, Dim_Solution[Solution Name] = "MES")', ["Solution = MES"], [], [], "---"),
+    ("year", "EVALUATE FILTER(Dim_Date, Dim_Date[Year] = 2026)", ["Year = 2026"], [], [], "---"),
+    ("allocation", "EVALUATE FILTER(Dim_Allocation, Dim_Allocation[x] > 1)", [], [], ["table Dim_Allocation is not in the model"], "---"),
+    ("month", "EVALUATE VALUES(Dim_Date[YearMonth])", [], [], ["column [YearMonth] does not exist"], "---"),
+    ("elsewhere", "EVALUATE VALUES(Dim_Made_Up[a])", [], [], ["unknown table(s): Dim_Made_Up"], "---"),
+    ("target met", 'EVALUATE ROW("c", [Card_Achievement])', [], ["Card_Achievement"], [], "---"),
+)
+
+
+def _q(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join(map(_q, values)) + "]::VARCHAR[]"
+
+
+FORM_SQL = "  SELECT * FROM (VALUES " + ",\n    ".join(
+    f"({i}, {_q(q)}, {_q(t)}, {_list_sql(f)}, {_list_sql(c)}, {_list_sql(v)}, {'r' in k}, {'s' in k}, {'a' in k})" for i, (q, t, f, c, v, k) in enumerate(FORMS)
+) + ") AS form(form, question, text, filters, concepts, issues, raw, state, doubt)"
+
+
+def form_log(r):
+    """One logged question and query text per deal, of all forms."""
+    forms = F.array(*[F.struct(F.lit(q).alias("question"), F.lit(t).alias("text")) for q, t, *_ in FORMS])
+    return r.deal_core.select("deal_id", F.get(forms, (F.col("deal_id") % len(FORMS)).cast("int")).alias("_f")).select("deal_id", "_f.*")
+
+
+@query(
+    "audit_log_forms",
+    f"""
+SELECT deal_id, kind, finding FROM deal_core JOIN (
+  SELECT form, 'filter' AS kind, unnest(filters) AS finding FROM form UNION ALL SELECT form, 'concept', unnest(concepts) FROM form UNION ALL SELECT form, 'issue', unnest(issues) FROM form)
+ON form = deal_id % {len(FORMS)}""",
+    form=FORM_SQL,
+)
+def _(r):
+    """A log of twenty forms of texts, each with what must be found in it."""
+    return audit.audit_query_log(form_log(r), "deal_id", "text")
+
+
+RAW_SQL = "raw sum of SO Actual Amount; use [Total SO Actual Amount (P) by Person]"
+STATE_SQL = "the question asks for a state over time; only the present state is kept"
+
+
 @query(
     "advisory_text",
-    """
-SELECT deal_id, CASE WHEN deal_id % 4 = 3 THEN '⚠️ ' || replace('table Fact_Project_Expenses is not in the model|flag compared to TRUE/FALSE|unknown table(s): Dim_Region', '|', chr(10) || chr(10) || '⚠️ ')
-  WHEN deal_id % 4 = 2 THEN '⚠️ bare dump of Fact_Opportunity'
-  WHEN deal_id % 4 = 1 THEN '📊 ที่มา: ตัวเลขจาก Total SO Plan Amount; Possibility | เงื่อนไข: Possibility >= ' || regexp_extract(text, '>= (\\d+)', 1)
-  ELSE '📊 ที่มา: เงื่อนไข: Status = ' || regexp_extract(text, 'Status\\] = "(\\w+)"', 1) || ', Year = ' || regexp_extract(text, '(\\d{4})', 1) END AS advisory
-FROM log""",
-    log=LOG_SQL,
+    f"""
+SELECT deal_id, array_to_string(list_filter([
+    array_to_string([{_q(audit.WARNING_MARK)} || w FOR w IN list_concat(issues, CASE WHEN raw THEN ['{RAW_SQL}'] ELSE [] END, CASE WHEN state THEN ['{STATE_SQL}'] ELSE [] END)], chr(10) || chr(10)),
+    CASE WHEN len(concepts) + len(filters) > 0 THEN {_q(audit.SOURCE_MARK)} || array_to_string(list_filter([
+      CASE WHEN len(concepts) > 0 THEN {_q(audit.CONCEPT_HEAD)} || array_to_string(concepts, '; ') ELSE '' END,
+      CASE WHEN len(filters) > 0 THEN {_q(audit.FILTER_HEAD)} || array_to_string(filters, ', ') ELSE '' END], LAMBDA x: x <> ''), ' | ') ELSE '' END,
+    CASE WHEN doubt AND len(concepts) > 0 AND len(others) > 0 THEN {_q(audit.MEANING_MARK)} || 'amount was taken as ' || concepts[1] || '; it could also be ' || array_to_string(others, '; ') ELSE '' END],
+  LAMBDA x: x <> ''), chr(10) || chr(10)) AS advisory
+FROM deal_core JOIN (
+  SELECT *, [c FOR c IN {_list_sql(audit.MONEY_CONCEPTS)} IF NOT contains(concepts[1], string_split(c, ' (')[1])] AS others FROM form) ON form = deal_id % {len(FORMS)}""",
+    form=FORM_SQL,
 )
 def _(r):
-    text = F.col("text")
-    advisory = audit.advisory_text(
-        audit.query_issues(text), audit.query_concepts(text), audit.query_filters(text), F.lit(None).cast("string")
-    )
-    return query_log(r).select("deal_id", advisory.alias("advisory"))
+    """What to tell the asker beside an answer: warnings, the source of the number, what a word was taken to mean."""
+    return audit.advisories(form_log(r), "deal_id", "question", "text")
 
 
 @query("question_count", "SELECT count(*) AS questions FROM conversations WHERE role = 'user'")
