@@ -55,24 +55,23 @@ def chunk_document(
         raise ValueError("size must be at least twice the overlap")
 
     def cut(sections: Column) -> Column:
-        per_section = F.transform(sections, lambda s: tokenizer(F.concat(s, F.lit("\n"))))
-        return let(per_section, lambda t: let(F.flatten(t), lambda words: _texts(words, _spans(F.transform(t, F.size)))))
-
-    def _spans(sizes: Column) -> Column:
-        """(section start - overlap, section end) in tokens of the document, one per section."""
-        empty = F.array().cast("array<struct<low:int,high:int>>")
-        folded = F.aggregate(
-            sizes,
-            F.struct(F.lit(0).alias("end"), empty.alias("spans")),
-            lambda acc, n: F.struct(
-                (acc["end"] + n).alias("end"),
-                F.array_append(
-                    acc["spans"],
-                    F.struct(F.greatest(acc["end"] - overlap, F.lit(0)).alias("low"), (acc["end"] + n).alias("high")),
-                ).alias("spans"),
-            ),
+        # the tokens of the whole document, each with the number of its section
+        tagged = F.flatten(
+            F.transform(sections, lambda s, i: F.transform(tokenizer(F.concat(s, F.lit("\n"))), lambda t: F.struct(i.alias("section"), t.alias("token"))))
+        )
+        return let(tagged, lambda words: let(_starts(words), lambda starts: let(words["token"], lambda tokens: _texts(tokens, _spans(starts, F.size(tokens))))))
+
+    def _starts(words: Column) -> Column:
+        """Where each section begins: the places at which the number of the section changes."""
+        first = F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, i - 1)["section"] != w["section"]), i))
+        return F.filter(first, lambda i: i.isNotNull())
+
+    def _spans(starts: Column, size_of_all: Column) -> Column:
+        """(section start - overlap, section end) in tokens of the document, one per section; one empty span without any token."""
+        spans = F.transform(
+            starts, lambda s, k: F.struct(F.greatest(s - overlap, F.lit(0)).alias("low"), F.coalesce(F.get(starts, k + 1), size_of_all).alias("high"))
         )
-        return folded["spans"]
+        return F.when(F.size(starts) > 0, spans).otherwise(F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))))
 
     def _texts(words: Column, spans: Column) -> Column:
         windows = F.flatten(

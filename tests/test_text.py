@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -108,3 +109,15 @@ def test_windows_cover_the_text(spark):
     for n, windows in seen.items():
         assert {tok for _, _, w in windows for tok in w} == {str(i) for i in range(n)}
         assert all(w == [str(i) for i in range(first, first + k)] for first, k, w in windows)
+
+
+def test_chunking_is_linear_in_sections(spark):
+    def seconds(n):
+        text = "\n".join(f"## Head {i}\nbody of section {i} with words" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "k int, t string")
+        started = time.perf_counter()
+        assert chunk_document(df, "k", "t", size=20, overlap=5).count() >= n
+        return time.perf_counter() - started
+
+    seconds(10)
+    assert seconds(20_000) < 30 * max(1.0, seconds(1_000))
