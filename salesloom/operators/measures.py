@@ -33,9 +33,10 @@ class Derived:
 
 MEASURES: dict[str, Measure | Derived] = {}
 
-# The date a fact is filtered by for a year-to-date measure: the stored one if the fact has it.
+# The date a fact is filtered by for a year-to-date measure: the first of these it has. A deal is in
+# the year of its plan date where it has one.
 FACT_DATE = {
-    "deal": ("created_at", "created"),
+    "deal": ("plan_date", "created_at", "created"),
     "actual": ("actual_at", "actual_date"),
     "target": ("target_month",),
     "activity": ("activity_at", "activity_date"),

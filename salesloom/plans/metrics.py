@@ -154,10 +154,11 @@ def _(r):
     f"""
 SELECT industry, {sql_money("sum(coalesce(actual_amount, 0)) FILTER (status = 'Won')", 'total_actual')}, count(*) FILTER (status = 'Won') AS won_count,
        {sql_rate("coalesce(count(*) FILTER (status = 'Won') / nullif(count(*) FILTER (status IN ('Won','Lost','Cancelled')), 0), 0)", 'win_rate')}
-FROM deal_core LEFT JOIN {REALISED} USING (deal_id) LEFT JOIN account USING (account_id) WHERE created BETWEEN DATE '2001-01-01' AND {AS_OF_SQL} GROUP BY 1""",
+FROM deal_core LEFT JOIN {REALISED} USING (deal_id) LEFT JOIN account USING (account_id) WHERE est_close BETWEEN DATE '2001-01-01' AND {AS_OF_SQL} GROUP BY 1""",
 )
 def _(r):
-    rows = measure_by({"deal": realised(r)}, ["total_actual", "won_count", "win_rate"], ["industry"], AS_OF, year_to_date=True)
+    """The year to date by the plan date of the deals."""
+    rows = measure_by({"deal": realised(r).withColumn("plan_date", F.col("est_close"))}, ["total_actual", "won_count", "win_rate"], ["industry"], AS_OF, year_to_date=True)
     return rows.select("industry", money("total_actual", "total_actual"), "won_count", rate("win_rate", "win_rate"))
 
 
