@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from salesloom.functions.dates import in_year_to_date, with_month_spine
+from salesloom.functions.dates import in_range, in_year_to_date, with_month_spine
 from salesloom.functions.values import ratio, safe_number
 from salesloom.operators.measures import (
     MEASURES,
@@ -20,7 +20,7 @@ from salesloom.operators.rank import recent_n
 from salesloom.plans.registry import query
 from salesloom.plans.role_sql import AS_OF_SQL
 from salesloom.plans.shapes import money, rate, sql_money, sql_rate, whole
-from salesloom.sources.roles import AS_OF, MONEY
+from salesloom.sources.roles import AS_OF, MONEY, PLAN_DAYS
 
 ACTIVITY_AS_OF = dt.date(2024, 1, 20)  # the events are of another year than the orders
 
@@ -157,8 +157,11 @@ SELECT industry, {sql_money("sum(coalesce(actual_amount, 0)) FILTER (status = 'W
 FROM deal_core LEFT JOIN {REALISED} USING (deal_id) LEFT JOIN account USING (account_id) WHERE est_close BETWEEN DATE '2001-01-01' AND {AS_OF_SQL} GROUP BY 1""",
 )
 def _(r):
-    """The year to date by the plan date of the deals."""
-    rows = measure_by({"deal": realised(r).withColumn("plan_date", F.col("est_close"))}, ["total_actual", "won_count", "win_rate"], ["industry"], AS_OF, year_to_date=True)
+    """The year to date by the plan date of the deals, so many days after the stored date that the scan can filter on it."""
+    deals = realised(r).withColumn("plan_date", F.col("est_close"))
+    ahead = dt.timedelta(days=PLAN_DAYS)
+    stored = in_range(F.col("created_at"), dt.date(AS_OF.year, 1, 1) - ahead, AS_OF - ahead)
+    rows = measure_by({"deal": deals}, ["total_actual", "won_count", "win_rate"], ["industry"], AS_OF, where=stored, year_to_date=True)
     return rows.select("industry", money("total_actual", "total_actual"), "won_count", rate("win_rate", "win_rate"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = dt.date(2001, 11, 4)  # the reporting date of every registered query
+#: Deals are planned to close so many days after they were created.
+PLAN_DAYS = 120
 
 MONEY = "decimal(12,2)"
 RATE = "decimal(4,2)"
@@ -95,7 +97,7 @@ class Roles:
             F.col("o_orderpriority").alias("priority"),
             F.col("o_totalprice").cast(MONEY).alias("plan_amount"),
             created.alias("created"),
-            F.date_add(created, 120).alias("est_close"),
+            F.date_add(created, PLAN_DAYS).alias("est_close"),
             F.datediff(F.lit(AS_OF), created).alias("aging_days"),
         )
 
