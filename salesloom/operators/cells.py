@@ -8,9 +8,9 @@ block's widest one. A first round searches each query's nearest cells; the k-th
 and in the second round a block meets only the queries whose bound reaches their bar.
 
 The approximate search replaces the bound by an estimate: what the block's mean angle gives if a
-share ``slack`` of the rest points the query's way. The slack is learned: ``CALIBRATE`` of the queries
-are searched exactly, and it is the value that would have let the cells of ``RECALL`` of their
-neighbours pass. Scores are exact in both.
+share ``slack`` of the rest points the query's way. The slack is learned: about ``CALIBRATE`` of the queries
+are searched exactly, and it is the value that would have let ``RECALL`` of their neighbours be found,
+those in the nearest cells and those in cells that pass. Scores are exact in both.
 
 A corpus of fewer than two cells' vectors is searched as it lies. Null and zero vectors, and those with
 values that are null or not finite, are never found and find nothing.
@@ -35,7 +35,7 @@ CELL = 2_048  # vectors of a cell, on average
 MOST_CELLS = 4_096
 ROUNDS = 8
 NEAREST = 2  # cells of the first round
-CALIBRATE, RECALL = 256, 0.97
+CALIBRATE, RECALL = 256, 0.95
 SEED = 11
 
 
@@ -114,7 +114,10 @@ class VectorGroup:
                 if cell is not None and self.only_near:
                     some = some[self.near[some, cell]]
                 elif cell is not None and bars is not None:
-                    some = some[self.reach(cell, batch.column(3).to_numpy()[a:b])[some] >= bars()[some]]
+                    passes = self.reach(cell, batch.column(3).to_numpy()[a:b]) >= bars()
+                    if self.slack is not None:
+                        passes |= self.near[:, cell]
+                    some = some[passes[some]]
                 if not len(some):
                     continue
                 matrix, usable = units(batch.column(1).slice(a, b - a))
@@ -199,7 +202,11 @@ class Cells(Searched):
         angle, width = group.angles[row, cell], np.array([mean[c] for c in cell.tolist()])
         room = np.maximum(np.sin(angle) * np.sin(width), 1e-9)
         needed = (own["score"].to_numpy() - np.cos(angle) * np.cos(width)) / room
-        return self.like(slack=float(np.quantile(needed, recall)) if len(needed) else None)
+        beyond = needed[~group.near[row, cell]]  # the nearest cells are searched anyway
+        if not len(beyond):
+            return self.like(slack=None if not len(needed) else float(needed.min()))
+        missed = min(1.0, (1 - recall) * len(needed) / len(beyond))
+        return self.like(slack=float(np.quantile(beyond, 1 - missed)))
 
     def pairs(self, queries: pa.Table, k: int) -> DataFrame:
         """How many pairs of a query and an item the search scores: ``scored``, a row each task."""
