@@ -29,12 +29,21 @@ def typed_to_text(col: Column, dtype: str) -> Column:
         text = F.when(col, "true").otherwise("false")
         return F.when(col.isNull(), "").otherwise(text)
     if dtype in ("double", "float"):
-        whole = (col == F.floor(col)) & (F.abs(col) < 1e18)
-        text = F.when(whole, F.when(whole, col).try_cast("decimal(38,0)").cast("string")).otherwise(col.cast("string"))
-        return F.coalesce(text, F.lit(""))
+        large = F.when(F.abs(col) >= 2.0**53, _whole_text(col.cast("double")))
+        text = large.when(col == F.floor(col), col.try_cast("decimal(38,0)").cast("string"))
+        return F.coalesce(text, col.cast("string"), F.lit(""))
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+def _whole_text(col: Column) -> Column:
+    """The digits of a whole double below 2 ** 126: its parts above and below 2 ** 63 are exact longs."""
+    size = F.abs(col)
+    high = F.floor(F.when(size < 2.0**126, size) / 2.0**63)
+    low = (size - high.cast("double") * 2.0**63).cast("long").cast("decimal(19,0)")
+    digits = (high.cast("decimal(19,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + low).cast("string")
+    return F.concat(F.when(col < 0, "-").otherwise(""), digits)
+
+
 def join_nonempty(cols: list[Column], sep: str = ", ", default: str = "—") -> Column:
     """Join the non-empty values; ``default`` when none is left."""
     kept = F.filter(F.array(*[F.coalesce(c, F.lit("")) for c in cols]), lambda x: x != "")

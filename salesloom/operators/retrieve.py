@@ -189,34 +189,42 @@ def build_context(hits: DataFrame, names: DataFrame | None = None, max_chars: in
 def embed_batch(
     texts: DataFrame, key: str, text: str, encoder: Callable[[list[str]], np.ndarray] | None = None, batch: int = 16
 ) -> DataFrame:
-    """``key, vector`` of every text, encoded in batches of ``batch`` inside each Arrow batch."""
-    encode = encoder or hashed_words(64)
+    """``key, vector`` of every text: ``hashed_words`` without a Python worker, or a model of the
+    caller's, which gets ``batch`` texts at a time inside each Arrow batch. A null text is an empty one."""
+    if encoder is None:
+        return texts.select(key, hashed_words(F.col(text)).alias("vector"))
     schema = texts.select(key).schema.add("vector", ArrayType(FloatType()))
 
     def run(frames):
         for frame in frames:
             values = frame[text].fillna("").tolist()
-            parts = [np.asarray(encode(values[i : i + batch]), dtype=np.float32) for i in range(0, len(values), batch)]
+            parts = [np.asarray(encoder(values[i : i + batch]), dtype=np.float32) for i in range(0, len(values), batch)]
             vectors = [row for part in parts for row in part]
             yield pd.DataFrame({key: frame[key], "vector": vectors})
 
     return texts.select(key, text).mapInPandas(run, schema)
 
 
-def hashed_words(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """The default encoder: signed hashed word counts, unit length; needs no model file."""
-    import re
-    import zlib
+def hashed_words(text: Column, dim: int = 64) -> Column:
+    """The default encoder: signed hashed word counts, unit length (zeros without words); needs no model file.
 
-    token = re.compile(r"\w+")
+    The first 32 bits of a word's MD5, modulo ``2 * dim``, are its bin: half of it is the component, an odd
+    bin adds one and an even one takes one away. The bins of a text are sorted with one mark of each
+    between them, so the distance of two marks is a count and the work stays linear in a long text.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    bins = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % (2 * dim))
+    ordered = F.sort_array(F.concat(bins, F.sequence(F.lit(0).cast("long"), F.lit(2 * dim).cast("long"))))
+    marks = _once(ordered, lambda o: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(2 * dim).cast("long")), lambda m: F.array_position(o, m)))
+    signed = _once(marks, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: m[2 * d + 2] - 2 * m[2 * d + 1] + m[2 * d]))
+
+    def unit(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x * x))
+        return _once(norm, lambda n: F.transform(counts, lambda x: (x / F.when(n > 0, n).otherwise(1.0)).cast("float")))
+
+    return _once(signed, unit)
 
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for word in token.findall(text.lower()):
-                code = zlib.crc32(word.encode())
-                out[row, code % dim] += 1.0 if (code >> 16) & 1 else -1.0
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm == 0, 1, norm)
 
-    return encode
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, also where ``use`` reads it inside a lambda."""
+    return F.transform(F.array(value), use)[0]

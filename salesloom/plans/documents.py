@@ -296,10 +296,23 @@ def _(r):
     )
 
 
-@query("embed_batch", "SELECT doc_id, CAST(64 AS BIGINT) AS dims, CAST(1 AS DOUBLE) AS norm FROM documents")
+@query(
+    "embed_batch",
+    r"""
+WITH word AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS w FROM documents),
+bin AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS b FROM word),
+part AS (SELECT doc_id, b // 2 AS d, sum(CASE WHEN b % 2 = 1 THEN 1 ELSE -1 END) AS c FROM bin GROUP BY ALL),
+norm AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM part GROUP BY doc_id),
+cell AS (SELECT k.doc_id, g.d, CAST(coalesce(c / CASE WHEN n > 0 THEN n ELSE 1 END, 0) AS FLOAT) AS x
+  FROM documents k CROSS JOIN range(64) g(d) LEFT JOIN part p ON p.doc_id = k.doc_id AND p.d = g.d LEFT JOIN norm o ON o.doc_id = k.doc_id)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS dims, string_agg(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT), ',' ORDER BY d) AS components
+FROM cell GROUP BY doc_id""",
+)
 def _(r):
+    """Every component of the default encoder, in millionths."""
     vectors = embed_batch(r.table("documents"), "doc_id", "text")
-    return vectors.select("doc_id", whole(F.size("vector"), "dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    millionths = F.transform("vector", lambda x: F.floor(x.cast("double") * 1000000).cast("string"))
+    return vectors.select("doc_id", whole(F.size("vector"), "dims"), F.array_join(millionths, ",").alias("components"))
 
 
 def vowel_shares(batch: list[str]) -> np.ndarray:

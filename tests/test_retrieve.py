@@ -1,8 +1,10 @@
+import hashlib
 import math
 import re
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from salesloom.operators import postings
@@ -197,10 +199,24 @@ def test_embedding_batches_keep_order(spark):
     seen = rt.embed_batch(df, "k", "t", lambda batch: np.array([[float(x.split()[1]), len(batch)] for x in batch]), batch=16)
     got = seen.collect()
     assert all(r.vector[0] == r.k and r.vector[1] <= 16 for r in got) and len(got) == 50
-    again = rt.embed_batch(df, "k", "t")
-    assert {r.k: r.vector for r in again.collect()} == {r.k: r.vector for r in rt.embed_batch(df.repartition(7), "k", "t").collect()}
-    norms = [sum(x * x for x in r.vector) for r in again.collect()]
-    assert all(abs(n - 1) < 1e-5 or n == 0 for n in norms) and sum(norms) > 45  # two words can cancel out
+
+
+def test_default_encoder_counts_signed_words_without_python(spark):
+    texts = [None, "", " - ", "Bolt bolt, NUT", "ปี2569 ศูนย์ bolt", "a b c d e f g " * 40_000, *(f"row {i} of {i % 7}" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+
+    def brute(text, dim):
+        counts = np.zeros(dim)
+        for word in regex.findall(r"[\p{L}\p{M}\p{N}_]+", (text or "").lower()):
+            b = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % (2 * dim)
+            counts[b // 2] += 1 if b % 2 else -1
+        return (counts / (np.sqrt((counts**2).sum()) or 1)).astype(np.float32).tolist()
+
+    for dim in (64, 5):
+        got = {r.k: r.v for r in df.select("k", rt.hashed_words(F.col("t"), dim).alias("v")).collect()}
+        assert got == {k: brute(t, dim) for k, t in enumerate(texts)}
+    plan = rt.embed_batch(df, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan
 
 
 def test_score_fallback(spark):

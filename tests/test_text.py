@@ -121,3 +121,14 @@ def test_chunking_is_linear_in_sections(spark):
 
     seconds(10)
     assert seconds(20_000) < 30 * max(1.0, seconds(1_000))
+
+
+def test_whole_floats_of_any_size_have_all_their_digits(spark):
+    from salesloom.functions.values import typed_to_text
+
+    whole = [0.0, -0.0, 7.0, -12345678901.0, 2.0**53, 2.0**60, -(2.0**63), 1e18, 1e19, 123456789e15, 1e23, 2.0**125 + 2.0**80, -1e37]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*whole, 0.5, None, 1e300])], "k int, v double")
+    got = [r[0] for r in df.orderBy("k").select(typed_to_text(F.col("v"), "double")).collect()]
+    assert got == [*(str(int(v)) for v in whole), "0.5", "", "1.0E300"]
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),)], "v double").select(typed_to_text(F.col("v"), "double")).collect()
+    assert {r[0] for r in odd} == {"Infinity", "NaN"}
