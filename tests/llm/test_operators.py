@@ -439,3 +439,99 @@ def test_unique_blocks_beside_an_article_stay_and_repeated_ones_go(spark):
     pages = [f"<div>{notice}</div><div>lead {_body(i)}</div><article><p>teaser {i}</p></article>" for i in range(20)]
     got = _pages(spark, pages)
     assert all(got[i].text == f"lead {_body(i)}\nteaser {i}" and got[i].n_repeated == 1 for i in range(20))
+
+
+def test_chrome_goes_by_whole_names_and_by_what_it_holds():
+    from salesloom.llm.html import page_blocks
+
+    post = "<p>the body of a post</p>"
+    for frame in (
+        '<div class="page with-sidebar">{}</div>', '<div class="has-cookie-notice"><article>{}</article></div>', '<form id="aspnetForm"><input>{}</form>',
+        "<nav><a>home</a></nav><form><article>{}</article></form>", '<article>{}</article><section id="comments"><article class="comment-body"><p>a comment longer than the post</article></section>',
+        '<div class="widget">{}</div><footer>a footer that is much longer than the text of the post itself</footer>', '<div class="site-footer">f</div><div class="main-nav">n</div>{}',
+        '<div class="sidebar"><article>teaser</article></div><main>{}</main>', '<article>{}<div class="ad-banner">an advert that is longer than the whole post</div></article>',
+        "<p hidden>x</p>{}<div style='display: none'>y</div>", "<aside>x{}<!-- a > b",
+    ):
+        want = [] if frame.startswith("<aside>") else ["the body of a post"]
+        assert [t for t, _ in page_blocks(frame.format(post))] == want, frame
+    assert [t for t, _ in page_blocks(f'<article>{post}<p class="menu" title="hidden gem">soup</p></article>')] == ["the body of a post", "soup"]
+    assert [t for t, _ in page_blocks("1 < 2 <b>and</b> 3 > 2 <a href='x")] == ["1 < 2 and 3 > 2 <a href='x"]
+
+
+def test_pages_are_scanned_in_linear_time():
+    import time
+
+    from salesloom.llm.html import page_blocks
+
+    begin = time.time()
+    assert page_blocks("<a " * 3_300_000)[0][0].startswith("<a <a")  # 10 MB
+    for page in ('<a "b ' * 200_000, '<a b="x ' * 200_000 + '>"', "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 50_000 + "<p>x</p>" * 50_000, '<div class="menu">x' * 50_000):
+        page_blocks(page)
+    assert time.time() - begin < 40
+
+
+def test_boilerplate_goes_on_hosts_of_any_size(spark):
+    from salesloom.llm.html import main_text
+
+    menu = " ".join(f"m{j}" for j in range(400))
+    rows, want, k = [], {}, 0
+    for size, bearing in ((2, 2), (3, 3), (4, 4), (10, 10), (30, 30), (1500, 10)):
+        for i in range(size):
+            own = _body(f"{size}p{i}", 60)
+            rows.append((k, f"http://h{size}.example/{i}", (f"<div>{menu}</div>" if i < bearing else "") + f"<p>{own}</p>"))
+            want[k] = own
+            k += 1
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
+def test_repeats_of_a_host_match_brute_force(spark):
+    from salesloom.llm.html import COVERED, FEW, OWN, OWN_SHARE, RUN
+
+    rng = np.random.default_rng(11)
+    stock = [[f"s{i}x{j}" for j in range(n)] for i, n in enumerate((5, 9, 14, 20, 40))]
+    pages = []
+    for i in range(60):
+        blocks = []
+        for b in range(4):
+            own = [f"p{i}b{b}w{j}" for j in range(int(rng.integers(1, 30)))]
+            blocks.append([*own, *stock[int(rng.integers(5))], *own[:3]] if rng.random() < 0.6 else own)
+        pages.append(blocks)
+    pages.append(pages[0])
+    streams = [[t for b in blocks for t in ("", *b)] for blocks in pages]
+    where = defaultdict(set)
+    for s in streams:
+        for a in range(len(s) - RUN + 1):
+            where[tuple(s[a : a + RUN])].add(tuple(s))
+
+    def cover(s, chosen):
+        hit = [False] * len(s)
+        for a in range(len(s) - RUN + 1):
+            if tuple(s[a : a + RUN]) in chosen:
+                hit[a : a + RUN] = [True] * RUN
+        return hit
+
+    several = {r for r, found in where.items() if len(found) > 1}
+    name = {}
+    for s in streams:
+        rest = tuple(t for t, h in zip(s, cover(s, several)) if t and not h)
+        name[tuple(s)] = rest if len(rest) >= max(OWN[0], min(OWN[1], OWN_SHARE * len(s))) else ()
+    least = min(FEW, len(set(name.values())))
+    repeats = {r for r in several if len({name[s] for s in where[r]}) >= max(2, least)}
+    want = {}
+    for i, (blocks, s) in enumerate(zip(pages, streams)):
+        hit, at, kept = cover(s, repeats), 0, []
+        for b in blocks:
+            part, at = hit[at : at + len(b) + 1], at + len(b) + 1
+            drop = [False] * len(part)
+            for low in range(len(part)):
+                high = low
+                while high < len(part) and part[high]:
+                    high += 1
+                if (low == 0 or not part[low - 1]) and high - low >= 2 * RUN:
+                    drop[low:high] = [True] * (high - low)
+            if sum(part) < COVERED * len(part):
+                kept.append(" ".join(w for w, d in zip(b, drop[1:]) if not d))
+        want[i] = "\n".join(k for k in kept if k)
+    got = _pages(spark, ["".join(f"<p>{' '.join(b)}</p>" for b in blocks) for blocks in pages])
+    assert {i: r.text for i, r in got.items()} == want and len(repeats) > 30 and sum(r.n_repeated for r in got.values()) > 40
