@@ -12,8 +12,10 @@ numbers and the number of windows are calibrated. A word counts once for each pa
 neighbours, so copies of a text don't make its words look typical.
 
 Both learn from a bounded sample: at most about ``SAMPLE`` documents of either label, chosen by
-hash, ``STRETCH`` characters of each; three quarters train, one quarter calibrates, weighted
-back to the labels' shares. Training runs in the driver on that sample; scoring in the tasks.
+hash. Three quarters of them give the dictionaries, each by a stretch of at most ``STRETCH`` characters,
+in the driver; those of quality by ``DICT_TEXTS`` documents of a label and ``DICT_WINDOWS`` windows of
+each, spread evenly over its stretch (bounds chosen by the loss on the calibrating quarter). The other quarter calibrates, weighted back to the labels'
+shares: its whole texts become features in the tasks, as in scoring, and only the features are collected.
 
 Defined results: null and empty texts get the calibrated score of an empty text; a label that is
 null, or of a document without text, teaches nothing; a document with several labels teaches each;
@@ -37,6 +39,7 @@ from salesloom.llm.language import fold, sample_by
 SAMPLE = {0: 4000, 1: 4000}
 STRETCH = 20_000
 QUALITY_WINDOW, QUALITY_DICT = 1024, 32_768
+DICT_TEXTS, DICT_WINDOWS = 1500, 8
 TOXIC_WINDOW, BASE_DICT, TOXIC_DICT = 10, 8_192, 8_192
 #: How sure it must be that a word is typical of toxic text (a log-likelihood ratio).
 TYPICAL = 15.0
@@ -113,9 +116,14 @@ def _toxic_features(ordinary, toxic, text: bytes) -> list[float]:
     return [*top, *((d >= v).sum() for v in (5, 6, 7, 8, 9, 10, 12)), (d >= 6).mean(), np.log1p(len(d))]
 
 
+def _spread(text: bytes) -> list[bytes]:
+    parts = [text[i : i + QUALITY_WINDOW] for i in range(0, len(text), QUALITY_WINDOW)]
+    return parts if len(parts) <= DICT_WINDOWS else [parts[i * len(parts) // DICT_WINDOWS] for i in range(DICT_WINDOWS)]
+
+
 def _quality_dicts(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
     def trained(texts):
-        samples = [t[i : i + QUALITY_WINDOW] for t in texts[:1500] for i in range(0, min(len(t), 8 * QUALITY_WINDOW), QUALITY_WINDOW)]
+        samples = [part for t in texts[:DICT_TEXTS] for part in _spread(t)]
         try:
             return zstd.train_dictionary(QUALITY_DICT, samples).as_bytes()
         except zstd.ZstdError:  # too little text to train on: the text itself
@@ -168,36 +176,48 @@ def _toxic_dicts(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
     return b" " + base, b" " + packed(_typical(toxic, ordinary), TOXIC_DICT) + base
 
 
-def train(kind: str, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """Dictionaries from three quarters of the sample, calibration on the rest."""
-    if len(set(labels.tolist())) < 2:
-        return Model(kind, constant=float(labels[0]) if len(labels) else 0.0)
-    held = np.arange(len(texts)) % 4 == 3
-    if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
-        held, fit = np.ones(len(texts), bool), np.ones(len(texts), bool)  # a handful of rows: all of them for both
-    else:
-        fit = ~held
-    one, zero = ([texts[i] for i in np.flatnonzero(fit & (labels == v))] for v in (1, 0))
-    model = Model(kind, _quality_dicts(one, zero) if kind == "quality" else _toxic_dicts(one, zero))
-    features = model.features()
-    x = np.array([features(texts[i]) for i in np.flatnonzero(held)])
-    model.calibrate = Logistic(x, labels[held].astype(float), weights[held] / weights[held].mean())
-    return model
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str, kind: str, learn: Column, sample: dict[int, int] | None = None) -> Model:
     """Learn ``label`` (0 or 1) from the labelled rows where ``learn`` (on doc_id) holds."""
     named = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(learn).where("label IN (0, 1)")
     limit = max((sample or SAMPLE).values())
     drawn = store(sample_by(named, "label", limit), "labelled")
+    order = F.xxhash64("doc_id", F.lit("order"))
+    rows = docs.where("text IS NOT NULL").join(if_small(drawn), "doc_id").select("label", "text", "doc_id", order.alias("o"))
+    rows = store(rows.withColumn("held", F.pmod("o", F.lit(4)) == 3), "sampled")
+    have = {(r.label, r.held): r["count"] for r in rows.groupBy("label", "held").count().collect()}
+    known = {v for v, _ in have}
+    if len(known) < 2:
+        return Model(kind, constant=float(max(known, default=0)))
+    dictionaries, held = rows.where("NOT held"), rows.where("held")
+    if len(have) < 4:  # a handful of rows: all of them for both
+        dictionaries = held = rows
     start = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.greatest(F.char_length("text") - STRETCH, F.lit(0)).cast("long") + 1) + 1
-    texts = docs.where("text IS NOT NULL").join(if_small(drawn), "doc_id").select("label", F.substring("text", start.cast("int"), F.lit(STRETCH)).alias("text"), F.xxhash64("doc_id", F.lit("order")).alias("o"), "doc_id")
-    found = texts.toArrow().sort_by([("o", "ascending"), ("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    learnt = dictionaries.withColumn("text", F.substring("text", start.cast("int"), F.lit(STRETCH))).toArrow()
+    learnt = learnt.sort_by([("o", "ascending"), ("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    one, zero = ([t.encode() for t, y in zip(learnt.column("text").to_pylist(), learnt.column("label").to_pylist()) if y == v] for v in (1, 0))
+    model = Model(kind, _quality_dicts(one, zero) if kind == "quality" else _toxic_dicts(one, zero))
+    x, y = _whole_features(held, model)
+    # the labels' shares among all labelled rows, which the sample evens out
     counts = {r.label: r["count"] for r in named.groupBy("label").count().collect()}
-    y = found.column("label").to_numpy()
-    have = np.bincount(y, minlength=2) if len(y) else np.zeros(2)
-    weights = np.array([counts[v] / have[v] for v in y.tolist()])
-    return train(kind, [t.encode() for t in found.column("text").to_pylist()], y, weights)
+    weights = np.array([counts[v] / (y == v).sum() for v in y.tolist()])
+    model.calibrate = Logistic(x, y.astype(float), weights / weights.mean())
+    return model
+
+
+def _whole_features(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The features of whole texts, computed in the tasks, and their labels, in an order that does not change."""
+    sent = ship(rows.sparkSession, model)
+
+    def scan(batches):
+        features = unpack(sent).features()
+        for batch in batches:
+            texts = batch.column(1)
+            x = pa.array([features(t.as_buffer().to_pybytes()) for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x], ["label", "x"])
+
+    found = rows.select("label", "text").repartition("text").mapInArrow(scan, "label int, x array<double>").toArrow()
+    pairs = sorted(zip(found.column("label").to_pylist(), found.column("x").to_pylist()))
+    return np.array([x for _, x in pairs], float), np.array([y for y, _ in pairs])
 
 
 def score(docs: DataFrame, model: Model, parts: int, held: int) -> DataFrame:
