@@ -201,9 +201,9 @@ def render_industry_doc(lens: DataFrame) -> DataFrame:
     return _finish(lens, F.col("key"), "industry", body)
 
 
-def clean_notes(notes: DataFrame) -> DataFrame:
-    """Notes without blank bodies, mark-up removed."""
-    return notes.where(F.trim("body") != "").withColumn("body", strip_html(F.col("body")))
+def clean_notes(notes: DataFrame, closed_only: bool = False) -> DataFrame:
+    """Notes without blank bodies, mark-up removed (``closed_only``: see ``strip_html``)."""
+    return notes.where(F.trim("body") != "").withColumn("body", strip_html(F.col("body"), closed_only))
 
 
 def doc_path(folder: str, name: Column) -> Column:

@@ -27,6 +27,27 @@ def test_strip_html_equals_the_rule(spark):
     assert got == [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", s))).strip() for s in samples]
 
 
+def test_references_equal_the_standard_library(spark):
+    rng = random.Random(5)
+    names = [f"&{n}" for n in html.entities.html5] + ["&amp", "&notit;", "&ampx", "&", "&&&amp", "&amp;lt;", "&bogus;", "&AMP;amp;", "&é;", "&xlt;"]
+    numbers = [0, 1, 9, 11, 13, 31, 65, 127, 128, 150, 159, 160, 0x20AC, 0xD800, 0xDFFF, 0xFDD0, 0xFEFF, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 99999999999]
+    numbers = [f"&#{n}{end}" for n in numbers for end in (";", "", "z")] + [f"&#x{n:x};" for n in numbers] + ["&#00065;", "&#;", "&#x;", "&#X41"]
+    samples = names + numbers + ["".join(rng.choices([*names, *numbers, " ", "a", ";", "#", "ก", "😀", "\n"], k=30)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(samples)), "i int, s string")
+    got = df.select("i", t.decode_references(F.col("s")).alias("v"), t.strip_html(F.col("s"), closed_only=True).alias("c")).orderBy("i").collect()
+    assert [(s, r["v"]) for s, r in zip(samples, got) if r["v"] != html.unescape(s)] == []
+    closed = {s: r["c"] for s, r in zip(samples, got)}
+    assert (closed["&&&amp"], closed["&amp;lt;"], closed["&#65"], closed["&#65;"], closed["&notit;"]) == ("&&&amp", "&lt;", "&#65", "A", "&notit;")
+    plan = df.select(t.strip_html(F.col("s")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_page_cut_off_inside_an_entity(spark):
+    """The queries over pages read an entity without its end as their SQL does; the operator reads it as a browser does."""
+    page = F.lit("<title>a &amp;&amp;&amp</title>")
+    assert one(spark, t.strip_html(page, closed_only=True)) == "a &&&amp" and one(spark, t.strip_html(page)) == "a &&&"
+
+
 def test_buddhist_years(spark):
     cases = {"ปี2569": "ปี2026", "ศ2569": "ศ2569", "in 2568 and 2569.": "in 2025 and 2026.", "x2569": "x2569", "2499 2600": "2499 2600", "25690": "25690"}
     for given, expected in cases.items():
