@@ -120,16 +120,16 @@ def stream_enrich(stream: DataFrame, deals: DataFrame) -> DataFrame:
     )
 
 
-def folder_stream(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int = 1) -> DataFrame:
-    """Parquet files below a folder as they arrive."""
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+def folder_stream(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int | None = 1) -> DataFrame:
+    """Parquet files below a folder as they arrive; without ``files_per_batch`` all new ones are one batch."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables as a file stream."""
+    """One of the given Parquet tables, a file or a folder of files, as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern: a plain path must be a folder
 
 
 def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
