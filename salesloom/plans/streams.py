@@ -69,12 +69,12 @@ def _(r):
 # ---- Several batches: changes, repeats and late rows -----------------------------------
 
 
-def _arrive(r, name: str, *batches):
-    """Each batch as one file of a folder, written one after the other, and the folder as a stream of one file a batch."""
+def _arrive(r, name: str, batches, job) -> None:
+    """Each batch as the new files of a folder, as many as its tasks write, and behind each a run of the job, which takes them as one batch."""
     folder = shared_dir(r.spark, name)
     for i, batch in enumerate(batches):
-        batch.coalesce(1).write.parquet(f"{folder}/{i}")
-    return jobs.folder_stream(r.spark, folder, batches[0].schema)
+        batch.write.parquet(f"{folder}/{i}")
+        job(jobs.folder_stream(r.spark, folder, batch.schema, files_per_batch=None))
 
 
 @query("stream_parts", "SELECT CAST(account_id AS VARCHAR) AS account_id, account_name, industry, CASE WHEN account_id % 4 = 0 THEN 'yes' ELSE '' END AS snapshot FROM account")
@@ -104,9 +104,8 @@ def _(r):
 
     second = hashed(text.where("doc_id % 2 = 0"), "second").unionByName(hashed(text.where("doc_id % 2 = 1")))
     third = hashed(text.where("doc_id % 3 = 0"), "third")
-    stream = _arrive(r, "changes", hashed(text), second, third.unionByName(third))
     checkpoint, target = jobs.stream_paths(r.spark, "upserts")
-    jobs.stream_upsert(stream, checkpoint, target, ["doc_id"])
+    _arrive(r, "changes", [hashed(text), second, third.unionByName(third)], lambda stream: jobs.stream_upsert(stream, checkpoint, target, ["doc_id"]))
     return jobs.current(r.spark, target, "doc_id bigint, md_hash string")
 
 
@@ -123,9 +122,9 @@ def _(r):
     """The newest event per user over three batches, late and repeated rows among them."""
     events = r.table("events").select("user_id", "event_id", "ts", "value")
     first, second, third = _three(r, events)
-    stream = _arrive(r, "events", first, second, third.unionByName(first))
     checkpoint, target = jobs.stream_paths(r.spark, "latest")
-    jobs.stream_latest(stream, checkpoint, target, ["user_id"], ["ts", "event_id"])
+    batches = [first, second, third.unionByName(first)]
+    _arrive(r, "events", batches, lambda stream: jobs.stream_latest(stream, checkpoint, target, ["user_id"], ["ts", "event_id"]))
     return jobs.current(r.spark, target, events.schema).select("user_id", "event_id", "value")
 
 
@@ -138,8 +137,7 @@ FROM events GROUP BY 1, 2""",
 def _(r):
     """Hourly counts over three batches whose hours overlap."""
     events = r.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("decimal(12,2)").alias("value"))
-    stream = _arrive(r, "events", *_three(r, events))
     checkpoint, target = jobs.stream_paths(r.spark, "hourly")
-    jobs.stream_hourly_counts(stream, "ts", "event_type", "value", checkpoint, target)
+    _arrive(r, "events", _three(r, events), lambda stream: jobs.stream_hourly_counts(stream, "ts", "event_type", "value", checkpoint, target))
     table = jobs.current(r.spark, target, "hour timestamp, event_type string, events bigint, total decimal(22,2)")
     return table.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "events", money("total", "total"))

@@ -1,8 +1,10 @@
 import datetime as dt
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from salesloom.operators import audit
+from salesloom.plans import streams
 from salesloom.streaming import jobs
 
 
@@ -154,3 +156,22 @@ def test_hourly_counts_grow_with_new_batches(spark, rows, tmp_path):
         jobs.stream_hourly_counts(source(spark, f"{root}/in", schema), "ts", "kind", "value", f"{root}/ck", f"{root}/t")
     got = rows(jobs.current(spark, f"{root}/t", table), F.hour("hour"), "kind", "events", "total")
     assert got == [(10, "x", 1, 16.0), (10, "x", 4, 39.0), (11, "y", 1, 8.0)]  # days late, and counted
+
+
+def test_a_table_of_many_files_is_streamed_like_one_file(spark, rows, tmp_path):
+    spark.range(20).repartition(4).write.parquet(f"{tmp_path}/many.parquet")
+    spark.range(20).coalesce(1).toPandas().to_parquet(f"{tmp_path}/one.parquet")
+    for name in ("many", "one"):
+        for _ in range(2):  # the second run finds nothing new
+            jobs.stream_ingest(jobs.table_stream(spark, str(tmp_path), name), f"{tmp_path}/check-{name}", f"{tmp_path}/out-{name}")
+        assert rows(spark.read.parquet(f"{tmp_path}/out-{name}"), "id") == sorted([(i,) for i in range(20)], key=repr)
+
+
+def test_batches_arrive_in_as_many_files_as_their_tasks_write(spark, tmp_path, monkeypatch):
+    """No task reads a whole batch, and a batch of many files is still one batch of the stream."""
+    monkeypatch.setattr(streams, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    tables, seen = [spark.range(0, 100, 1, 4), spark.range(50, 150, 1, 3)], []
+    job = lambda stream: jobs.run_available(stream, f"{tmp_path}/check", lambda batch, i: seen.append((i, batch.count())))
+    streams._arrive(SimpleNamespace(spark=spark), "in", tables, job)
+    assert seen == [(0, 100), (1, 100)]
+    assert [len(list((tmp_path / "in" / str(i)).glob("*.parquet"))) for i in range(2)] == [4, 3]
