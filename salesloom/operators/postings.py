@@ -10,6 +10,7 @@ a first round over one block in ``FIRST``, and what the task has found since.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from copy import copy
 
 import numpy as np
@@ -23,6 +24,7 @@ from salesloom.session import materialize
 
 FIRST = 16
 SENT_BYTES = 64 << 20  # terms of queries that are sent to the tasks at a time
+SCAN_BYTES = 2 << 20  # texts that a task splits into words at a time
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -34,11 +36,20 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return word.filter(real), row, np.bincount(row, minlength=len(texts))
 
 
+def slices(batch: pa.RecordBatch, most: int = SCAN_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts (the second column) have about ``most`` bytes together: what is split at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // most)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges, edges[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 def listed(queries: DataFrame) -> DataFrame:
     """``query_id, terms``: the distinct words of each query, the form in which groups of queries are sent."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             word, row, _ = split(batch.column(1))
             codes = word.dictionary_encode()
             pairs = np.unique(row * (len(codes.dictionary) + 1) + codes.indices.to_numpy())
@@ -64,7 +75,7 @@ def item_terms(vocabulary: pa.Array, corpus: DataFrame) -> DataFrame:
 
     def count(batches):
         known = unpack(sent)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             word, row, sizes = split(batch.column(1))
             codes = pc.index_in(word, value_set=known)
             row, code = row[pc.is_valid(codes).to_numpy(zero_copy_only=False)], codes.drop_null().to_numpy().astype(np.int64)
@@ -105,6 +116,9 @@ class KeywordGroup:
                     part = some[j : j + CHUNK]
                     yield part, inverted.scores(part), inverted.ids
 
+    def leading(self, batches, bars):
+        return self.blocks(batches, bars, None)
+
 
 class Inverted:
     """A block of items by term: weights, and the greatest of each term."""
@@ -147,18 +161,23 @@ class Postings(Searched):
         df[held["term"].to_numpy()] = held["df"].to_numpy()
         self.idf = np.log1p((self.size.n - df + 0.5) / (df + 0.5))
 
-    def group(self, queries: pa.Table) -> KeywordGroup:
-        return KeywordGroup(queries, self.vocabulary, self.idf, self.size["mean"], self.k1, self.b, self.block)
+    def group(self, queries: pa.Table | KeywordGroup) -> KeywordGroup:
+        return queries if isinstance(queries, KeywordGroup) else KeywordGroup(queries, self.vocabulary, self.idf, self.size["mean"], self.k1, self.b, self.block)
 
     def frame(self) -> DataFrame:
         return self.items
 
-    def first_bars(self, queries: pa.Table, k: int) -> np.ndarray | None:
+    def best(self, queries: pa.Table, k: int) -> DataFrame:
+        """Hits of a group of queries, the best k of each task at least."""
+        group = self.group(queries)
+        return self.top(group, k, self.first_bars(group, k))
+
+    def first_bars(self, queries: pa.Table | KeywordGroup, k: int) -> np.ndarray | None:
         """Per query the k-th best score among some of the items; none where that would be most of the work."""
         if self.size.n <= FIRST * self.block:
             return None
-        some = copy(self)
+        group, some = self.group(queries), copy(self)
         some.items = self.items.where(F.pmod(F.xxhash64("item_id"), F.lit(FIRST)) == 0)
-        best = top_hits(some.top(queries, k), k).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        best = top_hits(some.top(group, k), k).where(F.col("rank") == k).select("query_id", "score").toArrow()
         known = dict(zip(best["query_id"].to_pylist(), best["score"].to_pylist()))
-        return np.array([known.get(q, -np.inf) for q in queries["query_id"].to_pylist()])
+        return np.array([known.get(q, -np.inf) for q in group.ids.tolist()])

@@ -49,7 +49,7 @@ def keyword_score(queries: DataFrame, corpus: DataFrame, k: int = 5, k1: float =
     found = []
     for part in parts(listed(queries)):
         stored = Postings(part, corpus, k1, b, corpus_block)
-        found += [stored.top(group, k, stored.first_bars(group, k)) for group in groups(part, query_block)]
+        found += [stored.best(group, k) for group in groups(part, query_block)]
     return top_hits(union(found), k)
 
 
@@ -97,7 +97,7 @@ def hybrid_search(
         texts = Postings(part, corpus, block=corpus_block)
         for group in groups(part.join(_vectors(queries), "query_id", "left"), query_block):
             near = materialize(top_hits(vectors.nearest(group, seen), seen), "near")
-            words = materialize(top_hits(texts.top(group, seen, texts.first_bars(group, seen)), seen), "words")
+            words = materialize(top_hits(texts.best(group, seen), seen), "words")
             either = near.select("query_id", "item_id").unionByName(words.select("query_id", "item_id")).distinct()  # at most 2 * seen a query
             fused.append(fuse_ranks([_legs(vectors, group, near, either), _legs(texts, group, words, either)], k))
     return union(fused)

@@ -142,15 +142,16 @@ Blocks = Callable[[Iterator[pa.RecordBatch], Callable[[], np.ndarray], np.ndarra
 class Searched:
     """A corpus that is searched by one group of queries after the other."""
 
-    def group(self, queries: pa.Table):
-        """What the tasks need of a group of queries: ``ids``, and ``blocks`` to score the items of batches."""
+    def group(self, queries):
+        """What the tasks need of a group of queries: ``ids``, ``blocks`` to score the items of batches, and ``leading`` for those that reach their bars.
+        A group that was made before stays as it is."""
         raise NotImplementedError
 
     def frame(self) -> DataFrame:
         """The items, as the group's ``blocks`` reads them."""
         raise NotImplementedError
 
-    def top(self, queries: pa.Table, k: int, bars: np.ndarray | None = None) -> DataFrame:
+    def top(self, queries, k: int, bars: np.ndarray | None = None) -> DataFrame:
         """The best k of each task; with ``bars`` what is below its query's bar may be left out."""
         sent = ship(self.frame().sparkSession, (self.group(queries), bars))
 
@@ -158,7 +159,7 @@ class Searched:
             group, known = unpack(sent)
             leaders = Leaders(len(group.ids), k)
             floor = np.full(len(group.ids), -np.inf) if known is None else known
-            for rows, scores, ids in group.blocks(batches, lambda: np.maximum(floor, leaders.bars()) - MARGIN, None):
+            for rows, scores, ids in group.leading(batches, lambda: np.maximum(floor, leaders.bars()) - MARGIN):
                 leaders.offer(rows, scores, ids)
             yield leaders.hits(group.ids)
 

@@ -1,14 +1,17 @@
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
 from salesloom.operators import postings
 from salesloom.operators import retrieve as rt
+from salesloom.operators.cells import VectorGroup
 
 SF = "/root/testdata/sf0.01"
 
@@ -155,6 +158,46 @@ def test_keyword_blocks_are_skipped_below_the_bar(spark, monkeypatch):
     assert 0 < sum(met) < 0.9 * len(known.ids) * math.ceil(402 / 9)
 
 
+def test_texts_are_split_some_bytes_at_a_time():
+    """What a task splits at a time does not grow with the rows of a batch: one text, and others of so many bytes together."""
+    texts = ["a b " * 50, None, "", "word " * 900, *["x y z"] * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["item_id", "text"])
+    parts = list(postings.slices(batch, 1000))
+    assert [t for part in parts for t in part.column(1).to_pylist()] == texts
+    assert all(sum(len(t or "") for t in part.column(1).to_pylist()[1:]) <= 1000 for part in parts) and len(parts) == 4
+    assert list(postings.slices(batch.slice(0, 0))) == []
+
+
+def vector_group(rng, n, cells, dim=16):
+    asked = pa.table({"query_id": np.arange(n), "vector": pa.array(rng.standard_normal((n, dim)).tolist())})
+    centers = rng.standard_normal((cells, dim))
+    return VectorGroup(asked, centers / np.linalg.norm(centers, axis=1, keepdims=True), None, 100)
+
+
+def test_a_group_of_queries_holds_nothing_per_cell():
+    rng = np.random.default_rng(3)
+    few, many = (len(pickle.dumps(vector_group(rng, 2000, cells))) for cells in (10, 1000))
+    assert many - few < 2 * 1000 * 16 * 8  # the centroids
+
+
+def test_only_what_may_reach_its_bar_is_scored():
+    rng = np.random.default_rng(8)
+    group, rows = vector_group(rng, 300, 4), rng.standard_normal((500, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(rows.tolist())], ["item_id", "vector"])
+    exact = np.round(group.units @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 6)
+    bars = np.sort(exact, axis=1)[:, -3]  # three items of each query, and those that tie
+    found, scored = set(), 0
+    for part, scores, ids in group.leading([batch], lambda: bars):
+        scored += scores.size
+        row, at = np.nonzero(scores >= bars[part][:, None])
+        found |= set(zip(part[row].tolist(), ids[at].tolist(), scores[row, at].tolist()))
+    row, at = np.nonzero(exact >= bars[:, None])
+    assert found == set(zip(row.tolist(), at.tolist(), exact[row, at].tolist()))
+    assert scored < exact.size
+    empty = group.leading([batch], lambda: np.full(300, -np.inf))
+    assert sum(scores.size for _, scores, _ in empty) == exact.size  # without a bar every item is scored
+
+
 def hits(spark, *rows):
     return spark.createDataFrame(list(rows), "query_id int, item_id int, content string, score double, rank int")
 
