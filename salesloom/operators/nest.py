@@ -64,7 +64,7 @@ def nest(parents: DataFrame, children: Mapping[str, DataFrame], key: str, block_
         rows = frame.select(key, F.struct(first.alias(ORDER), F.struct(*fields).alias("row")).alias(name))
         tagged = rows if tagged is None else tagged.unionByName(rows, allowMissingColumns=True)
     records = parents.select(key, F.struct(*parents.columns).alias("_parent"))
-    lists = {n: F.transform(n, lambda x: x["row"]).alias(n) for n in children}
+    lists = {n: F.col(n)["row"].alias(n) for n in children}
     return collected(tagged, key, list(children), block_size, records).select(
         key, F.explode("_parents").alias("parent"), *lists.values(), *[F.size(n).cast("bigint").alias(f"n_{n}") for n in children]
     )
@@ -89,6 +89,11 @@ def clean_texts(deals: DataFrame) -> DataFrame:
     return deals.withColumns({c: strip_html(F.col(c)) for c in texts}) if texts else deals
 
 
+def keyed(accounts: DataFrame) -> DataFrame:
+    """Accounts without a blank key."""
+    return accounts.where(F.trim(F.col("account_id").cast("string")) != "")
+
+
 def account_nest(
     accounts: DataFrame,
     contacts: DataFrame,
@@ -102,13 +107,28 @@ def account_nest(
     Deals may carry lists of their own (``enriched_deals``).
     """
     return nest(
-        accounts.where(F.trim(F.col("account_id").cast("string")) != ""),
+        keyed(accounts),
         {"contacts": contacts, "deals": clean_texts(deals), "activities": activities, "notes": notes},
         "account_id",
         block_size,
     )
 
 
+def text_blocks(rows: DataFrame, by: str, order: Sequence[Column], line: Column, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """``by, at, text``: the lines of each group along ``order`` (equal ones by their text), in blocks of at most ``block_size``.
+
+    The rows are range-partitioned and sorted, so a group of any size lies in many tasks and each block in one;
+    ``at`` ascends with the blocks of a group.
+    """
+    named = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    sorting = [by, *[f"_o{i}" for i in range(len(named))]]
+    ranged = rows.select(by, *named, line.alias("_line")).repartitionByRange(*sorting).sortWithinPartitions(*sorting, "_line")
+    placed = ranged.select(by, F.monotonically_increasing_id().alias("_id"), "_line")
+    at = (F.col("_id") - F.col("_id") % block_size).alias("at")
+    in_order = F.sort_array(F.collect_list(F.struct("_id", "_line")))
+    return placed.groupBy(by, at).agg(F.array_join(in_order["_line"], "").alias("text"))
+
+
 def grouped_items(rows: DataFrame, by: str, item_key: str, item: Column, stats: Sequence[Column], block_size: int) -> DataFrame:
     """Per group its items in the order of their keys, and the ``stats`` over the whole group."""
     totals = rows.groupBy(by).agg(*stats)

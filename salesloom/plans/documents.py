@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from salesloom.functions.chunks import chunk_document, count_tokens, sliding_windows, split_sections
 from salesloom.functions.text import collapse_space, content_hash
 from salesloom.operators import docs
-from salesloom.operators.lenses import lens_industry, lens_salesperson, lens_solution
 from salesloom.operators.retrieve import embed_batch
 from salesloom.operators.upsert import upsert_outcome, upsert_report
-from salesloom.plans.joins import ACTIVITIES_SQL, FLAT_SQL, account_activities, account_records, deal_fields, flat_deals, nested_accounts
+from salesloom.plans.joins import ACTIVITIES_SQL, FLAT_SQL, account_activities, account_frames, deal_fields, deal_records, flat_deals
 from salesloom.plans.registry import query
 from salesloom.plans.shapes import whole
 from salesloom.plans.values import strip_html_sql
@@ -23,18 +22,18 @@ NL = "chr(10)"
 
 
 def account_docs(r):
-    return docs.render_account_doc(nested_accounts(r))
+    return docs.account_docs(*account_frames(r))
 
 
-def corpus(r):
+def corpus(r, deals=None):
     """Every document of the account corpus and the three lenses; what they share is written once."""
-    deals = materialize(flat_deals(r), "deals")
+    deals = materialize(flat_deals(r), "deals") if deals is None else deals
     activities = materialize(account_activities(r), "activities")
     return docs.corpus_union(
-        account=docs.render_account_doc(nested_accounts(r, deal_fields(deals), activities)),
-        solution=docs.render_solution_doc(lens_solution(deals)),
-        salesperson=docs.render_salesperson_doc(lens_salesperson(deals, activities.drop("account_id"), recent=50)),
-        industry=docs.render_industry_doc(lens_industry(r.account, deals)),
+        account=docs.account_docs(*account_frames(r, deal_fields(deals), activities)),
+        solution=docs.solution_docs(deals),
+        salesperson=docs.salesperson_docs(deals, activities.drop("account_id"), recent=50),
+        industry=docs.industry_docs(r.account, deals),
     )
 
 
@@ -87,7 +86,7 @@ FROM flat WHERE solution IS NOT NULL GROUP BY solution"""
 
 @query("render_solution_doc", SOLUTION_DOCS_SQL, flat=FLAT_SQL)
 def _(r):
-    return docs.render_solution_doc(lens_solution(flat_deals(r))).select("path", "body")
+    return docs.solution_docs(flat_deals(r)).select("path", "body")
 
 
 PERSON_DOCS_SQL = f"""
@@ -104,8 +103,7 @@ LEFT JOIN (SELECT person, count(*) AS n, string_agg({ACTIVITY_LINE}, '' ORDER BY
 
 @query("render_salesperson_doc", PERSON_DOCS_SQL, flat=FLAT_SQL, account_activity=ACTIVITIES_SQL)
 def _(r):
-    lens = lens_salesperson(flat_deals(r), account_activities(r).drop("account_id"), recent=50)
-    return docs.render_salesperson_doc(lens).select("path", "body")
+    return docs.salesperson_docs(flat_deals(r), account_activities(r).drop("account_id"), recent=50).select("path", "body")
 
 
 INDUSTRY_DOCS_SQL = f"""
@@ -119,7 +117,7 @@ GROUP BY industry"""
 
 @query("render_industry_doc", INDUSTRY_DOCS_SQL)
 def _(r):
-    return docs.render_industry_doc(lens_industry(r.account, r.deal)).select("path", "body")
+    return docs.industry_docs(r.account, r.deal).select("path", "body")
 
 
 @query("doc_path", "SELECT deal_id, 'solution/' || coalesce(lower(solution), 'unknown') || '.md' AS path FROM deal")
@@ -182,7 +180,7 @@ DEAL_LINES_SQL = f"""
 )
 def _(r):
     """Account documents with the stakeholders and the close line of each deal."""
-    return docs.render_account_doc(account_records(r)).select("path", "body", "md_hash")
+    return docs.account_docs(*account_frames(r, deal_records(r))).select("path", "body", "md_hash")
 
 
 @query(
@@ -195,8 +193,9 @@ UNION ALL SELECT 'industry', CAST(0 AS BIGINT), count(DISTINCT industry), 0 FROM
 )
 def _(r):
     """The whole rebuild against a store that already holds the industry documents."""
-    stored = docs.corpus_union(industry=docs.render_industry_doc(lens_industry(r.account, r.deal)))
-    outcomes = upsert_outcome(stored, corpus(r), ["doc_type", "path"])
+    deals = materialize(flat_deals(r), "deals")
+    stored = docs.corpus_union(industry=docs.industry_docs(r.account, deals))
+    outcomes = upsert_outcome(stored, corpus(r, deals), ["doc_type", "path"])
     return upsert_report(outcomes, ["doc_type"])
 
 

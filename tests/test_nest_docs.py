@@ -162,6 +162,43 @@ def test_industry_lens_one_line_per_account(spark):
     ]
 
 
+def test_documents_from_rows_are_those_of_nested_records(spark, rows):
+    """Whatever the blocks, also where one group holds most rows, and for rows without a value."""
+    n = 300
+    deals = spark.range(n).select(
+        F.format_string("o%03d", F.lit(n - 1) - F.col("id")).alias("deal_id"),
+        F.expr("CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'N' || id % 11 END").alias("account_name"),
+        F.expr("CASE WHEN id % 13 = 0 THEN NULL ELSE 'D' || id END").alias("deal_name"),
+        F.lit("Open").alias("status"),
+        F.col("id").alias("possibility"),
+        F.expr("CASE WHEN id % 3 > 0 THEN '2026-01-01' END").alias("est_close"),
+        F.expr("CASE WHEN id % 5 < 3 THEN 'MES' WHEN id % 5 = 3 THEN ' ' ELSE 'S' || id % 4 END").alias("solution"),
+        F.expr("CASE WHEN id % 4 > 0 THEN ' Kim ' WHEN id % 8 = 0 THEN 'P' || id ELSE '' END").alias("person"),
+        F.expr("'<b>first &amp; ' || id || '</b>'").alias("description"),
+        F.format_string("a%d", F.col("id") % 40).alias("account_id"),
+    ).repartition(5)
+    acts = spark.range(400).select(
+        F.col("id").alias("activity_id"), F.format_string("o%03d", F.col("id") % 350).alias("deal_id"), F.lit("Call").alias("subject"), F.lit("Task").alias("activity_type"),
+        F.expr("CASE WHEN id % 9 > 0 THEN '2026-01-0' || id % 9 END").alias("activity_date"), F.lit("Open").alias("state"),
+    )
+    accounts = spark.range(60).select(
+        F.format_string("a%d", "id").alias("account_id"), F.format_string("N%d", "id").alias("account_name"), F.expr("CASE WHEN id % 6 < 5 THEN 'Auto' ELSE 'Food' END").alias("industry"),
+        F.lit("").alias("customer_type"), F.lit("Active").alias("account_status"), F.lit("Rayong").alias("city"), F.expr("CASE WHEN id % 2 = 0 THEN 'East' END").alias("province"),
+    )
+    solutions = rows(docs.render_solution_doc(lens_solution(deals)))
+    sellers = {k: rows(docs.render_salesperson_doc(lens_salesperson(deals, acts, recent=k))) for k in (None, 5)}
+    industries = rows(docs.render_industry_doc(lens_industry(accounts, deals)))
+    for size in (1, 7, 10_000):
+        assert rows(docs.solution_docs(deals, block_size=size)) == solutions
+        for k, want in sellers.items():
+            assert rows(docs.salesperson_docs(deals, acts, recent=k, block_size=size)) == want
+        assert rows(docs.industry_docs(accounts, deals, block_size=size)) == industries
+    assert rows(docs.account_docs(*frames(spark))) == rows(docs.render_account_doc(account_nest(*frames(spark))))
+    hot, deals, empty = hot_frames(spark)
+    for size in (3, 10_000):
+        assert rows(docs.account_docs(hot, empty, deals, empty, empty, block_size=size)) == rows(docs.render_account_doc(account_nest(hot, empty, deals, empty, empty)))
+
+
 def test_upsert_outcomes_and_second_run(spark, rows):
     stored = spark.createDataFrame([("b", "h2"), ("gone", "h9")], "account_id string, md_hash string")
     new = spark.createDataFrame([("a", "h1"), ("b", "h2"), ("", "h3")], "account_id string, md_hash string")

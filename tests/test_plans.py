@@ -40,3 +40,12 @@ def test_latest_snapshot_does_not_shuffle_the_rows(spark):
 def test_measures_of_one_fact_share_one_aggregation(spark):
     plan = plan_of(spark, "m_ytd")
     assert plan.count("FileScan parquet [o_") == 1
+
+
+def test_lens_documents_are_gathered_as_text(spark):
+    for name in ("render_solution_doc", "render_industry_doc"):
+        assert "rangepartitioning" in plan_of(spark, name), name  # a group lies in many tasks from the start
+
+
+def test_refresh_reads_the_lines_of_deals_once(spark):
+    assert "l_orderkey" not in plan_of(spark, "refresh_corpus")  # they are in the deals that were written before
